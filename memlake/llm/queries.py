@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .secret_scan import secret_report
 from .shared import documents
 from .sharding import shard_documents
+from .simhash import simhash_dedup
 from .toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(documents(spark, sf_dir))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir))
 
@@ -45,7 +50,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_secret_scan, op5_toxicity, op6_bpe, op7_sharding, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op4_secret_scan, op5_toxicity, op6_bpe, op7_sharding, op9_exact_dedup)}
 
 
 ORACLE_SQL = {
