@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
+from .media import media_report
+from .mixing import mix_documents
 from .secret_scan import secret_report
 from .shared import documents
 from .sharding import shard_documents
@@ -28,6 +30,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(documents(spark, sf_dir))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(documents(spark, sf_dir))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir))
 
@@ -49,8 +55,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op4_secret_scan, op5_toxicity, op6_bpe, op7_sharding, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op3_mixing, op4_secret_scan, op5_toxicity, op6_bpe, op7_sharding, op9_exact_dedup, op10_media)}
 
 
 ORACLE_SQL = {
