@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
+from .line_dedup import deduped_lines
 from .media import media_report
 from .mixing import mix_documents
 from .secret_scan import secret_report
@@ -51,6 +52,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduped_lines(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -60,7 +65,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op3_mixing, op4_secret_scan, op5_toxicity, op6_bpe, op7_sharding, op9_exact_dedup, op10_media)}
+    return {f.__name__: f for f in (op1_simhash, op3_mixing, op4_secret_scan, op5_toxicity, op6_bpe, op7_sharding, op8_line_dedup, op9_exact_dedup, op10_media)}
 
 
 ORACLE_SQL = {
