@@ -15,6 +15,7 @@ from .secret_scan import secret_report
 from .shared import documents
 from .sharding import shard_documents
 from .simhash import simhash_dedup
+from .suffix_dedup import repeated_spans
 from .toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(documents(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(documents(spark, sf_dir))
 
@@ -65,7 +70,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op3_mixing, op4_secret_scan, op5_toxicity, op6_bpe, op7_sharding, op8_line_dedup, op9_exact_dedup, op10_media)}
+    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_mixing, op4_secret_scan, op5_toxicity, op6_bpe, op7_sharding, op8_line_dedup, op9_exact_dedup, op10_media)}
 
 
 ORACLE_SQL = {
