@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,3 +160,18 @@ def score_toxicity(docs: DataFrame, machine: Machine, threshold: float = 0.3) ->
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = with_utf8(docs, "doc_id").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "utf8")
     return rows.mapInArrow(score, f"doc_id {id_type}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def clean_documents(docs: DataFrame, machine: Machine, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text scores below the threshold, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(machine)
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m, cache = held.value, {}
+        for part in parts:
+            yield pd.Series([m.score(_present(x.encode() if x is not None else b"", m.feature, cache)) for x in part], dtype="float64")
+            if len(cache) > 500_000:
+                cache.clear()
+
+    return docs.filter(score(F.col(text_col)) < threshold)
