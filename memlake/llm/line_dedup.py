@@ -123,27 +123,30 @@ def bitmap_of(df: DataFrame, column: str, bits: int) -> np.ndarray:
     return out
 
 
-def _similar(a: set[str], b: set[str], least: float) -> bool:
+def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """Each line's set of shingles, as sorted 64-bit hashes."""
+    with np.errstate(over="ignore"):
+        h, counts = _shingles([str(x, "utf-8", "replace") for x in lines])
+    ends = np.cumsum(counts).tolist()
+    return [np.unique(h[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets have a Jaccard similarity of `least` or more."""
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return False
-    both = len(a & b)
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
     return both >= least * (len(a) + len(b) - both)
 
 
-def _shingle_set(line: bytes) -> set[str]:
-    x = str(line, "utf-8", "replace")
-    return {x[i : i + SIZE] for i in range(max(1, len(x) - SIZE + 1))}
-
-
-def bucket_forest(rows: list[tuple[int, bytes]], least: float) -> list[tuple[int, int]]:
+def bucket_forest(rows: list[tuple[int, np.ndarray]], least: float) -> list[tuple[int, int]]:
     """Links that join what the pairs with exact Jaccard of `least` or more join, breadth first."""
-    left = {k: _shingle_set(x) for k, x in rows}
-    out = []
+    left, out = dict(rows), []
     while left:
         front = [left.popitem()]
         while front and left:
             key, own = front.pop()
-            near = [k for k, x in left.items() if _similar(own, x, least)]
+            near = [k for k, x in left.items() if alike(own, x, least)]
             front += [(k, left.pop(k)) for k in near]
             out += [(key, k) for k in near]
     return out
@@ -196,19 +199,19 @@ def similar_lines(docs: DataFrame, signed: DataFrame, text_col: str = "text", le
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
 
-        def links(done: list[tuple[int, bytes]]) -> pa.RecordBatch:
-            found = bucket_forest(done, least)
+        def links() -> pa.RecordBatch:
+            found = bucket_forest(rows, least) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        for batch in batches:
-            for band, i, j, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch in slices(batches, "line", 1 << 20):
+            sets = shingle_sets(batch.column("line").to_pylist())
+            for band, i, j, key, own in zip(*(batch.column(k).to_pylist() for k in ("band", "i", "j", "key")), sets, strict=True):
                 if (band, i, j) != group:
                     if len(rows) > 1:
-                        yield links(rows)
+                        yield links()
                     group, rows = (band, i, j), []
-                rows.append((key, text))
-        if len(rows) > 1:
-            yield links(rows)
+                rows.append((key, own))
+        yield links()
 
     spread = member.join(line, "key").select("band", "i", "j", "key", "line").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     return spread.mapInArrow(verify, "a long, b long")

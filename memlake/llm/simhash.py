@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .line_dedup import bitmap_of
+from .line_dedup import bitmap_of, bucket_forest
 from .shared import WORD, keep, slices, with_utf8
 
 
@@ -175,24 +175,6 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return near_duplicates(prints, lambda c: near_links(c.select("fp"), radius), id_col).select(id_col, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def _joined_groups(rows: list[tuple[bytes, np.ndarray]], least: float) -> list[tuple[bytes, bytes]]:
-    """Links that join what the pairs with exact Jaccard of `least` or more join, breadth first."""
-    left, out = dict(rows), []
-    while left:
-        front = [left.popitem()]
-        while front and left:
-            fp, own = front.pop()
-            near = []
-            for k, x in left.items():
-                if min(len(own), len(x)) >= least * max(len(own), len(x), 1):
-                    both = len(np.intersect1d(own, x, assume_unique=True))
-                    if both >= least * (len(own) + len(x) - both):
-                        near.append(k)
-            front += [(k, left.pop(k)) for k in near]
-            out += [(fp, k) for k in near]
-    return out
-
-
 def verified_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", size: int = 5, block: int = 256, bitmap_bits: int = 1 << 25) -> DataFrame:
     """Links (a, b) between classes' fingerprints whose texts' shingle sets have a Jaccard of `least` or more.
 
@@ -224,7 +206,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, l
         group, rows = None, []
 
         def links() -> pa.RecordBatch:
-            found = _joined_groups(rows, least) if len(rows) > 1 else []
+            found = bucket_forest(rows, least) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
