@@ -31,7 +31,7 @@ class WordEncoder:
         self.vocab, self.rank = vocab, {(a, b): i for i, (a, b) in enumerate(merges)}
         self.name = {i: t for t, i in vocab.items()}
         self.longest = max(len(t.removesuffix(END)) for t in vocab)
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[int, bool] = {}
 
     def merged(self, parts: list[str]) -> list[str]:
         """Plain merging of a short sequence; used on pairs of tokens only."""
@@ -54,9 +54,10 @@ class WordEncoder:
 
     def fit(self, left: str, right: str) -> bool:
         """Whether the two tokens side by side stay as they are; left may be empty."""
-        hit = self.fits.get((left, right))
+        key = self.vocab.get(left, 0xFFFFF) << 20 | self.vocab[right]
+        hit = self.fits.get(key)
         if hit is None:
-            hit = self.fits[left, right] = self.merged(_symbols(left) + _symbols(right)) == ([left, right] if left else [right])
+            hit = self.fits[key] = self.merged(_symbols(left) + _symbols(right)) == ([left, right] if left else [right])
         return hit
 
     def last(self, tail: str, end: str, states: list[str]) -> str:
@@ -64,20 +65,14 @@ class WordEncoder:
 
         One token fits at most, so the order of trial is free: the token before, made longer, comes first.
         """
-        vocab, fits, n, before = self.vocab, self.fits, len(states), states[-1]
+        vocab, fit, n, before = self.vocab, self.fit, len(states), states[-1]
         token = before + tail[-1] + end
-        if token in vocab:
-            left = states[n - 1 - len(before)]
-            hit = fits.get((left, token))
-            if self.fit(left, token) if hit is None else hit:
-                return token
+        if token in vocab and fit(states[n - 1 - len(before)], token):
+            return token
         for size in range(1, min(len(tail), self.longest) + 1):
             token = tail[-size:] + end
-            if token in vocab:
-                left = states[n - size] if n > size else ""
-                hit = fits.get((left, token))
-                if self.fit(left, token) if hit is None else hit:
-                    return token
+            if token in vocab and fit(states[n - size], token):
+                return token
         raise KeyError(f"no token ends {tail + end!r}")
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[str]]:
@@ -140,7 +135,7 @@ class TextEncoder:
     Encoded pieces and words stay cached in two generations of at most `most_cached` each.
     """
 
-    def __init__(self, path: str, most_cached: int = 150_000):
+    def __init__(self, path: str, most_cached: int = 60_000):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -148,7 +143,8 @@ class TextEncoder:
         self.normalise, self.split = tok.normalizer.normalize_str, tok.pre_tokenizer.pre_tokenize_str
         self.words = WordEncoder(spec["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]])
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.token = self.words.name | {i: t for t, i in self.special.items()}
+        self.token = self.words.name
+        self.token.update({i: t for t, i in self.special.items()})
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.byte = ["".join(w for w, _ in self.split(chr(b))) for b in range(128)]
         # A byte above 127 shows in the split of a character that holds it; all of them occur in these characters.
@@ -157,8 +153,8 @@ class TextEncoder:
                 self.byte += [""] * (b + 1 - len(self.byte))
                 self.byte[b] = shown
         self.most = most_cached
-        self.new: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.word: dict[str, bytes] = {}
         self.word_old: dict[str, bytes] = {}
 
@@ -183,7 +179,7 @@ class TextEncoder:
             self.old, self.new = self.new, {}
         if len(self.word) > self.most:
             self.word_old, self.word = self.word, {}
-        if len(self.words.fits) > 4 * self.most:
+        if len(self.words.fits) > 6 * self.most:
             self.words.fits.clear()
         need: dict[str, list[str]] = {}
         for p in pieces:
@@ -206,10 +202,9 @@ class TextEncoder:
         for w, s in fresh.items():
             self.word[w] = array("I", [self.special[w]] if w in self.special else [vocab[t] for t in tokens[s]]).tobytes()
         for p, ws in need.items():
-            ids = b"".join([self.word[w] for w in ws])
-            self.new[p] = (ids, (self.decode(ids) + " ").encode() if ids else b"")
+            self.new[p] = b"".join([self.word[w] for w in ws])
 
-    def encode_batch(self, texts: pa.Array) -> list[tuple[bytes, bytes]]:
+    def encode_batch(self, texts: pa.Array, decoded: bool = True) -> tuple[list[bytes], list[bytes]]:
         """Of each text: ids as little-endian unsigned 32-bit integers, and their decoded text in UTF-8.
 
         Distinct pieces between white space are looked up once; Arrow then lines up the texts' pieces.
@@ -218,14 +213,19 @@ class TextEncoder:
         pieces = split.flatten().dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
         self.learn(distinct)
-        ends = split.offsets.to_numpy() - split.offsets[0].as_py()
-        out = []
-        for k in (0, 1):
-            lined = pa.array([self.new[p][k] for p in distinct], pa.large_binary()).take(pieces.indices.cast(pa.int64()))
-            at, held = np.frombuffer(lined.buffers()[1], np.int64)[: len(lined) + 1] if len(lined) else np.zeros(1, np.int64), lined.buffers()[2]
-            held = memoryview(held) if held else memoryview(b"")
-            out.append([bytes(held[at[i] : at[j]]) for i, j in zip(ends[:-1], ends[1:], strict=True)])
-        return [(ids, text[:-1]) for ids, text in zip(*out, strict=True)]
+        ends = (split.offsets.to_numpy() - split.offsets[0].as_py()).tolist()
+        ids = [self.new[p] for p in distinct]
+
+        def lined_up(values: list[bytes]) -> list[bytes]:
+            lined = pa.array(values, pa.large_binary()).take(pieces.indices.cast(pa.int64()))
+            if not len(lined):
+                return [b""] * len(texts)
+            at = np.frombuffer(lined.buffers()[1], np.int64)[: len(lined) + 1]
+            held = memoryview(lined.buffers()[2] or b"")
+            return [bytes(held[at[i] : at[j]]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+        shown = [x[:-1] for x in lined_up([(self.decode(x) + " ").encode() if x else b"" for x in ids])] if decoded else []
+        return lined_up(ids), shown
 
     def decode(self, ids: bytes) -> str:
         """Tokens side by side with spaces, as the library has it for a file without a decoder."""
@@ -241,15 +241,14 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = TextEncoder(vocabulary)
-        for batch in slices(batches, limit=8 << 20):
-            found = enc.encode_batch(batch.column("utf8"))
-            cols = [batch.column(0), pa.array([len(x) // 4 for x, _ in found], pa.int64())]
+        for batch in slices(batches, limit=2 << 20):
+            ids, shown = enc.encode_batch(batch.column("utf8"), with_digests)
+            sizes = [len(x) // 4 for x in ids]
+            cols = [batch.column(0), pa.array(sizes, pa.int64())]
             if with_ids:
-                ends = np.cumsum([0, *(len(x) // 4 for x, _ in found)])
-                cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join([x for x, _ in found]), "<u4").astype(np.int32))))
+                cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))))
             if with_digests:
-                cols.append(pa.array([hashlib.sha256(x).hexdigest() for x, _ in found]))
-                cols.append(pa.array([hashlib.sha256(x).hexdigest() for _, x in found]))
+                cols += [pa.array([hashlib.sha256(x).hexdigest() for x in y]) for y in (ids, shown)]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     names = [id_col, "n_tokens", *["ids"] * with_ids, *["ids_sha256", "decoded_sha256"] * with_digests]

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .shared import keep, slices, with_utf8
@@ -235,28 +236,28 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays = keep(firsts.join(roots, "root").select("key", "stays"), "line-stays")
     gone = lines.join(stays, "key").filter(~F.struct("id", "line").eqNullSafe(F.col("stays")))
     gone = keep(gone.groupBy("id").agg(F.collect_set(F.struct("line", "key")).alias("gone")), "lines-gone")
-    cols = docs.columns
-    joined = docs.join(gone.withColumnsRenamed({"id": "_id", "gone": "_gone"}), F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left").drop("_id")
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    joined = whole.join(gone.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left").select("row", "text", "gone")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held, kept = [], [], []
-            for text, drop in zip(batch.column(text_col).to_pylist(), batch.column("_gone").to_pylist(), strict=True):
+            for text, drop in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 raw = text.encode().split(b"\n") if text is not None else []
                 left = raw
                 if drop:
                     going = {(x["line"], x["key"]) for x in drop}
-                    lines_ = {i for i, _ in going}
-                    left = [x for i, x in enumerate(raw) if i not in lines_ or (i, line_key(x.strip()) if x.strip() else None) not in going]
+                    places = {i for i, _ in going}
+                    left = [x for i, x in enumerate(raw) if i not in places or (i, line_key(x.strip()) if x.strip() else None) not in going]
                 out.append(None if text is None else text if left is raw else b"\n".join(left).decode())
                 held.append(len(raw))
                 kept.append(len(left))
-            done = [pa.array(out, pa.string()) if c == text_col else batch.column(c) for c in cols]
-            counted = [pa.array(x, pa.int64()) for x in (held, kept)] if counts else []
-            yield pa.RecordBatch.from_arrays(done + counted, cols + ["n_lines", "n_kept"] * counts)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string()), pa.array(held, pa.int64()), pa.array(kept, pa.int64())], ["row", "text", "n_lines", "n_kept"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_lines long", "n_kept long"] * counts)
-    return joined.mapInArrow(rewrite, schema)
+    schema = T.StructType([T.StructField("row", whole.schema["row"].dataType), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())])
+    done = joined.mapInArrow(rewrite, schema)
+    cols = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return done.select(*cols, *["n_lines", "n_kept"] * counts)
 
 
 def deduped_lines(docs: DataFrame) -> DataFrame:

@@ -66,8 +66,8 @@ def tilts(cells: DataFrame, goals: DataFrame, small: bool, most_steps: int = 60,
     return now.select("key", F.round("tilt", 8).alias("tilt"))  # rounded, so that the order of a sum can't show
 
 
-def entropy_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), bucket_rows: int = 5000, small_sources: int = 50_000) -> DataFrame:
-    """df's columns and `mix`, a struct of source_size (long), target, rate (double), copies (int) and taken (long).
+def entropy_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), bucket_rows: int = 5000, small_sources: int = 50_000, into: str = "mix") -> DataFrame:
+    """df's columns and `into` (which df must not have), a struct of source_size (long), target, rate (double), copies (int) and taken (long).
 
     size_col: words of a row, not null. Null sources are one source, after all others. Rows without words take
     rate 1 and no words. Repeated rows are rounded like others. The source table is broadcast if it has at
@@ -83,24 +83,25 @@ def entropy_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source
     solved = tilts(cells.filter("size > 0").select("key", "size", "docs"), goals.filter("source_size > 0"), small)
     plan = keep(goals.join(solved, "key", "left").select("key", "source_size", "target", "scale", "rows", F.coalesce("tilt", F.lit(0.0)).alias("tilt")), "plan")
     plan = plan.select(F.col("key").alias("_key"), F.struct("source_size", "target", "scale", "rows", "tilt").alias("_plan"))
-    rows = df.withColumn("_key", _source_key(F.col(source_col))).join(F.broadcast(plan) if small else plan, "_key")
-    size = F.col(size_col).cast("long")
+    whole = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(size_col).cast("long").alias("_size"), _source_key(F.col(source_col)).alias("_key"))
+    rows = whole.join(F.broadcast(plan) if small else plan, "_key")
+    size = F.col("_size")
     rate = F.round(2 / (1 + F.exp(-F.col("_plan.tilt") * size / F.col("_plan.scale"))), 9)
     rows = rows.withColumn("_rate", F.least(rate, F.lit(2.0)))
-    drawn = F.xxhash64(F.lit(3), F.col(id_col), size)
+    drawn = F.xxhash64(F.lit(3), F.col("_id"), size)
     rows = rows.withColumn("_bucket", F.pmod(drawn, F.ceil(F.col("_plan.rows") / bucket_rows)))
-    line = Window.partitionBy("_key", "_bucket").orderBy(size.desc(), drawn, F.col(id_col)).rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("_key", "_bucket").orderBy(size.desc(), drawn, F.col("_id")).rowsBetween(Window.unboundedPreceding, 0)
     reach = F.round(F.sum("_rate").over(line), 6)
     rows = rows.withColumn("_reach", reach)
     copies = F.greatest(F.lit(0), F.least(F.lit(2), F.floor(F.col("_reach") + 0.5) - F.floor(F.round(F.col("_reach") - F.col("_rate"), 6) + 0.5))).cast("int")
     # What a bucket's rounding misses in words is made up by its smallest texts that were rounded the other way.
     rows = rows.withColumn("_copies", copies).withColumn("_missed", F.round(F.sum((F.col("_rate") - F.col("_copies")) * size).over(Window.partitionBy("_key", "_bucket")), 3))
     spare = F.when(F.col("_missed") > 0, F.col("_copies") < F.ceil("_rate")).otherwise(F.col("_copies") > F.floor("_rate"))
-    small_first = Window.partitionBy("_key", "_bucket").orderBy(size, drawn, F.col(id_col)).rowsBetween(Window.unboundedPreceding, 0)
+    small_first = Window.partitionBy("_key", "_bucket").orderBy(size, drawn, F.col("_id")).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_spare", spare).withColumn("_mended", F.sum(F.when(F.col("_spare"), size)).over(small_first))
     copies = F.col("_copies") + F.when(F.col("_spare") & (F.col("_mended") <= F.abs("_missed")), F.signum("_missed").cast("int")).otherwise(0)
     mix = F.struct(F.col("_plan.source_size").alias("source_size"), F.col("_plan.target").alias("target"), F.col("_rate").alias("rate"), copies.alias("copies"), (copies * size).cast("long").alias("taken"))
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], mix.alias("mix"))
+    return rows.select("_row.*", mix.alias(into))
 
 
 def word_count(text: Column) -> Column:

@@ -240,6 +240,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one document of each near-duplicate group, the one with the least id. Null ids all stay."""
     groups = near_dedup(docs, id_col, text_col, **how)
     stay = groups.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    kept = docs.filter(F.col(id_col).isNotNull()).join(stay, id_col, "left_semi").withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").drop("_nth")
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"))
+    one = Window.partitionBy("id").orderBy("mark")
+    kept = whole.filter("id IS NOT NULL").join(stay.withColumnRenamed(id_col, "id"), "id", "left_semi").withColumn("nth", F.row_number().over(one)).filter("nth = 1")
+    return kept.select("row").unionByName(whole.filter("id IS NULL").select("row")).select("row.*")
