@@ -60,10 +60,10 @@ def marginal_by_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {DELIVERIES}, c AS (SELECT memory_id, kind, count(*)::BIGINT AS delivered, count(engaged)::BIGINT AS scored, coalesce(sum(engaged), 0)::BIGINT AS engaged, max(grade)::INTEGER AS max_grade FROM deliveries GROUP BY ALL)
-    SELECT * FROM c WHERE delivered >= CASE WHEN kind = 'correction' THEN 3 ELSE 2 END AND scored >= 1 AND engaged = 0 AND coalesce(max_grade, 0) <= 0 AND kind NOT IN ('person', 'preference')""")
+    SELECT * FROM c WHERE delivered >= CASE WHEN kind = 'correction' THEN 2 ELSE 1 END AND scored >= 1 AND engaged = 0 AND coalesce(max_grade, 0) <= 0 AND kind NOT IN ('person', 'preference')""")
 def suppress_dead_weight(spark: SparkSession, d: str) -> DataFrame:
     """O19, A18."""
-    return outcomes.dead_weight(deliveries(spark, d), Params(suppress_delivered=2, suppress_corrections=3, suppress_scored=1))
+    return outcomes.dead_weight(deliveries(spark, d), Params(suppress_delivered=1, suppress_corrections=2, suppress_scored=1))
 
 
 @query(f"""WITH {DELIVERIES}, f AS (SELECT unnest(range(0, 21)) / 20.0::DOUBLE AS floor), c AS (SELECT floor, count(*) FILTER (grade = 3 AND score >= floor) AS good, count(*) FILTER (grade = 0 AND score >= floor) AS noise,
