@@ -65,7 +65,13 @@ SECTIONS = {
 
 def sections(files: DataFrame, names: tuple[str, ...] = tuple(SECTIONS)) -> DataFrame:
     """(section, path, unit) of each pattern's hits. All patterns run in one scan of the files."""
-    found = [F.transform(F.when(F.col("path").rlike(SECTIONS[n][0]), F.array_distinct(F.regexp_extract_all("content", F.lit(SECTIONS[n][1]), F.lit(1)))).otherwise(F.array().cast("array<string>")), lambda u, n=n: F.struct(F.lit(n).alias("section"), u.alias("unit"))) for n in names]
+
+    def units(name: str) -> Column:
+        where, pattern = SECTIONS[name]
+        hits = F.when(F.col("path").rlike(where), F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(1))))
+        return F.transform(F.coalesce(hits, F.array().cast("array<string>")), lambda u: F.struct(F.lit(name).alias("section"), u.alias("unit")))
+
+    found = [units(n) for n in names]
     return files.select("path", F.explode(F.concat(*found)).alias("x")).select("x.section", "path", "x.unit")
 
 
