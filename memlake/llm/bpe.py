@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from .shared import slices, with_utf8
+from .shared import give_back, slices, with_utf8
 
 END = "</w>"
 
@@ -241,7 +241,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = TextEncoder(vocabulary)
-        for batch in slices(batches, limit=2 << 20):
+        give_back()
+        for batch in slices(batches, limit=1 << 20):
             ids, shown = enc.encode_batch(batch.column("utf8"), with_digests)
             sizes = [len(x) // 4 for x in ids]
             cols = [batch.column(0), pa.array(sizes, pa.int64())]
@@ -250,6 +251,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             if with_digests:
                 cols += [pa.array([hashlib.sha256(x).hexdigest() for x in y]) for y in (ids, shown)]
             yield pa.RecordBatch.from_arrays(cols, names)
+        del enc
+        give_back()
 
     names = [id_col, "n_tokens", *["ids"] * with_ids, *["ids_sha256", "decoded_sha256"] * with_digests]
     kinds = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import keep, slices, with_utf8
+from .shared import give_back, keep, slices, with_utf8
 
 SIZE, BINS, ROWS = 8, 40, 4
 _NONE = np.uint64(2**64 - 1)
@@ -98,14 +98,14 @@ def _lines(utf8: bytes) -> list[bytes]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
-    for batch in slices(batches, limit=2 << 20):
+    for batch in slices(batches, limit=512 << 10):
         keys, new = [], {}
         for utf8 in batch.column("utf8").to_pylist():
             lines = _lines(utf8)
             own = [line_key(x) if x else None for x in lines]
             keys.append(own)
             new |= {k: x for k, x in zip(own, lines, strict=True) if k is not None and k not in seen}
-        if len(seen) > 1_000_000:
+        if len(seen) > 200_000:
             seen.clear()
         seen.update(new)
         bands = bands_of(signatures([str(x, "utf-8", "replace") for x in new.values()])) if new else np.zeros((0, BINS // ROWS), np.int64)
@@ -113,6 +113,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.full(batch.num_rows + 1, len(new), np.int32)
         ends[0] = 0
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), signed)], ["id", "keys", "signed"])
+    del seen
+    give_back()
 
 
 def bitmap_of(df: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -190,10 +192,12 @@ def similar_lines(docs: DataFrame, signed: DataFrame, text_col: str = "text", le
                     at = k & (8 * len(bits) - 1)
                     if x and bits[at >> 3] >> (at & 7) & 1 and k not in seen:
                         new[k] = x
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             seen.update(new)
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.binary())], ["key", "line"])
+        del seen
+        give_back()
 
     line = with_utf8(docs, text=text_col).mapInArrow(texts, "key long, line binary").join(member.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
 
@@ -213,6 +217,8 @@ def similar_lines(docs: DataFrame, signed: DataFrame, text_col: str = "text", le
                     group, rows = (band, i, j), []
                 rows.append((key, own))
         yield links()
+        rows = []
+        give_back()
 
     spread = member.join(line, "key").select("band", "i", "j", "key", "line").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     return spread.mapInArrow(verify, "a long, b long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -57,3 +59,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "utf8", limit: int =
             held += n
         if at < batch.num_rows:
             yield batch.slice(at)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers are reused, and what they hold counts for their executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return

@@ -13,7 +13,6 @@ import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -22,7 +21,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .line_dedup import bitmap_of, bucket_forest
-from .shared import WORD, keep, slices, with_utf8
+from .shared import WORD, give_back, keep, slices, with_utf8
 
 
 def _shingle_hashes(utf8: bytes, size: int, seed: int) -> Iterator[np.ndarray]:
@@ -187,18 +186,18 @@ def verified_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, l
     member = keep(member.select("least", "fp", "component", "parts", "part"), "near-members")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(member.select(F.xxhash64("least").alias("at")), "at", bitmap_bits))
 
-    @F.pandas_udf("boolean")
-    def wanted(h: pd.Series) -> pd.Series:
-        at = h.to_numpy() & (8 * len(bits.value) - 1)
-        return pd.Series((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bits.value
         for batch in slices(batches):
+            at = batch.column("at").to_numpy() & (8 * len(held) - 1)
+            batch = batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingle_hashes(x, size, 42)])).tobytes() for x in batch.column("utf8").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["least", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("least"), pa.array(found, pa.binary())], ["least", "shingles"])
+        give_back()
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = with_utf8(docs.filter(wanted(F.xxhash64(id_col))), F.col(id_col).alias("least"), text=text_col).mapInArrow(sets, f"least {id_type}, shingles binary")
+    marked = with_utf8(docs, F.col(id_col).alias("least"), text=text_col).select("least", F.xxhash64("least").alias("at"), "utf8")
+    texts = marked.mapInArrow(sets, f"least {id_type}, shingles binary")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(F.least("part", p).alias("i"), F.greatest("part", p).alias("j")))
     spread = member.join(texts, "least").select("component", F.explode(pairs).alias("x"), "fp", "shingles").select("component", "x.i", "x.j", "fp", "shingles")
 
@@ -216,6 +215,8 @@ def verified_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, l
                     group, rows = (comp, i, j), []
                 rows.append((fp, np.frombuffer(shingles, np.uint64)))
         yield links()
+        rows = []
+        give_back()
 
     return spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(verify, "a binary, b binary")
 

@@ -82,7 +82,7 @@ def minimisers(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices with their words' hashes. A text of over 2^22 words or so is taken in overlapping pieces."""
     piece = 1 << 23
-    for batch in slices(batches, limit=2 << 20):
+    for batch in slices(batches, limit=1 << 20):
         texts = batch.column("utf8").to_pylist()
         if len(texts) == 1 and len(texts[0]) > piece:
             yield from _long(batch, texts[0], piece)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, with_utf8
+from .shared import give_back, slices, with_utf8
 
 BUCKETS = 1 << 20
 _TERM = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -101,7 +101,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for utf8, y in zip(batch.column("utf8").to_pylist(), batch.column("y").to_pylist(), strict=True):
             got = {b for w in words_of(utf8) for b in (cache.get(w) or cache.setdefault(w, buckets_of(w)))}
             counts[int(y), list(got)] += 1
-            if len(cache) > 200_000:
+            if len(cache) > 50_000:
                 cache.clear()
     used = np.flatnonzero(counts.any(0))
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[1, used], pa.int64()), pa.array(counts[0, used], pa.int64())], ["bucket", "pos", "neg"])
@@ -153,9 +153,11 @@ def score_toxicity(docs: DataFrame, machine: Machine, threshold: float = 0.3) ->
         m, cache = held.value, {}
         for batch in slices(batches):
             out = [m.score(_present(x, m.feature, cache)) for x in batch.column("utf8").to_pylist()]
-            if len(cache) > 500_000:
+            if len(cache) > 150_000:
                 cache.clear()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(out, pa.float64())], ["doc_id", "held_out", "score"])
+        del cache
+        give_back()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = with_utf8(docs, "doc_id").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "utf8")
@@ -171,7 +173,9 @@ def clean_documents(docs: DataFrame, machine: Machine, threshold: float = 0.3, t
         m, cache = held.value, {}
         for part in parts:
             yield pd.Series([m.score(_present(x.encode() if x is not None else b"", m.feature, cache)) for x in part], dtype="float64")
-            if len(cache) > 500_000:
+            if len(cache) > 150_000:
                 cache.clear()
+        del cache
+        give_back()
 
     return docs.filter(score(F.col(text_col)) < threshold)
