@@ -142,6 +142,10 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
+def _links(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k in (0, 1)], ["a", "b"])
+
+
 def bucket_forest(rows: list[tuple[int, np.ndarray]], least: float) -> list[tuple[int, int]]:
     """Links that join what the pairs with exact Jaccard of `least` or more join, breadth first."""
     left, out = dict(rows), []
@@ -203,20 +207,16 @@ def similar_lines(docs: DataFrame, signed: DataFrame, text_col: str = "text", le
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
-
-        def links() -> pa.RecordBatch:
-            found = bucket_forest(rows, least) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
         for batch in slices(batches, "line", 1 << 20):
+            found = []
             sets = shingle_sets(batch.column("line").to_pylist())
             for band, i, j, key, own in zip(*(batch.column(k).to_pylist() for k in ("band", "i", "j", "key")), sets, strict=True):
                 if (band, i, j) != group:
-                    if len(rows) > 1:
-                        yield links()
+                    found += bucket_forest(rows, least)
                     group, rows = (band, i, j), []
                 rows.append((key, own))
-        yield links()
+            yield _links(found, pa.int64())
+        yield _links(bucket_forest(rows, least), pa.int64())
         rows = []
         give_back()
 
@@ -242,7 +242,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays = keep(firsts.join(roots, "root").select("key", "stays"), "line-stays")
     gone = lines.join(stays, "key").filter(~F.struct("id", "line").eqNullSafe(F.col("stays")))
     gone = keep(gone.groupBy("id").agg(F.collect_set(F.struct("line", "key")).alias("gone")), "lines-gone")
-    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    whole = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     joined = whole.join(gone.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left").select("row", "text", "gone")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .line_dedup import bitmap_of, bucket_forest
+from .line_dedup import _links, bitmap_of, bucket_forest
 from .shared import WORD, give_back, keep, slices, with_utf8
 
 
@@ -203,18 +203,15 @@ def verified_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, l
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
-
-        def links() -> pa.RecordBatch:
-            found = bucket_forest(rows, least) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
-
-        for batch in batches:
+        for batch in slices(batches, "shingles"):
+            found = []
             for comp, i, j, fp, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (comp, i, j) != group:
-                    yield links()
+                    found += bucket_forest(rows, least)
                     group, rows = (comp, i, j), []
                 rows.append((fp, np.frombuffer(shingles, np.uint64)))
-        yield links()
+            yield _links(found, pa.binary())
+        yield _links(bucket_forest(rows, least), pa.binary())
         rows = []
         give_back()
 
