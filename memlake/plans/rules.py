@@ -78,7 +78,7 @@ rule("pairwise_agreement", "O14: how often the better grade has the higher score
 rule("reactivate", "O20: archived records with an engaged or well graded delivery.",
      "SELECT r.id FROM {records} r WHERE coalesce(r.archived_reason, '') <> '' AND EXISTS (SELECT 1 FROM {deliveries} d WHERE d.id = r.id AND (d.engaged = 1 OR d.grade >= 2))")
 rule("calibration_moves", "O21: archive, promote, decay or keep, by deliveries, rate and sessions.",
-     "WITH s AS (SELECT version, count(*) AS n, count_if(engaged = 1) / CAST(count(*) AS DOUBLE) AS rate, count(DISTINCT session_id) AS sessions FROM {deliveries} GROUP BY version) SELECT version, n, CASE WHEN n >= 10 AND rate < 0.2 THEN 'archive' WHEN n >= 5 AND rate >= 0.8 AND sessions >= 3 THEN 'promote' WHEN rate >= 0.4 AND rate <= 0.6 THEN 'review' ELSE 'keep' END AS move, round(0.7 * power(0.5, n / 61.0), 6) AS decayed FROM s", **{"n / 61.0": "n / 61.0::DOUBLE"})
+     "WITH s AS (SELECT version, count(*) AS n, count_if(engaged = 1) / CAST(count(*) AS DOUBLE) AS rate, count(DISTINCT session_id) AS sessions FROM {deliveries} GROUP BY version) SELECT version, n, CASE WHEN n >= 10 AND rate < 0.2 THEN 'archive' WHEN n >= 5 AND rate >= 0.8 AND sessions >= 3 THEN 'promote' WHEN rate >= 0.4 AND rate <= 0.6 THEN 'review' ELSE 'keep' END AS move, round(0.7 * power(0.5, n / CAST(61 AS DOUBLE)), 6) AS decayed FROM s")
 rule("counter_merge", "O22, O26: counters that grow by a batch's counts.",
      "WITH old AS (SELECT version, count(*) AS n FROM {deliveries} WHERE id % 2 = 0 GROUP BY version), new AS (SELECT version, count(*) AS n FROM {deliveries} WHERE id % 2 = 1 GROUP BY version) SELECT coalesce(old.version, new.version) AS version, coalesce(old.n, 0) + coalesce(new.n, 0) AS n FROM old FULL JOIN new ON old.version = new.version")
 rule("incremental_archive", "M10: records of changed sections, which a new run replaces.",
