@@ -11,7 +11,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import deduped_lines
 from .media import media_report
 from .mixing import mix_documents
-from .secret_scan import secret_report
+from .secret_scan import BASE, RULES, secret_report
 from .shared import documents
 from .sharding import shard_documents
 from .simhash import simhash_dedup
@@ -73,7 +73,24 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_mixing, op4_secret_scan, op5_toxicity, op6_bpe, op7_sharding, op8_line_dedup, op9_exact_dedup, op10_media)}
 
 
+def _secret_sql() -> str:
+    """op4 in DuckDB: text between the matches of a rule gives their places, as in the operator."""
+    quoted = lambda x: x.replace("'", "''")
+    matches = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS rank, '{r.kind}' AS kind, '{quoted(r.keep or '.')}' AS good, regexp_extract_all(t, '{quoted(r.pattern)}') AS f, regexp_split_to_array(t, '{quoted(r.pattern)}') AS g FROM d WHERE regexp_matches(t, '{quoted(r.pattern)}')"
+        for i, r in enumerate(RULES)
+    )
+    count = lambda i: f"coalesce(count(*) FILTER (rank = {i}), 0)::BIGINT"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS blob FROM documents), m AS ({matches}),
+        s AS (SELECT doc_id, rank, kind, good, unnest([{{'a': coalesce(list_sum([length(x) for x in g[1:i]]), 0) + coalesce(list_sum([length(x) for x in f[1:i - 1]]), 0), 'm': f[i]}} for i in range(1, len(f) + 1)]) AS x FROM m),
+        k AS (SELECT doc_id, rank, x.a::BIGINT AS a, concat_ws(':', kind, x.a::BIGINT, x.a::BIGINT + length(x.m)) AS span FROM s WHERE regexp_matches(x.m, good)),
+        c AS (SELECT doc_id, {count(0)} AS n_assign, {count(1)} AS n_access, {count(2)} AS n_hex, string_agg(span, ',' ORDER BY a, rank) FILTER (rank < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY a, rank) AS spans FROM k GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, blob FROM d LEFT JOIN c USING (doc_id)"""
+
+
 ORACLE_SQL = {
+    "op4_secret_scan": _secret_sql(),
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
