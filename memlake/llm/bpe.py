@@ -8,6 +8,7 @@ word's leaf the tokens are read off backwards.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from .shared import give_back, slices, with_utf8
 
 END = "</w>"
+#: Stands for the state before the first symbol; above all ids.
+_START = 0xFFFFF
 
 
 class WordEncoder:
@@ -54,29 +57,36 @@ class WordEncoder:
 
     def fit(self, left: str, right: str) -> bool:
         """Whether the two tokens side by side stay as they are; left may be empty."""
-        key = self.vocab.get(left, 0xFFFFF) << 20 | self.vocab[right]
+        key = self.vocab.get(left, _START) << 20 | self.vocab[right]
         hit = self.fits.get(key)
         if hit is None:
             hit = self.fits[key] = self.merged(_symbols(left) + _symbols(right)) == ([left, right] if left else [right])
         return hit
 
-    def last(self, tail: str, end: str, states: list[str]) -> str:
-        """The last token of a prefix: states[i] is that of its first i symbols, tail its last symbols.
+    def last(self, tail: str, end: str, states: list[str], ids: list[int]) -> tuple[str, int]:
+        """The last token of a prefix and its id: states[i], ids[i] are those of its first i symbols, tail its last ones.
 
         One token fits at most, so the order of trial is free: the token before, made longer, comes first.
         """
-        vocab, fit, n, before = self.vocab, self.fit, len(states), states[-1]
+        find, known, n, before = self.vocab.get, self.fits.get, len(states), states[-1]
         token = before + tail[-1] + end
-        if token in vocab and fit(states[n - 1 - len(before)], token):
-            return token
+        t = find(token)
+        if t is not None:
+            at = n - 1 - len(before)
+            hit = known(ids[at] << 20 | t)
+            if self.fit(states[at], token) if hit is None else hit:
+                return token, t
         for size in range(1, min(len(tail), self.longest) + 1):
             token = tail[-size:] + end
-            if token in vocab and fit(states[n - size], token):
-                return token
+            t = find(token)
+            if t is not None:
+                hit = known(ids[n - size] << 20 | t)
+                if self.fit(states[n - size], token) if hit is None else hit:
+                    return token, t
         raise KeyError(f"no token ends {tail + end!r}")
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[str]]:
-        """Tokens of each distinct word. The trie's leaves are the words' ends, so a word may be another's prefix."""
+    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
+        """Token ids of each distinct word. The trie's leaves are the words' ends, so a word may be another's prefix."""
         trie: dict = {}
         for word in words:
             node = trie
@@ -86,25 +96,28 @@ class WordEncoder:
                     below = node[c] = {}
                 node = below
             node[word[-1] + END] = None
-        out: dict[str, list[str]] = {}
+        out: dict[str, list[int]] = {}
         path: list[str] = []
-        states = [""]
+        states, ids = [""], [_START]
         walk = [(0, c, node) for c, node in trie.items()]
         while walk:
             depth, symbol, node = walk.pop()
-            del path[depth:], states[depth + 1 :]
+            del path[depth:], states[depth + 1 :], ids[depth + 1 :]
             if node is None:
                 c = symbol[: -len(END)]
-                tokens = [self.last("".join(path[-self.longest :]) + c, END, states)]
-                i = depth + 1 - len(tokens[0]) + len(END)
+                token, t = self.last("".join(path[-self.longest :]) + c, END, states, ids)
+                found = [t]
+                i = depth + 1 - len(token) + len(END)
                 while i:
-                    tokens.append(states[i])
+                    found.append(ids[i])
                     i -= len(states[i])
-                tokens.reverse()
-                out["".join(path) + c] = tokens
+                found.reverse()
+                out["".join(path) + c] = found
                 continue
             path.append(symbol)
-            states.append(self.last("".join(path[-self.longest :]), "", states))
+            token, t = self.last("".join(path[-self.longest :]), "", states, ids)
+            states.append(token)
+            ids.append(t)
             depth += 1
             for c, below in node.items():
                 walk.append((depth, c, below))
@@ -177,7 +190,7 @@ class TextEncoder:
         """Makes the pieces' ids known; words that aren't cached are encoded in one trie."""
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
-        if len(self.word) > self.most:
+        if len(self.word) > 2 * self.most:
             self.word_old, self.word = self.word, {}
         if len(self.words.fits) > 6 * self.most:
             self.words.fits.clear()
@@ -198,9 +211,11 @@ class TextEncoder:
                         fresh[w] = w if w in self.special else self.shown(w)
                     else:
                         self.word[w] = hit
-        tokens, vocab = self.words.encode_words({s for s in fresh.values() if s not in self.special}), self.words.vocab
+        gc.disable()  # the trie has no cycles, and scanning the caches for some takes long
+        ids = self.words.encode_words({s for s in fresh.values() if s not in self.special})
+        gc.enable()
         for w, s in fresh.items():
-            self.word[w] = array("I", [self.special[w]] if w in self.special else [vocab[t] for t in tokens[s]]).tobytes()
+            self.word[w] = array("I", [self.special[w]] if w in self.special else ids[s]).tobytes()
         for p, ws in need.items():
             self.new[p] = b"".join([self.word[w] for w in ws])
 
