@@ -93,3 +93,23 @@ rule("best_of_subqueries", "R20: the best score of a record over several queries
      "WITH q AS (SELECT id, score FROM {deliveries} WHERE id % 2 = 0 UNION ALL SELECT id, engaged_score FROM {deliveries}) SELECT id, round(max(score), 6) AS score FROM q GROUP BY id")
 rule("first_source_wins", "Union by id where the first source counts, as for keyword hits before others.",
      "WITH u AS (SELECT id, 'keyword' AS source, 0 AS p FROM {records} WHERE id % 6 = 0 UNION ALL SELECT id, 'hybrid', 1 FROM {records} WHERE id % 4 = 0) SELECT id, source FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS r FROM u) x WHERE r = 1")
+rule("version_history", "P11, M8: earlier versions of an order's row, newest first.",
+     "SELECT key_id, CAST(version AS BIGINT) AS version, content FROM (SELECT o_orderkey % 500 AS key_id, row_number() OVER (PARTITION BY o_orderkey % 500 ORDER BY o_orderkey) AS version, o_orderkey AS content, count(*) OVER (PARTITION BY o_orderkey % 500) AS n FROM {orders}) x WHERE version < n")
+rule("retract_by_source", "P13, M14: rows that a retraction by source would archive, with what they were.",
+     f"SELECT project, count(*) AS n, count(CASE WHEN {ACTIVE} THEN 1 END) AS active, count(CASE WHEN NOT ({ACTIVE}) THEN 1 END) AS gone FROM {{records}} WHERE project LIKE 'src1%' GROUP BY project")
+rule("location_status", "P25: a stated place against an index of what is there.",
+     "WITH stated AS (SELECT page_id, split_part(url, '/', 4) AS place, page_id % 7 AS size FROM {pages}), idx AS (SELECT split_part(url, '/', 4) AS place, max(page_id % 7) AS size FROM {pages} WHERE page_id % 3 <> 0 GROUP BY split_part(url, '/', 4)) SELECT s.page_id, CASE WHEN s.place = '' THEN 'UNKNOWN' WHEN i.place IS NULL THEN 'MISSING' WHEN i.size <> s.size THEN 'DRIFT' ELSE 'OK' END AS status FROM stated s LEFT JOIN idx i ON i.place = s.place")
+rule("assessed_pairs", "C2, C3: pairs of a session that no one assessed, where both scores pass.",
+     "WITH p AS (SELECT a.id AS a, b.id AS b, a.score AS sa, b.score AS sb FROM {deliveries} a JOIN {deliveries} b ON a.session_id = b.session_id AND a.id < b.id) SELECT p.a, p.b FROM p WHERE least(sa, sb) >= 0.3 AND NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = p.a AND l.toxic = 1)")
+rule("semantic_rescue", "O3: undecided or unengaged rows that a second score with a margin makes engaged.",
+     "SELECT id, CASE WHEN engaged = 1 THEN 'lexical' WHEN score >= 0.55 AND score - greatest(engaged_score, 0) >= 0.05 THEN 'semantic' END AS method, CASE WHEN engaged = 1 OR (score >= 0.55 AND score - greatest(engaged_score, 0) >= 0.05) THEN 1 ELSE engaged END AS engaged FROM {deliveries}")
+rule("replace_edges", "M11: edges of rescanned files replaced, others kept.",
+     "WITH old AS (SELECT page_id % 40 AS file, page_id AS target FROM {pages} WHERE page_id % 2 = 0), new AS (SELECT page_id % 40 AS file, page_id AS target FROM {pages} WHERE page_id % 40 < 10) SELECT file, target FROM old WHERE file NOT IN (SELECT file FROM new) UNION ALL SELECT file, target FROM new")
+rule("watchdog", "T10, A43: queue depth, oldest item and failures by kind.",
+     "SELECT event_type, count(*) AS depth, min(event_id) AS oldest, count_if(value < 1) AS failed, count_if(value < 1) * 5 > count(*) AS stuck FROM {events} GROUP BY event_type")
+rule("best_trigger", "R14, R16: the best record for each session, and whether it reaches the threshold.",
+     "SELECT session_id, id, round(score, 6) AS score, score >= 0.45 AS fires FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, id) AS r FROM {deliveries} WHERE kind <> 'person') x WHERE r = 1 AND score > 0.3")
+rule("superseding_merge", "C4, C8: each copy group's newest row stays and names what it replaces.",
+     "WITH g AS (SELECT lang, n_chars, max(doc_id) AS newest, count(*) AS n FROM {documents} GROUP BY lang, n_chars HAVING count(*) > 1) SELECT d.doc_id, CASE WHEN d.doc_id = g.newest THEN 'stays' ELSE concat('consolidated:', CAST(g.newest AS STRING)) END AS state FROM {documents} d JOIN g ON g.lang = d.lang AND g.n_chars = d.n_chars")
+rule("coalesced_backfill", "C15: a missing value taken from another table, known ones left alone.",
+     "SELECT r.id, coalesce(CASE WHEN r.id % 3 <> 0 THEN r.confidence END, CAST(l.quality AS DOUBLE)) AS confidence FROM {records} r LEFT JOIN {labels} l ON l.doc_id = r.id")
