@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import direction_mismatch
 from ..functions.scalars import dot
 from ..params import DEFAULTS, Params
+from ..sources.storage import work_folder
 
 
 def duplicate_groups(rows: DataFrame, *keys: str) -> DataFrame:
@@ -20,8 +21,8 @@ def star_clusters(edges: DataFrame, least: int = DEFAULTS.cluster_least, most: i
     """Greedy clusters (seed, id) from similarity edges (a, b), a < b. Not transitive.
 
     In id order a node that no seed has taken becomes a seed and takes its free later neighbours, `most` rows at
-    most. The rule is sequential, but only within a connected component: components are found by hash-free
-    label rounds, and each is walked by itself in one task.
+    most. The rule is sequential, but only within a connected component: components are found by
+    rounds of least labels, and each is walked by itself in one task.
     """
     labels = _component_labels(edges)
     parts = edges.join(labels.withColumnRenamed("node", "a"), "a")
@@ -47,11 +48,9 @@ def star_clusters(edges: DataFrame, least: int = DEFAULTS.cluster_least, most: i
 def _component_labels(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, label): the least node reached. Rounds of taking the neighbours' least label, checkpointed."""
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct()
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memlake-"))
+    context = edges.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(work_folder(edges.sparkSession))
     both = both.checkpoint()
     now = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).withColumnRenamed("x", "node").checkpoint()
     for _ in range(rounds):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,19 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from ..operators.merge import last_writer_wins
-
-
-def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; in local mode under a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="memlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/memlake/{uuid.uuid4().hex}-stream"
+from ..sources.storage import work_folder  # noqa: F401
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
