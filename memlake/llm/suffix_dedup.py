@@ -6,6 +6,11 @@ by a count and a bitmap of fixed size. The suffixes left carry the hashes of the
 range sort by the words after them, in which common passages spread over partitions, puts those with the longest
 common prefixes side by side. Neighbours are compared, matches extended to the right and to the left, and spans of
 at least `least` words kept and merged. Partition ends are compared once more among themselves.
+
+A passage of 50 words has its first minimiser within its first 30 words, so two suffixes that stand for it agree in
+21 words to the right at least. Where more rows agree in those than neighbours are compared, the windows of 50 words
+around each are hashed and those that two documents hold are kept; rows that may go on beyond a chunk hand their
+windows to a count over all chunks.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from .shared import keep, slices, with_utf8
 LEAST, GRAM, WINDOW = 50, 10, 30
 LEFT = WINDOW - 1
 NEAR = 4
+TIED = LEAST - LEFT
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _TABLE = np.random.default_rng(2).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -154,6 +160,43 @@ class _Chunk:
         nxt = np.minimum.accumulate(np.where(np.append(self.change[1:], False), np.arange(n), n)[::-1])[::-1] + 1
         i = np.flatnonzero(nxt < n)
         self._match(i, nxt[i], ids)
+        self.open: list[tuple[np.ndarray, int, np.ndarray]] = []
+        self._windows()
+
+    def _windows(self) -> None:
+        """Windows of LEAST words that two documents hold, among rows that tie with more than their neighbours."""
+        n = len(self.pos)
+        tie = (self.right[1:, :TIED] == self.right[:-1, :TIED]).all(1) & (self.n_right[1:] >= TIED) & (self.n_right[:-1] >= TIED)
+        run = np.cumsum(np.append(False, ~tie))
+        edge = (run == run[0]) | (run == run[-1])
+        at = np.flatnonzero(((np.bincount(run)[run] > NEAR + 1) | edge) & (self.n_right >= TIED))
+        doc = self.batch.column("id").dictionary_encode(null_encoding="encode").indices.to_numpy()
+        base, power = np.uint64(_BASE), _powers(_BASE, LEAST + 1)
+        before = np.zeros((LEFT + 1, len(at)), np.uint64)
+        for o in range(LEFT):
+            before[o + 1] = before[o] + self.left[at, o] * power[o]
+        after = np.zeros(len(at), np.uint64)
+        for k in range(LEAST):
+            after = after * base + self.right[at, k]
+            o = LEAST - k - 1
+            if o > LEFT:
+                continue
+            has = np.flatnonzero((self.n_left[at] >= o) & (self.n_right[at] > k))
+            if not len(has):
+                continue
+            i, h = at[has], _mix(before[o, has] * power[k + 1] + after[has])
+            order = np.lexsort((doc[i], h))
+            i, h = i[order], h[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            last = np.append(first[1:], len(h)) - 1
+            both = np.repeat(doc[i[first]] != doc[i[last]], last - first + 1)
+            self.to_left[i[both]] = np.maximum(self.to_left[i[both]], o)
+            self.to_right[i[both]] = np.maximum(self.to_right[i[both]], k + 1)
+            told = ~both  # of a window known to be shared, rows of two documents tell the other chunks so
+            told[first] = told[last] = True
+            told &= edge[i]
+            if told.any():
+                self.open.append((i[told], o, h[told]))
 
     def _match(self, i: np.ndarray, j: np.ndarray, ids: list) -> None:
         for at in range(0, len(i), 1 << 15):
@@ -173,6 +216,12 @@ class _Chunk:
         zero = pa.array(np.zeros(len(at), np.int32))
         return pa.RecordBatch.from_arrays([self.batch.column("id").take(pa.array(at)), pa.array(self.pos[at] - self.to_left[at]), pa.array(self.pos[at] + self.to_right[at]), zero, pa.nulls(len(at), pa.int64()), zero, zero, none, none, zero], OUT)
 
+    def windows(self) -> Iterator[pa.RecordBatch]:
+        """Windows of rows whose ties may go on in another chunk (side 3), their hash as `pos`."""
+        for i, o, h in self.open:
+            none, zero, start = pa.nulls(len(i), pa.binary()), pa.array(np.zeros(len(i), np.int32)), self.pos[i] - o
+            yield pa.RecordBatch.from_arrays([self.batch.column("id").take(pa.array(i)), pa.array(start), pa.array(start + LEAST), pa.array(np.full(len(i), 3, np.int32)), pa.array(h.view(np.int64)), zero, zero, none, none, zero], OUT)
+
     def edge(self, lo: int, hi: int, side: int, part: int) -> pa.RecordBatch:
         b, n = self.batch.slice(lo, hi - lo), hi - lo
         nil = pa.nulls(n, pa.int64())
@@ -191,7 +240,7 @@ OUT = ["id", "start", "end", "side", "pos", "n_right", "n_left", "right", "left"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], edges: bool, most: int = 100_000) -> Iterator[pa.RecordBatch]:
-    """Matches of sorted suffixes (side 0) and, with `edges`, the partition's first (1) and last (2) rows."""
+    """Matches of sorted suffixes (side 0) and, with `edges`, the partition's first (1) and last (2) rows and open windows (3)."""
     part = TaskContext.get().partitionId()
     held: list[pa.RecordBatch] = []
     first = True
@@ -212,6 +261,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch], edges: bool, most: int = 100_
             yield chunk.edge(0, chunk.reach(True), 1, part)
         first = False
         yield chunk.found(0, n)  # rows that stay are compared again with what follows; spans are merged in the end
+        if edges:
+            yield from chunk.windows()
         held = [chunk.batch.slice(n - stay)]
     if held:
         chunk = joined()
@@ -221,6 +272,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch], edges: bool, most: int = 100_
             if first:
                 yield chunk.edge(0, chunk.reach(True), 1, part)
             yield chunk.edge(n - chunk.reach(False), n, 2, part)
+            yield from chunk.windows()
+
+
+def _shared_windows(windows: DataFrame) -> DataFrame:
+    """id, start, end of the windows (id, start, end, window) that two ids hold, null being one."""
+    held = windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("id").alias("known"), F.count(F.lit(1)).alias("n"))
+    return windows.join(held.filter("low <> high OR (known > 0 AND known < n)").select("window"), "window").select("id", "start", "end")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = 1 << 26) -> DataFrame:
@@ -228,8 +286,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A passage has 50 words or more, words being runs of other than ASCII white space. Null, empty and shorter
     texts have no spans, rows that share an id (null is one) are one document, and copies are spans from end to
-    end. A span may lack up to 29 words at its left where its partner there differs from the partners that match
-    best to the right. No rows: an empty result.
+    end. No rows: an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = with_utf8(docs, F.col(id_col).alias("id"), text=text_col)
@@ -257,11 +314,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = ["right", "id", "pos"]
     sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     found = keep(sorted_.mapInArrow(lambda b: _neighbours(b, True), out), "suffix-matches")
-    ends = found.filter("side > 0")
+    ends = found.filter("side IN (1, 2)")
     parts = ends.select("part").distinct().withColumn("nth", F.row_number().over(Window.orderBy("part")))  # a row a partition
     ends = ends.join(F.broadcast(parts), "part").withColumn("border", F.when(F.col("side") == 2, F.col("nth")).otherwise(F.col("nth") - 1))
     again = ends.repartition("border").sortWithinPartitions("border", *order).select(*SUFFIX).mapInArrow(lambda b: _neighbours(b, False), out)
-    spans = found.filter("side = 0").unionByName(again).select("id", "start", "end").distinct()
+    far = _shared_windows(found.filter("side = 3").select("id", "start", "end", F.col("pos").alias("window")))
+    spans = found.filter("side = 0").unionByName(again).select("id", "start", "end").union(far).distinct()
     by_start = Window.partitionBy("id").orderBy("start", "end")
     reached = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("fresh", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int")).withColumn("nth", F.sum("fresh").over(by_start))

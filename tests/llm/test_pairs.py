@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -13,6 +14,8 @@ from memlake.llm import line_dedup, shared, simhash, suffix_dedup
 from memlake.llm.components import components
 from memlake.llm.exact_dedup import exact_dedup, misra_gries
 
+from .conftest import words
+
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -103,6 +106,37 @@ def test_suffix_spans_against_brute_force(spark, odd, none):
     assert suffix_dedup.repeated_spans(none).count() == 0
 
 
+def test_suffix_spans_with_frequent_tails(spark):
+    rng, rows = random.Random(3), []
+    for own, tail in ((15, 40), (25, 30), (29, 21), (28, 50), (10, 45), (20, 35)):
+        shared, often = words(rng, own), words(rng, tail)
+        for k in range(62):
+            middle = (shared if k in (7, 41) else words(rng, own)) + often
+            rows.append((len(rows), " ".join(words(rng, 60) + middle + words(rng, 60))))
+    rng.shuffle(rows)
+    seen, want = defaultdict(set), defaultdict(set)
+    for d, t in rows:
+        for i in range(len(w := t.split()) - 49):
+            seen[tuple(w[i : i + 50])].add(d)
+    for d, t in rows:
+        for i in range(len(w := t.split()) - 49):
+            if len(seen[tuple(w[i : i + 50])]) > 1:
+                want[d] |= set(range(i, i + 50))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for adaptive, parts in (("true", "4"), ("false", "13")):  # in one chunk, and ties that go on in the next
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = defaultdict(set)
+            for r in suffix_dedup.repeated_spans(docs).collect():
+                got[r.doc_id] |= set(range(r.start, r.end))
+            assert dict(got) == dict(want)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_word_hashes_do_not_depend_on_place():
     a, at = suffix_dedup.word_hashes([b"x yy zzz", b"", b"  zzz x", "ü yy".encode()])
     assert at.tolist() == [0, 3, 3, 5, 7] and a[0] == a[4] and a[2] == a[3] and a[1] == a[6]
