@@ -1,9 +1,9 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-Terms are lower-cased words and their first four and five letters, hashed into 2^20 buckets. Buckets whose
-presence goes with the label, by counts over the labelled rows, become features (`features` at most), and a
-factorization machine learns a weight for each and for each pair of them through `rank` factors. A text's score
-is the logistic of the machine's value for the features it holds, whatever its length.
+Terms are lower-cased words and their first four and five letters, hashed into 2^20 buckets. A factorization
+machine learns a weight for each bucket that occurs in the labelled rows and for each pair of them through `rank`
+factors; steps of weights are damped where the bucket's presence hardly goes with the label, factors never are. A
+text's score is the logistic of the machine's value for the buckets it holds, whatever its length.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def words_of(utf8: bytes) -> set[str]:
 class Machine:
     """feature: from bucket to position; bias, weight (n) and factor (n, rank) of the machine."""
 
-    feature: dict[int, int]
+    feature: dict[int, int] | range
     bias: float
     weight: np.ndarray
     factor: np.ndarray
@@ -49,45 +49,69 @@ class Machine:
         if not on:
             return 1 / (1 + math.exp(-self.bias))
         v = self.factor[on]
-        s = v.sum(0)
-        x = self.bias + self.weight[on].sum() + 0.5 * float(s @ s - (v * v).sum())
+        s = v.sum(0, dtype=float)
+        x = self.bias + float(self.weight[on].sum(dtype=float)) + 0.5 * float(s @ s - (v * v).sum())
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, x))))
 
 
-def fit_machine(on: list[list[int]], y: np.ndarray, feature: dict[int, int], rank: int = 4, epochs: int = 30, step: float = 0.1, decay: float = 1e-4, seed: int = 5) -> Machine:
-    """Logistic loss by AdaGrad over mini-batches of sparse rows."""
+def fit_machine(on: list[list[int]] | pa.ListArray, y: np.ndarray, feature: dict[int, int] | range, rank: int = 4, epochs: int = 30, step: float = 0.1, decay: float = 1e-4, seed: int = 5) -> Machine:
+    """Logistic loss by AdaGrad over mini-batches of sparse rows. Features that no row has stay at zero.
+
+    A weight's steps are damped by ((z^2 + 1) / (z^2 + 25))^2 with z of its feature's presence by label. Factors
+    move by steps that shrink with the number of features in a row, whose moves add up.
+    """
     rng, n = np.random.default_rng(seed), max(1, len(feature))
     rate = min(0.98, max(0.02, float(y.mean()))) if len(y) else 0.05
-    bias, w, v = math.log(rate / (1 - rate)), np.zeros(n), rng.normal(0, 0.01, (n, rank))
-    gw, gv, gb = np.full(n, 1e-6), np.full((n, rank), 1e-6), 1e-6
-    for _ in range(epochs if len(y) else 0):
-        order = rng.permutation(len(y))
-        for lo in range(0, len(order), 64):
-            rows = order[lo : lo + 64]
-            cols = np.fromiter((c for r in rows for c in on[r]), np.int64)
-            of = np.repeat(np.arange(len(rows)), [len(on[r]) for r in rows])
-            s = np.zeros((len(rows), rank))
-            np.add.at(s, of, v[cols])
-            square = np.zeros(len(rows))
-            np.add.at(square, of, (v[cols] ** 2).sum(1))
-            line = np.zeros(len(rows))
-            np.add.at(line, of, w[cols])
+    on = pa.array(on, pa.list_(pa.int32())) if isinstance(on, list) else on
+    begin = on.offsets.to_numpy().astype(np.int64)
+    flat, size = on.values.to_numpy()[begin[0] :], np.diff(begin)
+    begin -= begin[0]
+    total = np.bincount(flat, minlength=n)
+    seen = np.flatnonzero(total)
+    at = np.zeros(n, np.int32)
+    at[seen] = np.arange(len(seen))
+    toxic, total = np.bincount(flat, np.repeat(y, size), n)[seen], total[seen]
+    pos, neg = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
+    share = total / max(1, len(y))
+    z2 = (toxic / pos - (total - toxic) / neg) ** 2 / (share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
+    damp = ((z2 + 1) / (z2 + 25)) ** 2
+    turn = step * min(1.0, 16 / max(1.0, size.mean())) if len(size) else step
+
+    batches, order = [], rng.permutation(len(y))
+    for lo in range(0, len(order), 64):
+        rows = order[lo : lo + 64]
+        cols = at[np.concatenate([flat[begin[r] : begin[r + 1]] for r in rows])]
+        of = np.repeat(np.arange(len(rows), dtype=np.int16), size[rows])
+        by = np.argsort(cols, kind="stable")
+        used, first = np.unique(cols[by], return_index=True)
+        full = np.flatnonzero(size[rows])
+        batches.append((y[rows], used, np.searchsorted(used, cols).astype(np.int32), of[by], first, full, (np.cumsum(size[rows]) - size[rows])[full]))
+
+    bias, w, v = math.log(rate / (1 - rate)), np.zeros(len(seen)), rng.normal(0, 0.01, (len(seen), rank))
+    gw, gv, gb = np.full(len(seen), 1e-6), np.full((len(seen), rank), 1e-2), 1e-6
+    for _ in range(epochs):
+        for k in rng.permutation(len(batches)):
+            real, used, place, of, first, full, starts = batches[k]
+            wu, vu = w[used], v[used]
+            s, square, line = np.zeros((len(real), rank)), np.zeros(len(real)), np.zeros(len(real))
+            if len(used):
+                s[full] = np.add.reduceat(vu[place], starts)
+                square[full] = np.add.reduceat((vu * vu).sum(1)[place], starts)
+                line[full] = np.add.reduceat(wu[place], starts)
             x = bias + line + 0.5 * ((s * s).sum(1) - square)
-            err = (1 / (1 + np.exp(-np.clip(x, -30, 30))) - y[rows]) / len(rows)
+            err = (1 / (1 + np.exp(-np.clip(x, -30, 30))) - real) / len(real)
             gb += (d := err.sum()) ** 2
             bias -= step * d / math.sqrt(gb)
-            if len(cols):
-                dw, dv = np.zeros(n), np.zeros((n, rank))
-                np.add.at(dw, cols, err[of])
-                np.add.at(dv, cols, err[of, None] * (s[of] - v[cols]))
-                used = np.unique(cols)
-                dw[used] += decay * w[used]
-                dv[used] += decay * v[used]
-                gw[used] += dw[used] ** 2
-                gv[used] += dv[used] ** 2
-                w[used] -= step * dw[used] / np.sqrt(gw[used])
-                v[used] -= step * dv[used] / np.sqrt(gv[used])
-    return Machine(feature, bias, w, v)
+            if len(used):
+                each = np.add.reduceat(err[of], first)
+                dw, dv = each + decay * wu, np.add.reduceat((err[:, None] * s)[of], first) - each[:, None] * vu + decay * vu
+                gw[used] += dw**2
+                gv[used] += dv**2
+                w[used] -= damp[used] * step * dw / np.sqrt(gw[used])
+                v[used] -= turn * dv / np.sqrt(gv[used])
+    weight, factor = np.zeros(n, np.float32), np.zeros((n, rank), np.float32)
+    weight[seen], factor[seen] = w, v
+    return Machine(feature, bias, weight, factor)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -95,46 +119,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, cache = np.zeros((2, BUCKETS), np.int64), {}
-    for batch in batches:
-        for utf8, y in zip(batch.column("utf8").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            got = {b for w in words_of(utf8) for b in (cache.get(w) or cache.setdefault(w, buckets_of(w)))}
-            counts[int(y), list(got)] += 1
-            if len(cache) > 50_000:
-                cache.clear()
-    used = np.flatnonzero(counts.any(0))
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[1, used], pa.int64()), pa.array(counts[0, used], pa.int64())], ["bucket", "pos", "neg"])
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, features: int = 4096, least_z: float = 5.0) -> Machine:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> Machine:
     """Fit on labelled rows outside the held-out quarter: all of them, or the `most_labels` first by a hash of the id.
 
-    Rows without a label, an id or a document are left out; of repeated labels of one id, toxic wins. Only
-    features' positions in the sampled rows and their counts reach the driver, bounded by both parameters.
+    Rows without a label, an id or a document are left out; of repeated labels of one id, toxic wins. Only the
+    buckets that the sampled rows hold reach the driver; weights and factors have a fixed size.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
     rows = with_utf8(docs, "doc_id").join(F.broadcast(known), "doc_id").select("doc_id", "utf8", "y")  # at most most_labels rows
-    total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    pos, neg = max(1, total.get(1, 0)), max(1, total.get(0, 0))
-    counts = rows.select("utf8", "y").mapInArrow(_count_terms, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    share = (F.col("pos") + F.col("neg")) / (pos + neg)
-    z = (F.col("pos") / pos - F.col("neg") / neg) / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
-    chosen = counts.filter(F.col("pos") + F.col("neg") >= 4).withColumn("z", z).filter(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "bucket").limit(features)
-    feature = {r["bucket"]: i for i, r in enumerate(chosen.select("bucket").collect())}  # at most `features` rows
+    feature = range(BUCKETS)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            on = [_present(x, feature, {}) for x in batch.column("utf8").to_pylist()]
+            on = [_present(x, feature, cache) for x in batch.column("utf8").to_pylist()]
+            if len(cache) > 150_000:
+                cache.clear()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(on, pa.list_(pa.int32()))], ["doc_id", "y", "on"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     held = rows.mapInArrow(present, f"doc_id {id_type}, y int, on array<int>").orderBy("doc_id").toArrow()
-    return fit_machine(held.column("on").to_pylist(), np.array(held.column("y").to_pylist(), float), feature)
+    on = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(c.cast(pa.list_(pa.int32())) for c in held.column("on").chunks)])
+    return fit_machine(on, np.array(held.column("y").to_pylist(), float), feature)
 
 
-def _present(utf8: bytes, feature: dict[int, int], cache: dict[str, tuple[int, ...]]) -> list[int]:
+def _present(utf8: bytes, feature: dict[int, int] | range, cache: dict[str, tuple[int, ...]]) -> list[int]:
     got: set[int] = set()
     for w in words_of(utf8):
         hit = cache.get(w)

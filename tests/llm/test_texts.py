@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -18,6 +19,8 @@ from tokenizers import Tokenizer
 from memlake.llm import media, mixing, secret_scan, sharding, toxicity
 from memlake.llm.bpe import TextEncoder, bpe_encode
 
+from .conftest import words
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -154,6 +157,20 @@ def test_machine_learns_a_pair():
     assert min(m.score([0, 1]), m.score([0, 1, 3])) > 0.8 and max(m.score([0]), m.score([1, 2]), m.score([0, 2, 3]), m.score([])) < 0.2
 
 
+def test_toxicity_learns_pairs_of_neutral_terms(spark):
+    rng, rows = random.Random(1), []
+    vocabulary = words(rng, 400)
+    for i in range(1200):
+        extra = (["groupterm", "insultish"], ["poison"], ["groupterm"], ["insultish"])[i % 4]
+        rows.append((i, " ".join(rng.sample(vocabulary, 30) + extra), int(i % 4 < 2)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.fit_toxicity(table, table.select("doc_id", "toxic"))
+    got = toxicity.score_toxicity(table, m, 0.5).filter("held_out").collect()
+    for kind in range(4):
+        of = [r for r in got if r.doc_id % 4 == kind]
+        assert of and sum(r.predicted == (kind < 2) for r in of) >= 0.8 * len(of), kind
+
+
 TEXTS = ["Hello  wörld's <|endoftext|>don't 12\n", "a<|startoftext|>b ſK İ I'M 'Ré …—", "x'sé ñ 你好 ΣΑΣ x　y\x1cz\x85q é ́a", "<|endoftext|><|endoftext|>", "'s's't", "supercalifragilistic" * 50, "a\x00b \x7f\x0b×÷ª", "🙂🙂 é ﬁ"]
 
 
