@@ -68,15 +68,17 @@ def document_frequency(docs: DataFrame, text: str = "text", least: int = 2) -> D
     return docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least)
 
 
-def engagement(rows: DataFrame, df: DataFrame, n: int, p: Params = DEFAULTS) -> DataFrame:
+def engagement(rows: DataFrame, df: DataFrame, n: int | DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """O2: from (id, memory, prompt, response) to (id, engaged, engaged_score).
 
     A memory's distinctive terms are not in the prompt and rare enough. Engaged if the response has two or more
-    of them; the score is their share by weight. Without distinctive terms: null and -1.
+    of them; the score is their share by weight. Without distinctive terms: null and -1. n: how many texts df
+    counts, or a table of one row with that as `n`.
     """
     cut = rows.select("id", F.array_except(terms(F.col("memory")), terms(F.col("prompt"))).alias("own"), terms(F.col("response")).alias("said"))
     each = cut.select("id", F.explode("own").alias("term"), "said").select("id", "term", F.array_contains("said", F.col("term")).alias("hit"))
-    weighed = each.join(df, "term", "left").withColumn("idf", idf(F.lit(n), F.coalesce("df", F.lit(0)))).filter(F.col("idf") >= p.idf_floor)
+    each = each.crossJoin(F.broadcast(n.select("n"))) if isinstance(n, DataFrame) else each.withColumn("n", F.lit(n))
+    weighed = each.join(df, "term", "left").withColumn("idf", idf(F.col("n"), F.coalesce("df", F.lit(0)))).filter(F.col("idf") >= p.idf_floor)
     sums = weighed.groupBy("id").agg(F.count_if("hit").alias("hits"), F.sum(F.when(F.col("hit"), F.col("idf")).otherwise(0.0)).alias("got"), F.sum("idf").alias("all"))
     return rows.select("id").join(sums, "id", "left").select("id", (F.col("hits") >= p.engaged_terms).cast("int").alias("engaged"), F.coalesce(F.bround(F.col("got") / F.col("all"), 6), F.lit(-1.0)).alias("engaged_score"))
 

@@ -155,12 +155,12 @@ def token_df(spark: SparkSession, d: str) -> DataFrame:
 
 @query("")
 def engagement_score(spark: SparkSession, d: str) -> DataFrame:
-    """O2: what a benchmark text and the next turn share beyond the turn before."""
+    """O2: what each turn's next one repeats of the turn before it; idf over all turns."""
     turns = table(spark, d, "conversations")
-    df = document_frequency(turns)
-    b = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
-    rows = turns.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("response").alias("memory"), F.substring("text", 1, 50).alias("prompt"), "response")
-    return engagement(rows, df, 500)
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("memory"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
+    rows = turns.join(before, ["conv_id", "turn"]).join(after, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "memory", F.col("text").alias("prompt"), "response")
+    return engagement(rows, document_frequency(turns), turns.agg(F.count("*").alias("n")))
 
 
 @query("SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM (SELECT doc_id, lang, source, list_distinct(string_split(lower(text), ' ')) AS w FROM documents) a JOIN (SELECT doc_id, lang, source, list_distinct(string_split(lower(text), ' ')) AS w FROM documents) b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) > 0.3")

@@ -47,6 +47,15 @@ def test_query(spark, data, oracle, name):
     pd.testing.assert_frame_equal(plain(got), plain(want), check_dtype=False)
 
 
+def test_engagement_over_many_turns(spark, tmp_path):
+    """A term in 400 of 4,000 turns is distinctive; a turn that repeats nothing of the one before scores 0."""
+    rows = [(c, i, "granite lantern velvet" if c < 400 and i == 0 else f"filler{c}x{i} other{c}y{i}") for c in range(1000) for i in range(4)]
+    rows = [(c, i, "granite lantern velvet") if (c, i) == (0, 2) else (c, i, t) for c, i, t in rows]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.id: (r.engaged, r.engaged_score) for r in search.engagement_score(spark, str(tmp_path)).collect()}
+    assert len(got) == 2000 and got[1] == (1, 1.0) and got[1001] == (0, 0.0)
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() >= 0
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
