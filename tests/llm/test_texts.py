@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import resource
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -16,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from memlake.llm import media, mixing, secret_scan, sharding, toxicity
+from memlake.llm import bpe, media, mixing, secret_scan, sharding, toxicity
 from memlake.llm.bpe import TextEncoder, bpe_encode
 
 from .conftest import words
@@ -198,11 +199,36 @@ def test_bpe_with_small_caches():
             assert np.frombuffer(x, "<u4").tolist() == e.ids and y.decode() == lib.decode(e.ids, skip_special_tokens=False)
 
 
+def test_bpe_of_a_very_long_word():
+    """Five million letters in one word: the library's tokens, in memory of some bytes a letter."""
+    rng = random.Random(3)
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(5_000_000))
+    enc = TextEncoder(VOCABULARY)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ids, _ = enc.encode_batch(pa.array([word.encode(), b"a " + word.encode() + b" z"], pa.binary()), False)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000  # KB
+    head = Tokenizer.from_file(VOCABULARY).encode(word[:200_000], add_special_tokens=False).ids
+    assert np.frombuffer(ids[0], "<u4")[: len(head) - 10].tolist() == head[:-10]
+    assert len(ids[1]) == len(ids[0]) + 8 and not any(len(p) > enc.longest for c in enc.pieces + enc.known for p in c)
+
+
+def test_fit_equals_plain_merging():
+    words = TextEncoder(VOCABULARY).words
+    rng = random.Random(4)
+    inner = [t for t, n in words.name.items() if not n.endswith("</w>")]
+    for _ in range(20_000):
+        a, b = rng.choice(inner), rng.choice(list(words.name))
+        whole = [words.vocab[c] for t in (a, b) for c in bpe._symbols(words.name[t])]
+        alone = words.merged([words.vocab[c] for c in bpe._symbols(words.name[a])]) == [a]
+        if alone:
+            assert words.fit(a, b) == (words.merged(whole) == [a, b])
+
+
 def test_words_share_prefixes_in_the_trie():
     enc = TextEncoder(VOCABULARY).words
     calls = Counter()
     last = enc.last
-    enc.last = lambda tail, end, *rest: calls.update([tail + end]) or last(tail, end, *rest)
+    enc.last = lambda word, end, suffix, ids: calls.update([word[:end] + suffix]) or last(word, end, suffix, ids)
     enc.encode_words(["nation", "national", "nationality", "nations"])
     assert calls["nat"] == calls["nation"] == 1
 
