@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import give_back, keep, slices, with_utf8
+from .shared import give_back, keep, slices, sorted_set, with_utf8
 
 SIZE, BINS, ROWS = 8, 40, 4
 _NONE = np.uint64(2**64 - 1)
@@ -126,37 +126,71 @@ def bitmap_of(df: DataFrame, column: str, bits: int) -> np.ndarray:
     return out
 
 
-def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
-    """Each line's set of shingles, as sorted 64-bit hashes."""
+def line_sets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's set of shingles as sorted small numbers, one set after another, and the sets' sizes."""
     with np.errstate(over="ignore"):
         h, counts = _shingles([str(x, "utf-8", "replace") for x in lines])
-    ends = np.cumsum(counts).tolist()
-    return [np.unique(h[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+    kinds, number = np.unique(h, return_inverse=True)
+    both = sorted_set(np.repeat(np.arange(len(lines)), counts) * len(kinds) + number)
+    return both % len(kinds), np.bincount(both // len(kinds), minlength=len(lines))
 
 
-def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether two sets have a Jaccard similarity of `least` or more."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
-    return both >= least * (len(a) + len(b) - both)
+def forests(group: np.ndarray, numbers: np.ndarray, start: np.ndarray, size: np.ndarray, least: float, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) that join, in each group, what its pairs with exact Jaccard of `least` or more join.
 
-
-def _links(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k in (0, 1)], ["a", "b"])
-
-
-def bucket_forest(rows: list[tuple[int, np.ndarray]], least: float) -> list[tuple[int, int]]:
-    """Links that join what the pairs with exact Jaccard of `least` or more join, breadth first."""
-    left, out = dict(rows), []
-    while left:
-        front = [left.popitem()]
-        while front and left:
-            key, own = front.pop()
-            near = [k for k, x in left.items() if alike(own, x, least)]
-            front += [(k, left.pop(k)) for k in near]
-            out += [(key, k) for k in near]
-    return out
+    Row r's set is numbers[start[r] : start[r] + size[r]], sorted; group: 0, 1, ... in order. In a round every
+    group compares one row with those that no link has reached, breadth first, all groups at once.
+    """
+    free, front = np.ones(len(group), bool), np.zeros(len(group), bool)
+    base, out = int(numbers.max(initial=0)) + 1, []
+    pivot = np.zeros(int(group[-1]) + 1 if len(group) else 0, np.int64)
+    while True:
+        busy = np.zeros(len(pivot), bool)
+        busy[group[free]] = True
+        at = np.flatnonzero((free | front) & busy[group])
+        at = at[np.lexsort((~front[at], group[at]))]
+        at = at[np.append(True, group[at][1:] != group[at][:-1])] if len(at) else at
+        free[at] = front[at] = False
+        pivot[group[at]] = at
+        x = np.flatnonzero(free)
+        if not len(x):
+            break
+        p = pivot[group[x]]
+        fits = np.minimum(size[p], size[x]) >= least * np.maximum(size[p], size[x])
+        x, p = x[fits], p[fits]
+        cuts = np.flatnonzero(np.diff(np.cumsum(size[x]) // most)) + 1
+        for x, p in zip(np.split(x, cuts), np.split(p, cuts), strict=True):
+            if not len(x):
+                continue
+            of = p[np.append(True, p[1:] != p[:-1])]  # ascending, as groups are
+            mine, theirs = (np.repeat(group[r] * base, size[r]) + numbers[np.repeat(start[r] - (np.cumsum(size[r]) - size[r]), size[r]) + np.arange(size[r].sum())] for r in (of, x))
+            hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            both = np.add.reduceat(hit, np.cumsum(size[x]) - size[x], dtype=np.int64)
+            near = both >= least * (size[p] + size[x] - both)
+            out.append((p[near], x[near]))
+            free[x[near]], front[x[near]] = False, True
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in (0, 1))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of rows sorted by `by` that end where a group ends, about `limit` bytes of a column each, with group numbers."""
+    held: list[pa.RecordBatch] = []
+
+    def numbered(batch: pa.RecordBatch) -> np.ndarray:
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in by]
+        return np.cumsum(np.append(False, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])))
+
+    for batch in slices(batches, column, limit):
+        held.append(batch)
+        now = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        group = numbered(now)
+        end = int(np.searchsorted(group, group[-1]))
+        if end:
+            yield now.slice(0, end), group[:end]
+        held = [now.slice(end)]
+    if held:
+        now = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield now, numbered(now)
 
 
 def similar_lines(docs: DataFrame, signed: DataFrame, text_col: str = "text", least: float = 0.8, block: int = 256, bitmap_bits: int = 1 << 25) -> DataFrame:
@@ -206,18 +240,12 @@ def similar_lines(docs: DataFrame, signed: DataFrame, text_col: str = "text", le
     line = with_utf8(docs, text=text_col).mapInArrow(texts, "key long, line binary").join(member.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
-        for batch in slices(batches, "line", 1 << 20):
-            found = []
-            sets = shingle_sets(batch.column("line").to_pylist())
-            for band, i, j, key, own in zip(*(batch.column(k).to_pylist() for k in ("band", "i", "j", "key")), sets, strict=True):
-                if (band, i, j) != group:
-                    found += bucket_forest(rows, least)
-                    group, rows = (band, i, j), []
-                rows.append((key, own))
-            yield _links(found, pa.int64())
-        yield _links(bucket_forest(rows, least), pa.int64())
-        rows = []
+        for batch, group in whole_groups(batches, ["band", "i", "j"], "line", 1 << 20):
+            keys = batch.column("key").to_numpy()
+            _, first, of = np.unique(keys, return_index=True, return_inverse=True)
+            numbers, size = line_sets(batch.column("line").take(pa.array(first)).to_pylist())
+            a, b = forests(group, numbers, (np.cumsum(size) - size)[of], size[of], least)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(keys[b])], ["a", "b"])
         give_back()
 
     spread = member.join(line, "key").select("band", "i", "j", "key", "line").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")

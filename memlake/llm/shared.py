@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute available
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "utf8", limit: int =
             yield batch.slice(at)
 
 
+def sorted_set(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order; sorting beats the hash table that numpy's unique takes here."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def give_back() -> None:
     """Returns freed memory to the system: Python workers are reused, and what they hold counts for their executor."""
     gc.collect()

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .line_dedup import _links, bitmap_of, bucket_forest
-from .shared import WORD, give_back, keep, slices, with_utf8
+from .line_dedup import bitmap_of, forests, whole_groups
+from .shared import WORD, give_back, keep, slices, sorted_set, with_utf8
 
 
 def _shingle_hashes(utf8: bytes, size: int, seed: int) -> Iterator[np.ndarray]:
@@ -55,7 +55,7 @@ def fingerprint(utf8: bytes, size: int = 3, seed: int = 42, words: int = 1, dist
     """64 * words bits: a bit is 1 if over half of the shingles' hashes have it. Big-endian; no word: all zero."""
     ones, n = np.zeros((words, 64), np.int64), 0
     blocks = _shingle_hashes(utf8, size, seed)
-    for h in [np.unique(np.concatenate(held))] if distinct and (held := list(blocks)) else () if distinct else blocks:
+    for h in [sorted_set(np.concatenate(held))] if distinct and (held := list(blocks)) else () if distinct else blocks:
         n += len(h)
         for w in range(words):
             for at in range(0, len(h), 1 << 15):
@@ -191,7 +191,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, l
         for batch in slices(batches):
             at = batch.column("at").to_numpy() & (8 * len(held) - 1)
             batch = batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-            found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingle_hashes(x, size, 42)])).tobytes() for x in batch.column("utf8").to_pylist()]
+            found = [sorted_set(np.concatenate([np.zeros(0, np.uint64), *_shingle_hashes(x, size, 42)])).tobytes() for x in batch.column("utf8").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("least"), pa.array(found, pa.binary())], ["least", "shingles"])
         give_back()
 
@@ -202,17 +202,13 @@ def verified_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, l
     spread = member.join(texts, "least").select("component", F.explode(pairs).alias("x"), "fp", "shingles").select("component", "x.i", "x.j", "fp", "shingles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
-        for batch in slices(batches, "shingles"):
-            found = []
-            for comp, i, j, fp, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (comp, i, j) != group:
-                    found += bucket_forest(rows, least)
-                    group, rows = (comp, i, j), []
-                rows.append((fp, np.frombuffer(shingles, np.uint64)))
-            yield _links(found, pa.binary())
-        yield _links(bucket_forest(rows, least), pa.binary())
-        rows = []
+        for batch, group in whole_groups(batches, ["component", "i", "j"], "shingles", 4 << 20):
+            held = batch.column("shingles")
+            size = pa.compute.binary_length(held).to_numpy().astype(np.int64) // 8
+            numbers = np.unique(np.frombuffer(b"".join(held.to_pylist()), np.uint64), return_inverse=True)[1]
+            a, b = forests(group, numbers, np.cumsum(size) - size, size, least)
+            fp = batch.column("fp")
+            yield pa.RecordBatch.from_arrays([fp.take(pa.array(a)), fp.take(pa.array(b))], ["a", "b"])
         give_back()
 
     return spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(verify, "a binary, b binary")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .line_dedup import bitmap_of
-from .shared import keep, slices, with_utf8
+from .shared import keep, slices, sorted_set, with_utf8
 
 LEAST, GRAM, WINDOW = 50, 10, 30
 LEFT = WINDOW - 1
@@ -81,7 +81,7 @@ def minimisers(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
     least = np.minimum(least[: len(least) - (WINDOW - width)], least[WINDOW - width :])
     doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
     whole = doc[: len(least)] == doc[GRAM + WINDOW - 2 :]
-    at = np.unique(least[whole] & low).astype(np.int64)
+    at = sorted_set(least[whole] & low).astype(np.int64)
     return at, gram[at]
 
 
