@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,3 +134,23 @@ def compounds(text: Column) -> Column:
     joined = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+(?:[_\-.][a-z0-9]+)+)"), F.lit(1))
     plain = F.filter(words(F.regexp_replace(text, r"[^\p{L}\p{N}\s]", " ")), lambda x: (F.length(x) > 3) & ~x.isin(*QUERY_STOPWORDS))
     return F.array_distinct(F.concat(joined, plain))
+
+
+def vector_bytes(v: Column) -> Column:
+    """A vector as little-endian 32-bit floats."""
+
+    @F.pandas_udf("binary")
+    def pack(x: pd.Series) -> pd.Series:
+        return x.map(lambda y: None if y is None else np.asarray(y, "<f4").tobytes())
+
+    return pack(v)
+
+
+def bytes_vector(b: Column) -> Column:
+    """The vector that vector_bytes stored; null where the bytes aren't whole floats."""
+
+    @F.pandas_udf("array<float>")
+    def unpack(x: pd.Series) -> pd.Series:
+        return x.map(lambda y: None if y is None or len(y) % 4 else np.frombuffer(y, "<f4"))
+
+    return unpack(b)

@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import direction_mismatch
-from ..functions.scalars import dot
 from ..params import DEFAULTS, Params
-from ..sources.storage import work_folder
+from ..sources.storage import written
+from .positions import every_nth, numbered
+from .retrieval import similarity_join
 
 
 def duplicate_groups(rows: DataFrame, *keys: str) -> DataFrame:
@@ -17,15 +18,16 @@ def duplicate_groups(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1")
 
 
-def star_clusters(edges: DataFrame, least: int = DEFAULTS.cluster_least, most: int = DEFAULTS.cluster_most) -> DataFrame:
+def star_clusters(edges: DataFrame, least: int = DEFAULTS.cluster_least, most: int = DEFAULTS.cluster_most, small: int = 200_000, rounds: int = 1000) -> DataFrame:
     """Greedy clusters (seed, id) from similarity edges (a, b), a < b. Not transitive.
 
     In id order a node that no seed has taken becomes a seed and takes its free later neighbours, `most` rows at
-    most. The rule is sequential, but only within a connected component: components are found by
-    rounds of least labels, and each is walked by itself in one task.
+    most. A node can do so at once if no undecided node before it could take it or one of its neighbours: if it is
+    the least undecided neighbour of all its later ones and has none before it. A round decides all such nodes;
+    what is left after some, `small` edges at most, is walked in one task.
     """
-    labels = _component_labels(edges)
-    parts = edges.join(labels.withColumnRenamed("node", "a"), "a")
+    kind = edges.schema["a"].dataType.simpleString()
+    left, done = written(edges.select("a", "b").distinct(), "edges"), None
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[int]] = {}
@@ -37,49 +39,100 @@ def star_clusters(edges: DataFrame, least: int = DEFAULTS.cluster_least, most: i
                 continue
             got = [seed, *[x for x in sorted(near.get(seed, ())) if x not in taken][: most - 1]]
             taken.update(got)
-            if len(got) >= least:
-                out += [(seed, x) for x in got]
+            out += [(seed, x) for x in got]
         return pd.DataFrame(out, columns=["seed", "id"])
 
-    kind = edges.schema["a"].dataType.simpleString()
-    return parts.groupBy("label").applyInPandas(walk, f"seed {kind}, id {kind}")
-
-
-def _component_labels(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, label): the least node reached. Rounds of taking the neighbours' least label, checkpointed."""
-    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct()
-    context = edges.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(work_folder(edges.sparkSession))
-    both = both.checkpoint()
-    now = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).withColumnRenamed("x", "node").checkpoint()
     for _ in range(rounds):
-        near = both.join(now.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("label").alias("m"))
-        new = now.join(near, F.col("node") == F.col("x")).select("node", F.least("label", "m").alias("label"))
-        # Labels are nodes themselves: following one's own label doubles the reach of a round.
-        new = new.alias("n").join(now.select(F.col("node").alias("label"), F.col("label").alias("far")), "label").select("node", F.least("label", "far").alias("label")).checkpoint()
-        if not new.join(now.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count():
-            return new
-        now = new
-    raise RuntimeError("labels did not settle")
+        if left.count() <= small:
+            rest = left.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(walk, f"seed {kind}, id {kind}")
+            found = rest if done is None else done.unionByName(rest)
+            n = F.count("*").over(Window.partitionBy("seed"))
+            return found.withColumn("_n", n).filter(F.col("_n") >= least).drop("_n")
+        first = left.groupBy("b").agg(F.min("a").alias("first"))
+        ready = left.join(first, "b").groupBy("a").agg(F.bool_and(F.col("first") == F.col("a")).alias("ready")).filter("ready")
+        ready = ready.join(left.select(F.col("b").alias("a")), "a", "left_anti").select("a")
+        nth = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+        taken = left.join(ready, "a", "left_semi").withColumn("nth", nth).filter(F.col("nth") < most).select(F.col("a").alias("seed"), F.col("b").alias("id"))
+        now = written(taken.unionByName(ready.select(F.col("a").alias("seed"), F.col("a").alias("id"))), "stars")
+        gone = now.select("id").distinct()
+        left = written(left.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"), "edges")
+        done = now if done is None else done.unionByName(now)
+    raise RuntimeError("stars did not settle")
 
 
 def contradiction_pairs(rows: DataFrame, least: float = DEFAULTS.contradiction, most: int = DEFAULTS.contradiction_pairs, assessed: DataFrame | None = None) -> DataFrame:
-    """C5, first tier: pairs (a, b, similarity) of one kind and topic, a < b, as an equi-join with a cosine filter."""
-    a = rows.select("kind", "topic", F.col("id").alias("a"), F.col("embedding").alias("va"))
-    b = rows.select("kind", "topic", F.col("id").alias("b"), F.col("embedding").alias("vb"))
-    pairs = a.join(b, ["kind", "topic"]).filter("a < b").withColumn("similarity", dot(F.col("va"), F.col("vb"))).filter(F.col("similarity") >= least)
+    """Pairs (a, b, similarity, same_topic) worth a check, those of one kind and topic first, then by similarity.
+
+    rows: (id, kind, topic, embedding). Both tiers are similarity joins in tiles. Pairs of other topics fill what
+    the first tier leaves of `most`, by every n-th over the range of similarities.
+    """
+    first = similarity_join(rows, least, by=("kind", "topic"))
+    pairs = similarity_join(rows, least).join(first.select("a", "b", F.lit(True).alias("same_topic")), ["a", "b"], "left")
     if assessed is not None:
-        pairs = pairs.join(assessed, ["a", "b"], "left_anti")
-    return pairs.select("a", "b", "similarity").orderBy(F.round("similarity", 9).desc(), "a", "b").limit(most)
+        pairs = pairs.join(assessed.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = written(pairs.withColumn("same_topic", F.coalesce("same_topic", F.lit(False))), "pairs")
+    order = [F.round("similarity", 9).desc(), F.col("a"), F.col("b")]
+    same = pairs.filter("same_topic").orderBy(*order).limit(most)
+    room = most - same.count()
+    other = every_nth(pairs.filter("NOT same_topic"), order, room) if room else pairs.limit(0)
+    return same.unionByName(other).orderBy(F.desc("same_topic"), *order)
+
+
+def unassessed(clusters: DataFrame, assessed: DataFrame) -> DataFrame:
+    """(seed, id) of clusters of which some pair was not assessed. assessed: (a, b), a < b."""
+    left, right = clusters.withColumnRenamed("id", "a"), clusters.withColumnRenamed("id", "b")
+    pairs = left.join(right, "seed").filter("a < b")  # a cluster has few members
+    open_ = pairs.join(assessed.select("a", "b"), ["a", "b"], "left_anti").select("seed").distinct()
+    return clusters.join(open_, "seed", "left_semi")
+
+
+def entailed(clusters: DataFrame, scores: DataFrame, least: float = 0.7) -> DataFrame:
+    """(seed, id) of members that entail another member and are entailed by it; two at least stay in a cluster.
+
+    scores: (a, b, score) of a entailing b, in both directions.
+    """
+    back = scores.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("score").alias("back"))
+    both = scores.join(back, ["a", "b"]).filter((F.col("score") >= least) & (F.col("back") >= least)).select("a", "b")
+    left, right = clusters.withColumnRenamed("id", "a"), clusters.withColumnRenamed("id", "b")
+    kept = left.join(both, "a").join(right, ["seed", "b"]).filter("a <> b").select("seed", F.col("a").alias("id")).distinct()
+    return kept.withColumn("_n", F.count("*").over(Window.partitionBy("seed"))).filter("_n >= 2").drop("_n")
+
+
+def merged_clusters(clusters: DataFrame, records: DataFrame, next_id: int) -> tuple[DataFrame, DataFrame]:
+    """C4: (new rows, archived sources): of each cluster a new row from its newest record; sources point to it.
+
+    records: (id, content, confidence, updated_at, archived_reason, ...). New ids follow the clusters' order.
+    """
+    order = Window.partitionBy("seed").orderBy(F.desc("updated_at"), F.desc("id"))
+    held = clusters.join(records, "id").withColumn("_r", F.row_number().over(order))
+    names = numbered(clusters.select("seed").distinct(), [F.col("seed")], "_nth").select("seed", (F.col("_nth") + next_id).alias("_new"))
+    cols = [c for c in records.columns if c != "id"]
+    new = held.filter("_r = 1").join(names, "seed").select(F.col("_new").alias("id"), *cols)
+    reason = F.concat(F.lit("consolidated:"), F.col("_new").cast("string"))
+    old = held.join(names, "seed").withColumn("archived_reason", reason).withColumn("confidence", F.lit(0.0)).select(*records.columns)
+    return new, old
+
+
+def assessments(clusters: DataFrame, merged: DataFrame, failed: DataFrame, known: DataFrame) -> DataFrame:
+    """The cache of assessed pairs (a, b, verdict) after a run: merged clusters' pairs are `consolidated`, others'
+    `no_entailment`, and those whose summary failed stay out. A pair's last verdict counts.
+    """
+    left, right = clusters.withColumnRenamed("id", "a"), clusters.withColumnRenamed("id", "b")
+    pairs = left.join(right, "seed").filter("a < b").join(failed.select("seed"), "seed", "left_anti").join(merged.select("seed", F.lit("consolidated").alias("verdict")).distinct(), "seed", "left")
+    new = pairs.select("a", "b", F.coalesce("verdict", F.lit("no_entailment")).alias("verdict")).distinct()
+    return new.unionByName(known.join(new, ["a", "b"], "left_anti"))
+
+
+def contradicted(pairs: DataFrame, least: float = 0.0) -> DataFrame:
+    """Pairs whose greater contradiction score of both directions (fwd, rev) is `least` or more."""
+    return pairs.filter(F.greatest("fwd", "rev") >= least)
 
 
-def every_nth(rows: DataFrame, order: list[Column], budget: int) -> DataFrame:
-    """Every n-th row of an order, so that `budget` remain at most. The position comes from a bounded top list."""
-    w = Window.orderBy(*order)
-    n = rows.count()
-    step = max(1, -(-n // budget))
-    return rows.withColumn("_nth", F.row_number().over(w)).filter((F.col("_nth") - 1) % step == 0).drop("_nth").limit(budget)
+def superseded(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Records with the reason of what replaced them. pairs: (old, new); the newest replacement counts."""
+    by = pairs.groupBy(F.col("old").alias("id")).agg(F.max("new").alias("_new"))
+    reason = F.when(F.col("_new").isNotNull(), F.concat(F.lit("superseded by #"), F.col("_new").cast("string"))).otherwise(F.col("archived_reason"))
+    return records.join(by, "id", "left").withColumn("archived_reason", reason).drop("_new")
 
 
 def negation_candidates(pairs: DataFrame, a_text: str, b_text: str, same_topic: str, same: float = 0.5, cross: float = 0.8) -> DataFrame:

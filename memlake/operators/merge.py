@@ -79,3 +79,10 @@ def next_lamport(rows: DataFrame) -> DataFrame:
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in an order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def rekeyed(pairs: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs under other names (id, uuid); pairs with an unknown id are left out."""
+    for k in keys:
+        pairs = pairs.join(names.select(F.col("id").alias(k), F.col("uuid").alias("_name")), k).withColumn(k, F.col("_name")).drop("_name")
+    return pairs

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  makes pa.compute available
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.scalars import jaccard, rrf
+from ..functions.scalars import jaccard, query_terms, rrf
 from ..params import DEFAULTS, Params
+from ..sources.storage import written
 
 
 def tokens(text: Column) -> Column:
@@ -31,31 +34,40 @@ def inverted_index(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     return postings, cut.select("id", F.size("words").cast("long").alias("length"))
 
 
-def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", text_col: str = "text", query_id: str = "query_id", query_col: str = "query", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", text_col: str = "text", query_id: str = "query_id", query_col: str = "query", k1: float = 1.2, b: float = 0.75, meaningful: bool = False) -> DataFrame:
     """(query_id, id, score, rank) of documents with any of the query's distinct terms.
 
-    Postings are cut to the queries' terms before they are counted, so the index of other terms is never built.
+    Texts are cut into words once: of each document the asked terms are counted, and its other words in one row.
+    That table gives lengths, document frequencies and scores. meaningful: a query's terms are those of query_terms.
     The inverse document frequency is floored at 1e-6; ties go to the lower id.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_col)))).alias("term"))
-    terms = asked.select("term").distinct()
-    cut = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-    sizes = cut.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
-    held = cut.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).join(terms, "term", "left_semi")
-    postings = held.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    said = query_terms(F.col(query_col)) if meaningful else F.array_distinct(tokens(F.col(query_col)))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(said).alias("term"))
+    terms = asked.select("term", F.lit(True).alias("asked")).distinct()
+    words = docs.select(F.col(id_col).alias("id"), F.explode_outer(tokens(F.col(text_col))).alias("term")).join(terms, "term", "left")
+    held = written(words.groupBy("id", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("term").alias("tf")), "postings")
+    lengths = held.groupBy("id").agg(F.sum("tf").alias("length"))
+    sizes = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    postings = held.filter("term IS NOT NULL")
     df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes))  # one row on the right
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = postings.join(df.withColumn("idf", idf), "term").select("term", "id", weight.alias("weight"))
+    scored = postings.join(lengths, "id").join(df.withColumn("idf", idf), "term").select("term", "id", weight.alias("weight"))
     sums = asked.join(scored, "term").groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
     return top_k(sums, ["query_id"], [F.round("score", 9).desc(), F.col("id")], k)
 
 
-def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int, least: float = -1.0, id_col: str = "id", vector: str = "embedding", query_id: str = "query_id", query_block: int = 4096) -> DataFrame:
+def _matrix(lists: pa.Array, wide: int) -> np.ndarray:
+    """Vectors of a batch as rows, without copying them one by one."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, wide)
+
+
+def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int | None, least: float = -1.0, id_col: str = "id", vector: str = "embedding", query_id: str = "query_id", query_block: int = 4096) -> DataFrame:
     """(query_id, id, similarity, rank) of the k nearest unit vectors to each query, at least `least`.
 
     Queries come in blocks of a bounded size; each Arrow batch of the corpus is multiplied with a block and
     keeps its own k best per query, so a query's candidates are k per batch. Vectors of another length are skipped.
+    With k None all similarities come, without rank.
     """
     packed = queries.filter(F.col(vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
     packed = packed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-packed.count() // query_block)))))
@@ -63,53 +75,80 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int, least: float = -
     out = f"query_id {queries.schema[query_id].dataType.simpleString()}, id {corpus.schema[id_col].dataType.simpleString()}, similarity double"
     found = None
     for row in blocks.toLocalIterator():  # one bounded block at a time
-        ids, q = np.array([x["query_id"] for x in row["q"]]), np.array([x["v"] for x in row["q"]], np.float64)
+        ids, q = [x["query_id"] for x in row["q"]], np.array([x["v"] for x in row["q"]], np.float64)
         held = corpus.sparkSession.sparkContext.broadcast((ids, q))
 
-        def near(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+        def near(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, q = held.value
             for batch in batches:
-                batch = batch[[v is not None and len(v) == q.shape[1] for v in batch["v"]]]
-                if not len(batch):
+                size = pa.compute.fill_null(pa.compute.list_value_length(batch.column("v")), -1)
+                batch = batch.filter(pa.compute.equal(size, q.shape[1]))
+                if not batch.num_rows:
                     continue
-                sim = q @ np.stack(batch["v"].to_numpy()).astype(np.float64).T
-                best = np.argsort(-sim, axis=1, kind="stable")[:, : min(k, sim.shape[1])]
+                sim = q @ _matrix(batch.column("v"), q.shape[1]).T
+                best = np.argsort(-sim, axis=1, kind="stable")[:, : min(k or sim.shape[1], sim.shape[1])]
                 i, j = np.repeat(np.arange(len(ids)), best.shape[1]), best.ravel()
-                rows = pd.DataFrame({"query_id": ids[i], "id": batch["id"].to_numpy()[j], "similarity": sim[i, j]})
-                yield rows[rows["similarity"] >= least]
+                good = sim[i, j] >= least
+                i, j = i[good], j[good]
+                yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(i)), batch.column("id").take(pa.array(j)), pa.array(sim[i, j])], ["query_id", "id", "similarity"])
 
-        part = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).mapInPandas(near, out)
+        part = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).mapInArrow(near, out)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = corpus.sparkSession.createDataFrame([], out)
-    return top_k(found, ["query_id"], [F.round("similarity", 9).desc(), F.col("id")], k)
+    return found if k is None else top_k(found, ["query_id"], [F.round("similarity", 9).desc(), F.col("id")], k)
 
 
-def similarity_join(corpus: DataFrame, least: float, id_col: str = "id", vector: str = "embedding", tile: int = 2048) -> DataFrame:
-    """Pairs (a, b, similarity) of unit vectors with a < b and similarity of `least` or more.
+def similarity_join(corpus: DataFrame, least: float, id_col: str = "id", vector: str = "embedding", by: tuple[str, ...] = (), tile: int = 4096) -> DataFrame:
+    """Pairs (a, b, similarity) of unit vectors with a < b and similarity of `least` or more, where `by` agree.
 
-    Vectors are dealt into tiles of bounded size; a task multiplies two tiles. Every pair of tiles is compared
-    once, which is exact and quadratic; rows that leave a task are only the pairs asked for.
+    Vectors of a group are dealt into tiles of bounded size, and a task multiplies two tiles, so a hot group is split
+    like any other. Every pair of tiles is compared once, which is exact and quadratic; rows that leave a task are
+    only the pairs asked for.
     """
-    n = corpus.count()
-    tiles = max(1, -(-n // tile))
-    rows = corpus.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(tiles)).alias("tile"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")), lambda p: F.struct(F.least("tile", p).alias("i"), F.greatest("tile", p).alias("j")))
-    spread = rows.withColumn("x", F.explode(pairs)).select("x.i", "x.j", "tile", "id", "v")
+    rows = corpus.filter(F.col(vector).isNotNull()).select(F.struct(F.lit(0), *by).alias("grp"), F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    sizes = rows.groupBy("grp").agg(F.ceil(F.count("*") / tile).alias("tiles"))
+    rows = rows.join(sizes, "grp").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda p: F.struct(F.least("tile", p).alias("i"), F.greatest("tile", p).alias("j")))
+    spread = rows.withColumn("x", F.explode(pairs)).select("grp", "x.i", "x.j", "tile", "id", "v")
     kind = corpus.schema[id_col].dataType.simpleString()
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        i, j = part["i"].iloc[0], part["j"].iloc[0]
-        left, right = part[part["tile"] == i], part[part["tile"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        sim = np.stack(left["v"].to_numpy()).astype(np.float64) @ np.stack(right["v"].to_numpy()).astype(np.float64).T
-        x, y = np.nonzero(sim >= least)
-        a, b = left["id"].to_numpy()[x], right["id"].to_numpy()[y]
-        keep = a < b if i == j else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sim[x, y][keep]})
-
-    return spread.groupBy("i", "j").applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
+    def compare(part: pa.Table) -> pa.Table:
+        i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+        ids, own = part.column("id").to_numpy(), part.column("tile").to_numpy()
+        m = np.array([x.values.to_numpy(zero_copy_only=False) for x in part.column("v").combine_chunks()], np.float64)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out: list[list] = [[], [], []]
+        for at in range(0, len(left), 512):
+            rows = left[at : at + 512]
+            sim = m[rows] @ m[right].T
+            x, y = np.nonzero(sim >= least)
+            a, b = ids[rows[x]], ids[right[y]]
+            keep = a < b if i == j else a != b
+            for col, z in zip(out, (np.minimum(a, b)[keep], np.maximum(a, b)[keep], sim[x, y][keep]), strict=True):
+                col.append(z)
+        return pa.table([np.concatenate(z) if z else np.zeros(0) for z in out], names=["a", "b", "similarity"]).cast(schema)
+
+    schema = pa.schema([("a", to_arrow_type(corpus.schema[id_col].dataType)), ("b", to_arrow_type(corpus.schema[id_col].dataType)), ("similarity", pa.float64())])
+    return spread.groupBy("grp", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
+
+
+def similar_sets(rows: DataFrame, least: float, by: tuple[str, ...] = (), id_col: str = "id", words: str = "words") -> DataFrame:
+    """Pairs (a, b, jaccard), a < b, of sets with a Jaccard above `least` where `by` agree.
+
+    Two such sets share one of the rarest words of each: all but the commonest `least` of its words. Those words are
+    the join's keys, so no pair is made of sets that share common words alone; each pair is then measured in full.
+    """
+    sets = rows.select(*by, F.col(id_col).alias("id"), F.array_distinct(words).alias("w"))
+    each = sets.select(*by, "id", F.size("w").alias("size"), F.explode("w").alias("word"))
+    often = each.groupBy("word").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("id").orderBy("df", "word")
+    rare = each.join(often, "word").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= F.col("size") - F.ceil(F.col("size") * F.lit(least)) + 1)
+    a, b = (rare.select(*by, F.col("id").alias(x), "word", F.col("size").alias(f"n{x}")) for x in "ab")
+    close = (F.least("na", "nb") > least * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
+    pairs = a.join(b, [*by, "word"]).filter(close).select("a", "b").distinct()
+    held = pairs.join(sets.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    return held.select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("jaccard")).filter(F.col("jaccard") > least)
 
 
 def variant_similarity(scores: DataFrame) -> DataFrame:
@@ -182,31 +221,18 @@ def diverse(ranked: DataFrame, kind: str, topic: str, words: str, most: int, p:
     return rows.select("query_id", F.explode(F.aggregate("all", none, step)).alias("x")).select("query_id", "x.id", "x.rank")
 
 
-def scope_split(fused: DataFrame, threshold: float, p: Params = DEFAULTS) -> DataFrame:
-    """Fused rows (query_id, id, score, similarity, boost, source, in_project, kind) with their scope.
-
-    A row of the project needs the threshold plus its boost. Others pass by the global floor where the project
-    has none, by the threshold, or by keywords alone with a fair score; references need more. At most
-    scope_limit rows of a scope stay.
-    """
-    mine = F.col("in_project") & (F.col("similarity") + F.col("boost") >= threshold)
-    any_mine = F.max(mine.cast("int")).over(Window.partitionBy("query_id")) == 1
-    far = ((F.col("similarity") >= p.global_floor) & ~any_mine) | (F.col("similarity") >= threshold)
-    far = far & ((F.col("kind") != "reference") | (F.col("similarity") >= p.reference_similarity))
-    rows = fused.withColumn("scope", F.when(mine, "project").when(~F.col("in_project") & far, "global")).filter(F.col("scope").isNotNull())
-    return top_k(rows, ["query_id", "scope"], [F.round("score", 9).desc(), F.col("id")], p.scope_limit)
-
-
-def keyword_matches(queries: DataFrame, records: DataFrame, k: int, p: Params = DEFAULTS) -> DataFrame:
+def keyword_matches(queries: DataFrame, records: DataFrame, k: int, p: Params = DEFAULTS, others: bool = False) -> DataFrame:
     """Records that share enough keywords with a query: (query_id, id, shared, rank).
 
     queries: (query_id, keywords); records: (id, keywords, updated_at). Shared at least keyword_least, and
-    keyword_ratio of the query's. Ties go to the older record, then the lower id.
+    keyword_ratio of the query's. Ties go to the older record, then the lower id. others: queries are records too,
+    and none finds itself.
     """
     asked = queries.select("query_id", F.array_distinct("keywords").alias("keywords")).withColumn("asked", F.size("keywords"))
     left = asked.select("query_id", "asked", F.explode("keywords").alias("keyword"))
     right = records.select("id", "updated_at", F.explode(F.array_distinct("keywords")).alias("keyword"))
     shared = left.join(right, "keyword").groupBy("query_id", "id").agg(F.count("*").alias("shared"), F.first("asked").alias("asked"), F.first("updated_at").alias("updated_at"))
+    shared = shared.filter("query_id <> id") if others else shared
     enough = (F.col("shared") >= p.keyword_least) & (F.col("shared") >= p.keyword_ratio * F.col("asked"))
     return top_k(shared.filter(enough), ["query_id"], [F.desc("shared"), F.col("updated_at"), F.col("id")], k).select("query_id", "id", "shared", "rank")
 

@@ -32,10 +32,14 @@ class Params:
     global_floor: float = 0.60
     reference_similarity: float = 0.56
     scope_limit: int = 7
+    weak_entry: float = 0.4
     thin_entries: int = 3
     thin_similarity: float = 0.45
     # rerank
     rerank_weight: float = 0.6
+    rerank_active: int = 12
+    rerank_archived: int = 6
+    rerank_floor: float = -3.0
     # keyword overlap
     keyword_least: int = 2
     keyword_ratio: float = 0.25

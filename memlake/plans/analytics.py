@@ -66,12 +66,12 @@ def suppress_dead_weight(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.dead_weight(deliveries(spark, d), Params(suppress_delivered=1, suppress_corrections=2, suppress_scored=1))
 
 
-@query(f"""WITH {DELIVERIES}, f AS (SELECT unnest(range(0, 21)) / 20.0::DOUBLE AS floor), c AS (SELECT floor, count(*) FILTER (grade = 3 AND score >= floor) AS good, count(*) FILTER (grade = 0 AND score >= floor) AS noise,
+@query(f"""WITH {DELIVERIES}, f AS (SELECT unnest(range(0, 201)) / 200.0::DOUBLE AS floor), c AS (SELECT floor, count(*) FILTER (grade = 3 AND score >= floor) AS good, count(*) FILTER (grade = 0 AND score >= floor) AS noise,
     count(*) FILTER (grade = 3) AS all_good, count(*) FILTER (grade = 0) AS all_noise FROM deliveries, f GROUP BY 1)
     SELECT floor, round(good / all_good, 9) AS kept, round(1 - noise / all_noise, 9) AS dropped, round(good / all_good - noise / all_noise, 9) AS youden, good / all_good >= 0.95 AS allowed FROM c""")
 def floor_sweep(spark: SparkSession, d: str) -> DataFrame:
     """O13."""
-    rows = outcomes.floor_sweep(deliveries(spark, d).select("grade", "score"), [i / 20 for i in range(21)])
+    rows = outcomes.floor_sweep(deliveries(spark, d).select("grade", "score"), [i / 200 for i in range(201)])
     return rows.select("floor", *[F.round(c, 9).alias(c) for c in ("kept", "dropped", "youden")], "allowed")
 
 
@@ -100,12 +100,15 @@ def ab_decision(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.ab_decision(arms).select("n_a", "n_b", "decision")
 
 
-@query("")
+@query(f"""WITH RECURSIVE {DELIVERIES}, t AS (SELECT version, count(*) FILTER (quality = 1 AND toxic = 1) AS a, count(*) FILTER (quality = 1 AND toxic <> 1) AS b, count(*) FILTER (quality <> 1 AND toxic = 1) AS c, count(*) FILTER (quality <> 1 AND toxic <> 1) AS d FROM deliveries GROUP BY 1),
+    w AS (SELECT *, unnest(range(greatest(0, a + c - (c + d)), least(a + b, a + c) + 1)) AS x FROM t), l AS (SELECT *, lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(c + d + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) AS p FROM w),
+    h AS (SELECT version, p AS here FROM l WHERE x = a) SELECT version, a::BIGINT AS a, b::BIGINT AS b, c::BIGINT AS c, d::BIGINT AS d, round(least(1, sum(exp(p)) FILTER (p <= here + 1e-9)), 9) AS p FROM l JOIN h USING (version) GROUP BY ALL""")
 def fisher_gate(spark: SparkSession, d: str) -> DataFrame:
     """Toxicity against quality in each source, exact test."""
     rows = deliveries(spark, d)
     q, t = F.col("quality") == 1, F.col("toxic") == 1
-    return outcomes.fisher_exact(rows.groupBy("version").agg(F.count_if(q & t).alias("a"), F.count_if(q & ~t).alias("b"), F.count_if(~q & t).alias("c"), F.count_if(~q & ~t).alias("d")))
+    tables = rows.groupBy("version").agg(F.count_if(q & t).alias("a"), F.count_if(q & ~t).alias("b"), F.count_if(~q & t).alias("c"), F.count_if(~q & ~t).alias("d"))
+    return outcomes.fisher_exact(tables).withColumn("p", F.round("p", 9))
 
 
 @query("WITH p AS (SELECT doc_id, sha1(CAST(doc_id AS VARCHAR)) AS h FROM documents), x AS (SELECT doc_id, list_reduce(list_prepend(0::BIGINT, [CAST('0x' || h[i:i+3] AS BIGINT) for i in range(1, 41, 4)]), lambda a, b: (a * 65536 + b) % 1000) AS bucket FROM p) SELECT doc_id, bucket, doc_id * 2654435761 % 1000 AS random_place FROM x")
@@ -234,10 +237,16 @@ def saturating_confidence(spark: SparkSession, d: str) -> DataFrame:
     return n.select("project", F.round(saturated_confidence(F.least("n", F.lit(20))), 9).alias("confidence"))
 
 
-@query("""WITH s AS (SELECT event_type AS signal, max(ts) AS last, count(*) FILTER (ts > TIMESTAMP '2024-01-31' - INTERVAL 48 HOUR) AS n FROM events GROUP BY 1), k AS (SELECT unnest(['click', 'view', 'purchase', 'absent']) AS signal)
-    SELECT signal, coalesce(n, 0)::BIGINT AS n, CASE WHEN last IS NULL THEN 'NEVER' WHEN epoch(TIMESTAMP '2024-01-31') - epoch(last) > 72 * 3600 THEN 'STALE' WHEN coalesce(n, 0) = 0 THEN 'IDLE' WHEN n < 100 THEN 'RARE' ELSE 'OK' END AS status FROM k LEFT JOIN s USING (signal)""")
+LIVE = """x AS (SELECT event_type AS signal, CASE WHEN event_type <> 'signup' AND NOT (event_type = 'error' AND ts > TIMESTAMP '2024-01-20') THEN ts END AS ts FROM events),
+    s AS (SELECT signal, max(ts) AS last, count(*) FILTER (ts >= TIMESTAMP '2024-01-31' - INTERVAL 48 HOUR) AS n FROM x GROUP BY 1), k(signal, silence) AS (VALUES ('click', 24), ('view', 1000), ('purchase', NULL), ('signup', 5), ('error', 72), ('absent', 24))"""
+
+
+@query(f"""WITH {LIVE} SELECT k.signal, coalesce(n, 0)::BIGINT AS n, CASE WHEN s.signal IS NULL THEN 'NEVER' WHEN silence IS NULL THEN 'RARE' WHEN last IS NULL THEN 'UNKNOWN' WHEN epoch(TIMESTAMP '2024-01-31') - epoch(last) <= silence * 3600 THEN 'OK'
+    WHEN (SELECT n FROM s WHERE signal = 'click') > 0 THEN 'STALE' ELSE 'IDLE' END AS status FROM k LEFT JOIN s ON s.signal = k.signal""")
 def liveness_status(spark: SparkSession, d: str) -> DataFrame:
-    """A27."""
-    signals = spark.createDataFrame([("click",), ("view",), ("purchase",), ("absent",)], "signal string")
-    e = table(spark, d, "events").select(F.col("event_type").alias("signal"), "ts")
-    return outcomes.liveness(e, signals, F.lit("2024-01-31").cast("timestamp"), 48, 72, 100).select("signal", "n", "status")
+    """What the silence of each expected signal means."""
+    signals = spark.createDataFrame([("click", 24), ("view", 1000), ("purchase", None), ("signup", 5), ("error", 72), ("absent", 24)], "signal string, max_silence_h int")
+    kind = F.col("event_type")
+    ts = F.when((kind != "signup") & ~((kind == "error") & (F.col("ts") > F.lit("2024-01-20").cast("timestamp"))), F.col("ts"))
+    e = table(spark, d, "events").select(kind.alias("signal"), ts.alias("ts"))
+    return outcomes.liveness(e, signals, F.lit("2024-01-31").cast("timestamp"), 48, "click").select("signal", "n", "status")

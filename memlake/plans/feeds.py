@@ -65,7 +65,10 @@ def transcript_turns(spark: SparkSession, d: str) -> DataFrame:
     return text.parse_turns(lines).select(F.col("session_id").alias("conv_id"), "idx", "role", F.length("text").cast("long").alias("size"))
 
 
-@query("")
+@query("""WITH RECURSIVE p AS (SELECT doc_id, list_filter([trim(x, ' ') for x in string_split_regex(regexp_replace(text, chr(10), chr(10) || chr(10), 'g'), '\\n\\s*\\n')], lambda x: x <> '') AS ps FROM documents),
+    w AS (SELECT doc_id, ps, 0::BIGINT AS i, []::VARCHAR[] AS done FROM p
+        UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN len(done) > 0 AND length(done[-1]) + 2 + length(ps[i + 1]) <= 2000 THEN list_append(done[:-2], done[-1] || chr(10) || chr(10) || ps[i + 1]) ELSE list_append(done, ps[i + 1]) END FROM w WHERE i < len(ps)),
+    u AS (SELECT doc_id, unnest(done) AS chunk, unnest(range(0, len(done))) AS nth FROM w WHERE i = len(ps)) SELECT doc_id, nth, length(chunk)::BIGINT AS size, sha256(chunk) AS mark FROM u""")
 def paragraph_chunks(spark: SparkSession, d: str) -> DataFrame:
     """documents' lines packed into chunks of 2000 characters."""
     docs = table(spark, d, "documents").select("doc_id", F.posexplode(text.chunks(F.regexp_replace("text", "\n", "\n\n"), 2000)).alias("nth", "chunk"))

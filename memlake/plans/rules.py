@@ -94,7 +94,7 @@ rule("best_of_subqueries", "R20: the best score of a record over several queries
 rule("first_source_wins", "Union by id where the first source counts, as for keyword hits before others.",
      "WITH u AS (SELECT id, 'keyword' AS source, 0 AS p FROM {records} WHERE id % 6 = 0 UNION ALL SELECT id, 'hybrid', 1 FROM {records} WHERE id % 4 = 0) SELECT id, source FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS r FROM u) x WHERE r = 1")
 rule("version_history", "P11, M8: earlier versions of an order's row, newest first.",
-     "SELECT key_id, CAST(version AS BIGINT) AS version, content FROM (SELECT o_orderkey % 500 AS key_id, row_number() OVER (PARTITION BY o_orderkey % 500 ORDER BY o_orderkey) AS version, o_orderkey AS content, count(*) OVER (PARTITION BY o_orderkey % 500) AS n FROM {orders}) x WHERE version < n")
+     "SELECT key_id, CAST(version AS BIGINT) AS version, content FROM (SELECT o_custkey AS key_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version, o_orderkey AS content, count(*) OVER (PARTITION BY o_custkey) AS n FROM {orders}) x WHERE version < n")
 rule("retract_by_source", "P13, M14: rows that a retraction by source would archive, with what they were.",
      f"SELECT project, count(*) AS n, count(CASE WHEN {ACTIVE} THEN 1 END) AS active, count(CASE WHEN NOT ({ACTIVE}) THEN 1 END) AS gone FROM {{records}} WHERE project LIKE 'src1%' GROUP BY project")
 rule("location_status", "P25: a stated place against an index of what is there.",

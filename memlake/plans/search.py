@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import correcting, direction_mismatch, question_form
-from ..functions.scalars import arm, compounds, composite, dot, import_target, jaccard, scope_weight
-from ..operators import curation, retrieval
+from ..functions.scalars import arm, composite, compounds, import_target, scope_weight
+from ..functions.wordlists import DIRECTIONS, NEGATIONS, QUERY_STOPWORDS, TERM_STOPWORDS
+from ..operators import curation, gates, retrieval
 from ..operators.outcomes import document_frequency, engagement
 from ..params import Params
 from .inputs import RECORDS, records, table
@@ -25,11 +26,16 @@ def query(sql: str):
     return add
 
 
+def listed(words: tuple[str, ...]) -> str:
+    """Words as a list in SQL."""
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
 #: Every hundredth vector is a query against all of them.
 ASKED = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings)"
 SIMS = f"{ASKED}, s AS (SELECT query_id, id, label, list_inner_product(q.e, v.e) AS sim FROM q, v)"
 TOKENS = "regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)', 1)"
-BM25 = f"""asked AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(query), '([\\p{{L}}\\p{{N}}]+)', 1))) AS term FROM (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark)),
+BM25 = f"""asked AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(query), '([\\p{{L}}\\p{{N}}]+)', 1))) AS term FROM (SELECT item_id AS query_id, text AS query FROM benchmark)),
     cut AS (SELECT doc_id AS id, {TOKENS} AS words FROM documents), n AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM cut),
     post AS (SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(words) AS length, unnest(words) AS term FROM cut) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
     w AS (SELECT post.id, post.term, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) AS w FROM post JOIN df USING (term), n),
@@ -42,18 +48,18 @@ def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _sims(spark: SparkSession, d: str) -> DataFrame:
-    """Similarities of each query with every vector; queries are few and broadcast under a size check by Spark."""
+    """Similarities of each query with every vector."""
     v, q = _asked(spark, d)
-    return v.join(q.withColumnRenamed("embedding", "e")).select("query_id", "id", "label", dot(F.col("embedding"), F.col("e")).alias("sim"))
+    return retrieval.vector_top_k(v, q, None).join(v.select("id", "label"), "id").withColumnRenamed("similarity", "sim")
 
 
 def _benchmark_queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query(f"WITH {BM25} SELECT query_id, id, round(score, 6) AS score, r - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM bm) WHERE r <= 10")
 def fts_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Ten best documents for the first words of each benchmark text."""
+    """Ten best documents for each benchmark text."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return retrieval.bm25_top_k(docs, _benchmark_queries(spark, d), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -117,14 +123,55 @@ def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.round("boost", 9).alias("boost"), "source")
 
 
-@query(f"""WITH {FUSED}, f AS (SELECT *, 0.3 + boost AS score, id % 3 = query_id % 3 AS mine FROM fused), m AS (SELECT *, mine AND similarity + boost >= 0.3 AS ok FROM f),
-    a AS (SELECT *, max(ok::INT) OVER (PARTITION BY query_id) = 1 AS any_mine FROM m),
-    sc AS (SELECT *, CASE WHEN ok THEN 'project' WHEN NOT mine AND ((similarity >= 0.6 AND NOT any_mine) OR similarity >= 0.3) THEN 'global' END AS scope FROM a)
-    SELECT query_id, scope, id, row_number() OVER (PARTITION BY query_id, scope ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM sc WHERE scope IS NOT NULL QUALIFY rank < 7""")
+@query(f"""WITH {FUSED}, f AS (SELECT query_id, id, similarity, coalesce(0.5 * similarity, 0.3) + boost AS score, source, id % 3 = query_id % 3 AS in_project, CASE WHEN id % 5 = 0 THEN 'reference' ELSE 'fact' END AS kind,
+    0.3 + CASE WHEN query_id % 4 = 0 THEN 0.05 ELSE 0 END AS tau FROM fused),
+    m AS (SELECT *, in_project AND similarity >= tau AS mine FROM f), a AS (SELECT *, bool_or(mine) OVER (PARTITION BY query_id) AS any_mine FROM m),
+    g AS (SELECT *, CASE WHEN mine THEN 'project' WHEN ((similarity >= 0.6 AND NOT any_mine) OR similarity >= tau OR (source = 'fts' AND score >= 0.4 AND in_project)) AND NOT (kind = 'reference' AND similarity < 0.56) THEN 'global' END AS scope FROM a)
+    SELECT query_id, scope, id, row_number() OVER (PARTITION BY query_id, scope ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM g WHERE scope IS NOT NULL AND (id + query_id) % 7 <> 0 QUALIFY rank < 7""")
 def scope_split(spark: SparkSession, d: str) -> DataFrame:
-    """Fused rows by scope, seven of each."""
-    f = _fused(spark, d).withColumn("score", 0.3 + F.col("boost")).withColumn("in_project", F.col("id") % 3 == F.col("query_id") % 3).withColumn("kind", F.lit("fact"))
-    return retrieval.scope_split(f, 0.3).select("query_id", "scope", "id", "rank")
+    """Fused rows by scope, seven of each; a boosted threshold for some queries, what was served left out."""
+    f = _fused(spark, d).withColumn("score", F.coalesce(0.5 * F.col("similarity"), F.lit(0.3)) + F.col("boost")).withColumn("in_project", F.col("id") % 3 == F.col("query_id") % 3)
+    f = f.withColumn("kind", F.when(F.col("id") % 5 == 0, "reference").otherwise("fact"))
+    served = f.filter((F.col("id") + F.col("query_id")) % 7 == 0).select("query_id", "id")
+    return gates.scopes(f, F.lit(0.3) + F.when(F.col("query_id") % 4 == 0, 0.05).otherwise(0.0), served=served).select("query_id", "scope", "id", "rank")
+
+
+#: Rows of the retrieval chain: similarities from 0 to 1, topics, words and reranker scores of each vector.
+CHAIN = f"""{SIMS}, r AS (SELECT query_id, id, (1 + sim) / 2 AS similarity, 0.5 * (1 + sim) / 2 + 0.15 * (id % 5) / 5.0::DOUBLE AS score, label AS kind, id % 11 AS topic, id % 6 = 0 AS archived, [(id % 9)::VARCHAR, (id % 13)::VARCHAR] AS words,
+    CASE WHEN query_id % 300 <> 0 THEN ((id * 37 + query_id) % 101) / 10.0::DOUBLE - 6 END AS ce FROM s WHERE id <> query_id)"""
+
+
+def _chain(spark: SparkSession, d: str) -> DataFrame:
+    i, q = F.col("id"), F.col("query_id")
+    sim = (1 + F.col("sim")) / 2
+    ce = F.when(q % 300 != 0, (i * 37 + q) % 101 / 10.0 - 6)
+    return _sims(spark, d).filter("id <> query_id").select(
+        "query_id", "id", sim.alias("similarity"), (0.5 * sim + 0.15 * (i % 5) / 5.0).alias("score"), F.col("label").cast("string").alias("kind"), (i % 11).cast("string").alias("topic"),
+        F.array((i % 9).cast("string"), (i % 13).cast("string")).alias("words"), (i % 6 == 0).alias("archived"), ce.alias("ce_score"),
+    )
+
+
+def greedy(start: str, rows: str, most: int = 1000) -> str:
+    """G5 as a recursive walk in DuckDB: ids of `rows` (query_id, n from 1, id, kind, topic, words) that stay."""
+    return f"""walk AS (SELECT query_id, 0::BIGINT AS n, []::STRUCT(k VARCHAR, t VARCHAR, w VARCHAR[])[] AS kept, NULL::BIGINT AS id FROM {start}
+        UNION ALL SELECT query_id, n, CASE WHEN dup THEN kept ELSE list_append(kept, own) END, CASE WHEN NOT dup THEN id END FROM (SELECT w.query_id, p.n, w.kept, p.id, {{'k': p.kind::VARCHAR, 't': p.topic::VARCHAR, 'w': p.words}} AS own,
+            len(w.kept) >= {most} OR len(list_filter(w.kept, lambda y: (y.k = p.kind::VARCHAR AND y.t = p.topic::VARCHAR) OR len(list_intersect(y.w, p.words)) / len(list_distinct(list_concat(y.w, p.words))) > 0.85)) > 0 AS dup FROM walk w JOIN {rows} p ON p.query_id = w.query_id AND p.n = w.n + 1))"""
+
+
+@query(f"""WITH RECURSIVE {CHAIN}, act AS (SELECT * FROM r WHERE NOT archived AND similarity >= 0.5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 50),
+    top AS (SELECT query_id, similarity AS s1, score AS c1 FROM act QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1),
+    pass AS (SELECT act.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM act JOIN top USING (query_id) WHERE s1 >= 0.45 AND NOT (s1 < 0.35 AND c1 < 0.5) AND similarity >= 0.7 * s1), {greedy("top", "pass")},
+    div AS (SELECT pass.* EXCLUDE (n), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pass.id) - 1 AS rank FROM pass JOIN walk USING (query_id, id)), best AS (SELECT query_id, similarity AS s1 FROM div WHERE rank = 0),
+    old AS (SELECT r.* REPLACE (0.0 AS score), row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) - 1 AS rank FROM r JOIN best USING (query_id) WHERE archived AND similarity >= 0.45 AND similarity >= 0.7 * s1),
+    two AS (SELECT *, bool_and(ce IS NOT NULL) OVER (PARTITION BY query_id) AS scored, bool_or(ce >= -3) OVER (PARTITION BY query_id, archived) AS any_ok FROM (SELECT * FROM div WHERE rank < 12 UNION ALL SELECT * FROM old WHERE rank < 6)),
+    stay AS (SELECT * FROM two WHERE NOT scored OR (any_ok AND ce >= -3) OR (NOT any_ok AND rank = 0)), lim AS (SELECT *, min(ce) OVER p AS low, max(ce) OVER p AS high FROM stay WINDOW p AS (PARTITION BY query_id, archived)),
+    mix AS (SELECT *, CASE WHEN scored AND NOT archived THEN 0.4 * score + 0.6 * (ce - low) / CASE WHEN high > low THEN high - low ELSE 1 END ELSE score END AS final FROM lim),
+    cut AS (SELECT *, row_number() OVER (PARTITION BY query_id, archived ORDER BY CASE WHEN archived THEN -rank ELSE final END DESC, rank, id) AS nth FROM mix QUALIFY nth <= 5)
+    SELECT query_id, id, archived, row_number() OVER (PARTITION BY query_id ORDER BY archived, nth) - 1 AS place, round(final, 6) AS score, CASE WHEN scored THEN 'reranked' ELSE 'gate-unavailable' END AS gate_status FROM cut""")
+def find_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chain, G1 to G9; a third of the queries go without a reranker."""
+    done = gates.find_similar(_chain(spark, d), threshold=0.5)
+    return done.select("query_id", "id", "archived", "place", F.round("score", 6).alias("score"), "gate_status")
 
 
 @query(f"""WITH {SIMS}, c AS (SELECT query_id, id, sim, 0.5 * sim + 0.05 * CASE WHEN label = 3 THEN 1.0 WHEN label % 2 = 0 THEN 1.0 ELSE 0.3 END AS score FROM s WHERE id <> query_id),
@@ -138,22 +185,30 @@ def composite_and_gates(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.gates(ranked, Params(garbage_gate=0.3)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("""WITH k AS (SELECT doc_id AS id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: length(x) > 6)) AS keywords FROM documents), r AS (SELECT id, unnest(keywords) AS w FROM k WHERE id % 100 <> 0),
-    q AS (SELECT id AS query_id, len(keywords) AS asked, unnest(keywords) AS w FROM k WHERE id % 100 = 0), j AS (SELECT query_id, id, count(*) AS shared, any_value(asked) AS asked FROM q JOIN r USING (w) GROUP BY query_id, id)
+@query("""WITH k AS (SELECT doc_id AS id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: length(x) > 6)) AS keywords FROM documents), r AS (SELECT id, unnest(keywords) AS w FROM k),
+    q AS (SELECT id AS query_id, len(keywords) AS asked, unnest(keywords) AS w FROM k WHERE id % 100 = 0), j AS (SELECT query_id, id, count(*) AS shared, any_value(asked) AS asked FROM q JOIN r USING (w) WHERE query_id <> id GROUP BY query_id, id)
     SELECT query_id, id, shared, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, id) - 1 AS rank FROM j WHERE shared >= 2 AND shared >= 0.25 * asked QUALIFY rank < 5""")
 def keyword_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """R11, J19, K4."""
+    """Each hundredth document against all others."""
     k = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 6)).alias("keywords"))
-    return retrieval.keyword_matches(k.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), k.filter("id % 100 <> 0").withColumn("updated_at", F.lit(0)), 5)
+    return retrieval.keyword_matches(k.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), k.withColumn("updated_at", F.lit(0)), 5, others=True)
+
+
+TERMS = f"""cut AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '([a-z0-9][a-z0-9_\\-]{{2,}})', 1), lambda x: NOT list_contains({listed(TERM_STOPWORDS)}, x)) AS one FROM conversations),
+    terms AS (SELECT conv_id, turn, list_distinct(list_concat(one, [one[i] || ' ' || one[i + 1] for i in range(1, len(one))])) AS t FROM cut)"""
 
 
-@query("")
+@query(f"WITH {TERMS}, e AS (SELECT unnest(t) AS term FROM terms) SELECT term, count(*) AS df FROM e GROUP BY 1 HAVING df >= 2")
 def token_df(spark: SparkSession, d: str) -> DataFrame:
     """In how many turns a term or a pair of terms stands."""
     return document_frequency(table(spark, d, "conversations"))
 
 
-@query("")
+@query(f"""WITH {TERMS}, n AS (SELECT count(*) AS n FROM conversations), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(t) AS term FROM terms) GROUP BY 1 HAVING df >= 2),
+    r AS (SELECT p.conv_id * 1000 + p.turn AS id, list_filter(m.t, lambda x: NOT list_contains(p.t, x)) AS own, a.t AS said FROM terms p JOIN terms m ON m.conv_id = p.conv_id AND m.turn = p.turn - 1 JOIN terms a ON a.conv_id = p.conv_id AND a.turn = p.turn + 1),
+    e AS (SELECT id, unnest(own) AS term, said FROM r), w AS (SELECT id, list_contains(said, e.term) AS hit, ln((n + 1) / (coalesce(df, 0) + 1)) AS idf FROM e LEFT JOIN df ON df.term = e.term, n),
+    s AS (SELECT id, count(*) FILTER (hit) AS hits, coalesce(sum(idf) FILTER (hit), 0) AS got, sum(idf) AS all_of FROM w WHERE idf >= 0.5 GROUP BY 1)
+    SELECT r.id, (hits >= 2)::INTEGER AS engaged, coalesce(round_even(got / all_of, 6), -1) AS engaged_score FROM r LEFT JOIN s ON s.id = r.id""")
 def engagement_score(spark: SparkSession, d: str) -> DataFrame:
     """O2: what each turn's next one repeats of the turn before it; idf over all turns."""
     turns = table(spark, d, "conversations")
@@ -165,29 +220,38 @@ def engagement_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM (SELECT doc_id, lang, source, list_distinct(string_split(lower(text), ' ')) AS w FROM documents) a JOIN (SELECT doc_id, lang, source, list_distinct(string_split(lower(text), ' ')) AS w FROM documents) b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) > 0.3")
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """G5's measure over pairs of one kind and project, as an equi-join on both."""
-    w = table(spark, d, "documents").select("doc_id", "lang", "source", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"))
-    a, b = w.withColumnsRenamed({"doc_id": "a", "w": "wa"}), w.withColumnsRenamed({"doc_id": "b", "w": "wb"})
-    j = jaccard(F.col("wa"), F.col("wb"))
-    return a.join(b, ["lang", "source"]).filter("a < b").withColumn("jaccard", j).filter("jaccard > 0.3").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """G5's measure over pairs of one kind and project."""
+    w = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", F.array_distinct(F.split(F.lower("text"), " ")).alias("words"))
+    return retrieval.similar_sets(w, 0.3, by=("lang", "source")).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 2 = b.vec_id % 2 AND a.vec_id < b.vec_id WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3 ORDER BY round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, a, b LIMIT 2000")
+@query("""WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AND a.vec_id % 2 = b.vec_id % 2 AS same_topic, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3 AND (a.vec_id + b.vec_id) % 13 <> 0),
+    n AS (SELECT least(count(*) FILTER (same_topic), 200) AS same, 200 - least(count(*) FILTER (same_topic), 200) AS room, count(*) FILTER (NOT same_topic) AS other FROM s),
+    r AS (SELECT *, row_number() OVER (PARTITION BY same_topic ORDER BY sim DESC, a, b) - 1 AS place FROM s), t AS (SELECT r.*, room, greatest(1, ceil(other / greatest(room, 1)))::BIGINT AS step FROM r, n)
+    SELECT a, b, same_topic, round(sim, 6) AS similarity FROM t WHERE (same_topic AND place < 200) OR (NOT same_topic AND room > 0 AND place % step = 0 AND place < step * room)""")
 def contradiction_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of one kind and topic, most similar first."""
+    """Pairs of one kind and topic, then others by every n-th; assessed ones are left out."""
     v, _ = _asked(spark, d)
-    pairs = curation.contradiction_pairs(v.select("id", F.col("label").alias("kind"), (F.col("id") % 2).alias("topic"), "embedding"), 0.3)
-    return pairs.withColumn("similarity", F.round("similarity", 6))
+    rows = v.select("id", F.col("label").alias("kind"), (F.col("id") % 2).alias("topic"), "embedding")
+    near = retrieval.similarity_join(rows, 0.3).filter("(a + b) % 13 = 0")
+    return curation.contradiction_pairs(rows, 0.3, 200, assessed=near).select("a", "b", "same_topic", F.round("similarity", 6).alias("similarity"))
 
 
-@query("")
+STARS = """nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT a AS id FROM e UNION SELECT b FROM e)), near AS (SELECT a AS id, list(b ORDER BY b) AS later FROM e GROUP BY 1),
+    walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS taken, NULL::BIGINT AS seed, []::BIGINT[] AS got
+        UNION ALL SELECT x.n, list_concat(w.taken, x.got), CASE WHEN len(x.got) > 0 THEN x.id END, x.got FROM walk w JOIN LATERAL (SELECT m.n, m.id, CASE WHEN list_contains(w.taken, m.id) THEN [] ELSE list_prepend(m.id, list_filter(coalesce(near.later, []), lambda y: NOT list_contains(w.taken, y))[1:9]) END AS got FROM nodes m LEFT JOIN near ON near.id = m.id WHERE m.n = w.n + 1) x ON true)
+    SELECT seed, unnest(got) AS id FROM walk WHERE len(got) >= 2"""
+
+
+@query(f"WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35), {STARS}")
 def star_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Greedy clusters over the similarity join."""
     v, _ = _asked(spark, d)
     return curation.star_clusters(retrieval.similarity_join(v, 0.35).select("a", "b"))
 
 
-@query("")
+@query(f"""WITH RECURSIVE {BM25}, top AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS n FROM bm QUALIFY n <= 10), asks AS (SELECT DISTINCT query_id FROM top),
+    pass AS (SELECT query_id, n, id, lang AS kind, source AS topic, list_distinct(string_split(lower(text), ' ')) AS words FROM top JOIN documents ON doc_id = id), {greedy("asks", "pass", 5)} SELECT query_id, id, n - 1 AS rank FROM walk WHERE id IS NOT NULL""")
 def diversity_greedy(spark: SparkSession, d: str) -> DataFrame:
     """G5 after the text search: like rows are left out."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
@@ -218,15 +282,21 @@ def import_targets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", import_target(F.regexp_replace("url", "^[a-z]+://", "")).alias("target"))
 
 
-@query("")
+NEGATED = f"""w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM conversations),
+    p AS (SELECT a.conv_id, a.turn, a.w AS wa, b.w AS wb, list_filter({listed(NEGATIONS)}, lambda x: list_contains(a.w, x)) AS na, list_filter({listed(NEGATIONS)}, lambda x: list_contains(b.w, x)) AS nb FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+TURNED = " OR ".join(f"(list_contains(wa, '{x}') AND list_contains(wb, '{y}')) OR (list_contains(wa, '{y}') AND list_contains(wb, '{x}'))" for x, y in DIRECTIONS)
+
+
+@query(f"WITH {NEGATED} SELECT conv_id, turn, na <> nb OR {TURNED} AS mismatch FROM p")
 def negation_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring turns that turn against each other."""
+    """Neighbouring turns that turn against each other."""
     t = table(spark, d, "conversations")
     n = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other"))
     return t.join(n, ["conv_id", "turn"]).select("conv_id", "turn", direction_mismatch(F.col("text"), F.col("other")).alias("mismatch"))
 
 
-@query("")
+@query(f"""WITH c AS (SELECT item_id, regexp_extract_all(lower(text), '([a-z0-9]+(?:[_\\-.][a-z0-9]+)+)', 1) AS joined, list_filter(string_split_regex(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g')), '\\s+'), lambda x: length(x) > 3 AND NOT list_contains({listed(QUERY_STOPWORDS)}, x)) AS plain FROM benchmark)
+    SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(joined, plain))), ' ') AS keywords FROM c""")
 def extracted_keywords(spark: SparkSession, d: str) -> DataFrame:
     """Joined compounds and plain words of each benchmark text."""
-    return table(spark, d, "benchmark").select("item_id", compounds(F.col("text")).alias("keywords"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(compounds(F.col("text"))), " ").alias("keywords"))

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -18,3 +18,10 @@ def work_folder(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="memlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/memlake/{uuid.uuid4().hex}-stream"
+
+
+def written(df: DataFrame, label: str = "table") -> DataFrame:
+    """df written once under the work folder and read again, where several plans start from it."""
+    path = f"{work_folder(df.sparkSession)}-{label}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -31,7 +31,7 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.trim(x)), lambda p: p != "")
 
 
 def chunks(text: Column, most: int) -> Column:
