@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import heavy_join, keep
 
 #: Edges that a written part holds; the number of parts follows the number of edges.
 EDGES_PER_PART = 250_000
 
 
 def _linked_to_least(edges: DataFrame) -> DataFrame:
-    """u, v and m, the least of u and its neighbours. The sums are made on the map side first."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
+    """u, v and m, the least of u and its neighbours. The sums are made on the map side first; hubs' edges aren't shuffled."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return heavy_join(edges, least.select("u", "m"), "u", counts=least).select("u", "v", F.least("u", "m").alias("m"))
 
 
 def _is_stars(edges: DataFrame) -> bool:

@@ -4,7 +4,7 @@ Lines (stripped of white space at their ends, blank ones left alone) get one-per
 their 8-character shingles; bins that stay empty are filled from further permutations, so that two lines' bins
 agree with the probability of their Jaccard similarity. Ten bands of four bins find at least 99.4 % of pairs at
 0.8 and 99.99 % at 0.9. Bands that several lines share are buckets; equal buckets count once, and large ones are
-cut into pairs of blocks. A task verifies a bucket's lines by exact Jaccard and emits a forest of its links,
+taken in parts (see blocks). A task verifies a bucket's lines by exact Jaccard and emits a forest of its links,
 never all pairs. Distributed union-find joins the links, and one line per component stays: the first by id and
 line number. Lines are told apart by 64-bit hashes.
 """
@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import linked
 from .components import components
-from .shared import give_back, keep, slices, sorted_set, with_utf8
+from .shared import give_back, heavy_join, keep, slices, sorted_set, with_utf8
 
 SIZE, BINS, ROWS = 8, 40, 4
 _NONE = np.uint64(2**64 - 1)
@@ -62,8 +63,11 @@ def signatures(lines: list[str]) -> np.ndarray:
         todo = np.arange(len(lines))
         for turn in range(5):
             n = counts[todo]
-            at = np.repeat(first[todo] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            x = _mix(h[at] + np.uint64(turn * 0x632BE59BD9B4E019 & (2**64 - 1)))
+            if turn:
+                at = np.repeat(first[todo] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                x = _mix(h[at] + np.uint64(turn * 0x632BE59BD9B4E019 & (2**64 - 1)))
+            else:
+                x = h
             cell = np.repeat(np.arange(len(todo)) * BINS, n) + ((x >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
             got = np.full(len(todo) * BINS, _NONE)
             np.minimum.at(got, cell, x)
@@ -112,7 +116,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = pa.StructArray.from_arrays([pa.array(list(new), pa.int64()), pa.ListArray.from_arrays(np.arange(len(new) + 1, dtype=np.int32) * (BINS // ROWS), pa.array(bands.ravel()))], ["key", "bands"])
         ends = np.full(batch.num_rows + 1, len(new), np.int32)
         ends[0] = 0
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), signed)], ["id", "keys", "signed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), signed)], ["id", "mark", "keys", "signed"])
     del seen
     give_back()
 
@@ -139,7 +143,8 @@ def forests(group: np.ndarray, numbers: np.ndarray, start: np.ndarray, size: np.
     """Links (positions) that join, in each group, what its pairs with exact Jaccard of `least` or more join.
 
     Row r's set is numbers[start[r] : start[r] + size[r]], sorted; group: 0, 1, ... in order. In a round every
-    group compares one row with those that no link has reached, breadth first, all groups at once.
+    group compares one row with those that no link has reached, breadth first from its first row on, all groups at
+    once. Empty sets are like no other.
     """
     free, front = np.ones(len(group), bool), np.zeros(len(group), bool)
     base, out = int(numbers.max(initial=0)) + 1, []
@@ -156,7 +161,7 @@ def forests(group: np.ndarray, numbers: np.ndarray, start: np.ndarray, size: np.
         if not len(x):
             break
         p = pivot[group[x]]
-        fits = np.minimum(size[p], size[x]) >= least * np.maximum(size[p], size[x])
+        fits = (np.minimum(size[p], size[x]) >= least * np.maximum(size[p], size[x])) & (size[x] > 0)
         x, p = x[fits], p[fits]
         cuts = np.flatnonzero(np.diff(np.cumsum(size[x]) // most)) + 1
         for x, p in zip(np.split(x, cuts), np.split(p, cuts), strict=True):
@@ -172,27 +177,6 @@ def forests(group: np.ndarray, numbers: np.ndarray, start: np.ndarray, size: np.
     return tuple(np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in (0, 1))
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Batches of rows sorted by `by` that end where a group ends, about `limit` bytes of a column each, with group numbers."""
-    held: list[pa.RecordBatch] = []
-
-    def numbered(batch: pa.RecordBatch) -> np.ndarray:
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in by]
-        return np.cumsum(np.append(False, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])))
-
-    for batch in slices(batches, column, limit):
-        held.append(batch)
-        now = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        group = numbered(now)
-        end = int(np.searchsorted(group, group[-1]))
-        if end:
-            yield now.slice(0, end), group[:end]
-        held = [now.slice(end)]
-    if held:
-        now = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        yield now, numbered(now)
-
-
 def similar_lines(docs: DataFrame, signed: DataFrame, text_col: str = "text", least: float = 0.8, block: int = 256, bitmap_bits: int = 1 << 25) -> DataFrame:
     """Links (a, b) between keys of different lines. signed: (key, bands) of lines, in any multiplicity."""
     rows = signed.select("key", F.explode("bands").alias("band"))
@@ -213,11 +197,8 @@ def similar_lines(docs: DataFrame, signed: DataFrame, text_col: str = "text", le
 
     member = keep(signed.mapInArrow(shared_bands, "key long, band long").distinct().join(common, "band", "left_semi"), "line-members")
     sets = member.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.shiftright(F.xxhash64("key", F.lit(1)), 20)).alias("s")).filter("n > 1")
-    bucket = keep(sets.groupBy("n", "x", "s").agg(F.min("band").alias("band")).select("band", "n"), "line-buckets")
-    member = member.join(bucket, "band").select("band", "key", F.ceil(F.col("n") / block).alias("parts"))
-    member = member.withColumn("part", F.pmod(F.xxhash64("key"), "parts"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(F.least("part", p).alias("i"), F.greatest("part", p).alias("j")))
-    member = keep(member.select("key", "band", F.explode(pairs).alias("x")).select("key", "band", "x.i", "x.j"), "line-blocks")
+    bucket = keep(sets.groupBy("n", "x", "s").agg(F.min("band").alias("grp")).select("grp", "n"), "line-buckets")
+    member = keep(heavy_join(member.select(F.col("band").alias("grp"), "key"), bucket.select("grp"), "grp", "left_semi", counts=bucket), "line-in-buckets")
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(member, "key", bitmap_bits))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,42 +218,42 @@ def similar_lines(docs: DataFrame, signed: DataFrame, text_col: str = "text", le
         del seen
         give_back()
 
-    line = with_utf8(docs, text=text_col).mapInArrow(texts, "key long, line binary").join(member.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
+    line = with_utf8(docs, text=text_col).mapInArrow(texts, "key long, line binary").join(member.select("key").distinct(), "key", "left_semi")
+    line = keep(line.groupBy("key").agg(F.first("line").alias("line")), "line-texts")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, group in whole_groups(batches, ["band", "i", "j"], "line", 1 << 20):
-            keys = batch.column("key").to_numpy()
-            _, first, of = np.unique(keys, return_index=True, return_inverse=True)
-            numbers, size = line_sets(batch.column("line").take(pa.array(first)).to_pylist())
-            a, b = forests(group, numbers, (np.cumsum(size) - size)[of], size[of], least)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(keys[b])], ["a", "b"])
-        give_back()
+    def compare(batch: pa.RecordBatch, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, first, of = np.unique(batch.column("key").to_numpy(), return_index=True, return_inverse=True)
+        numbers, size = line_sets(batch.column("line").take(pa.array(first)).to_pylist())
+        return forests(group, numbers, (np.cumsum(size) - size)[of], size[of], least)
 
-    spread = member.join(line, "key").select("band", "i", "j", "key", "line").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return spread.mapInArrow(verify, "a long, b long")
+    return linked(member, bucket, line, "line", compare, 1 << 20, block)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, counts: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, counts: bool = False, block: int = 256) -> DataFrame:
     """docs with the lines that repeat an earlier line, or nearly, taken out of text_col; all columns stay.
 
     Earlier is by id (null first), then by line number. Blank lines stay; a text whose lines all go becomes
     empty, and a null text stays null. Rows that share an id share its places, so lines alike at one place are
-    one line. counts: adds n_lines and n_kept, which docs must not have. No rows: an empty result.
+    one line. counts: adds n_lines and n_kept, which docs must not have. block: lines compared at once (see blocks).
+    No rows: an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    table = keep(with_utf8(docs, F.col(id_col).alias("id"), text=text_col).mapInArrow(_sign, f"id {id_type}, keys array<long>, signed array<struct<key:long,bands:array<long>>>"), "lines-signed")
+    # Rows without an id share places but not a group below: a mark of the text tells them apart.
+    mark = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(0).alias("mark")
+    table = keep(with_utf8(docs, F.col(id_col).alias("id"), mark, text=text_col).mapInArrow(_sign, f"id {id_type}, mark long, keys array<long>, signed array<struct<key:long,bands:array<long>>>"), "lines-signed")
     signed = table.select(F.explode("signed").alias("x")).select("x.key", "x.bands")
-    lines = table.select("id", F.posexplode("keys").alias("line", "key")).filter("key IS NOT NULL")
-    same = components(similar_lines(docs, signed, text_col, least), "a", "b").withColumnRenamed("node", "key")
+    lines = table.select("id", "mark", F.posexplode("keys").alias("line", "key")).filter("key IS NOT NULL")
+    same = components(similar_lines(docs, signed, text_col, least, block), "a", "b").withColumnRenamed("node", "key")
     firsts = lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
-    firsts = keep(firsts.join(same, "key", "left").filter("n > 1 OR component IS NOT NULL").select("key", "first", F.coalesce("component", "key").alias("root")), "line-firsts")
-    roots = keep(firsts.groupBy("root").agg(F.min("first").alias("stays")), "line-roots")
-    stays = keep(firsts.join(roots, "root").select("key", "stays"), "line-stays")
-    gone = lines.join(stays, "key").filter(~F.struct("id", "line").eqNullSafe(F.col("stays")))
-    gone = keep(gone.groupBy("id").agg(F.collect_set(F.struct("line", "key")).alias("gone")), "lines-gone")
+    firsts = keep(firsts.join(same, "key", "left").filter("n > 1 OR component IS NOT NULL").select("key", "first", "n", F.coalesce("component", "key").alias("root")), "line-firsts")
+    roots = keep(firsts.groupBy("root").agg(F.min("first").alias("stays"), F.count("*").alias("n")), "line-roots")
+    stays = keep(heavy_join(firsts.select("key", "root", F.col("n").alias("rows")), roots.select("root", "stays"), "root", counts=roots).select("key", "stays", F.col("rows").alias("n")), "line-stays")
+    gone = heavy_join(lines, stays.drop("n"), "key", counts=stays).filter(~F.struct("id", "line").eqNullSafe(F.col("stays")))
+    gone = keep(gone.groupBy("id", "mark").agg(F.collect_set(F.struct("line", "key")).alias("gone")), "lines-gone")
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    whole = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = whole.join(gone.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left").select("row", "text", "gone")
+    whole = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), mark, F.col(text_col).alias("text"))
+    gone = gone.withColumnsRenamed({"id": "of", "mark": "of_mark"})
+    joined = whole.join(gone, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left").select("row", "text", "gone")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -40,12 +40,35 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def heavy_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None, least: int = 1000, most: int = 1024) -> DataFrame:
+    """left.join(right, key, how) for inner, left and left_semi joins, with the commonest keys of left joined on the map side.
+
+    right has one row a key at most. Keys with `least` or more rows in left, the `most` commonest of them, have
+    their rows of right broadcast (`most` rows at most), so left's rows of a hot key stay where they are; all
+    other keys are joined by shuffling. counts: (key, n) of left's keys, where it is known already. left is read
+    three times, so it should be a written table. Null keys join nothing.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts.select(key, "n")
+    heavy = counts.filter((F.col("n") >= least) & F.col(key).isNotNull()).orderBy(F.desc("n"), key).limit(most).select(key)
+    light = left.join(F.broadcast(heavy), key, "left_anti").join(right, key, how)
+    hot = left.join(F.broadcast(heavy), key, "left_semi").join(F.broadcast(right.join(F.broadcast(heavy), key, "left_semi")), key, how)
+    return light.unionByName(hot)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of a few megabytes where the session doesn't say otherwise: both sides of a Python worker hold some."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", str(64 << 20)):
+        spark.conf.set(name, size)
+
+
 def with_utf8(docs: DataFrame, *ids: str, text: str = "text") -> DataFrame:
     """The id columns and the text's UTF-8 bytes (null: empty) as `utf8`; no other column is read."""
+    small_batches(docs.sparkSession)
     return docs.select(*ids, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("utf8"))
 
 
@@ -54,7 +77,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "utf8", limit: int =
     for batch in batches:
         at, held = 0, 0
         for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
-            if held and held + n > limit:
+            if i > at and held + n > limit:
                 yield batch.slice(at, i - at)
                 at, held = i, 0
             held += n

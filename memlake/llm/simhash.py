@@ -2,7 +2,7 @@
 
 Distinct fingerprints are put into cells by the population counts of their sub-words; two fingerprints differ in
 at least as many bits as these counts do in sum, so pairs of cells whose counts differ beyond the radius are
-skipped. Cells are cut into tiles of bounded size, and a task compares two tiles with numpy: exclusive or, bit
+skipped. Cells are cut into tiles of bounded size which meet in blocks, and a task compares two tiles with numpy: exclusive or, bit
 counts, and a union-find that emits a forest of the links found, never all pairs of a group. All pairs within the
 radius are covered at any size; the work is quadratic in distinct fingerprints, cut by the skipped tile pairs.
 """
@@ -10,6 +10,7 @@ radius are covered at any size; the work is quadratic in distinct fingerprints,
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,9 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import linked
 from .components import components
-from .line_dedup import bitmap_of, forests, whole_groups
-from .shared import WORD, give_back, keep, slices, sorted_set, with_utf8
+from .line_dedup import bitmap_of, forests
+from .shared import WORD, give_back, heavy_join, keep, slices, sorted_set, with_utf8
 
 
 def _shingle_hashes(utf8: bytes, size: int, seed: int) -> Iterator[np.ndarray]:
@@ -52,7 +54,10 @@ def _mix(h: np.ndarray, word: int) -> np.ndarray:
 
 
 def fingerprint(utf8: bytes, size: int = 3, seed: int = 42, words: int = 1, distinct: bool = False) -> bytes:
-    """64 * words bits: a bit is 1 if over half of the shingles' hashes have it. Big-endian; no word: all zero."""
+    """64 * words bits: a bit is 1 if over half of the shingles' hashes have it. Big-endian; no word: all zero.
+
+    distinct: of the set of shingles, with the set's size in four further bytes.
+    """
     ones, n = np.zeros((words, 64), np.int64), 0
     blocks = _shingle_hashes(utf8, size, seed)
     for h in [sorted_set(np.concatenate(held))] if distinct and (held := list(blocks)) else () if distinct else blocks:
@@ -61,11 +66,11 @@ def fingerprint(utf8: bytes, size: int = 3, seed: int = 42, words: int = 1, dist
             for at in range(0, len(h), 1 << 15):
                 bits = np.unpackbits(_mix(h[at : at + (1 << 15)], w).astype(">u8").view(np.uint8)).reshape(-1, 64)
                 ones[w] += bits.sum(0, dtype=np.uint32)
-    return np.packbits(2 * ones > n).tobytes()
+    return np.packbits(2 * ones > n).tobytes() + (n.to_bytes(4, "big") if distinct else b"")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, seed: int = 42, words: int = 1, distinct: bool = False) -> DataFrame:
-    """id_col and fp (64 * words bits as bytes) of each row; a null text has no words."""
+    """id_col and fp (see fingerprint) of each row; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -113,35 +118,53 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int, first: int, same: bool) -
     return np.array([x for x, _ in out], np.int64), np.array([y for _, y in out], np.int64)
 
 
-def near_links(fps: DataFrame, radius: int, words: int = 1, first: int | None = None, parts: int = 4, tile: int = 1024, spread: int = 1) -> DataFrame:
+def near_links(fps: DataFrame, radius: int, words: int = 1, first: int | None = None, parts: int = 4, tile: int = 1024, block: int = 8, least: float | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints that join all pairs within `radius` bits.
 
     fps: distinct non-null `fp`. first: most bits by which linked fingerprints may differ in their first word
-    (default: radius). parts: sub-words of the first word whose population counts make a cell; there are at most
-    (64/parts + 1)^parts cells, so the table of their sizes has a bound that does not depend on the data.
-    spread: tasks among which a cell's tiles are dealt, for few cells; its partners are copied as often.
+    (default: radius). parts: sub-words of the first word whose population counts make a cell, (64/parts + 1)^parts
+    cells at most; with one part, counts are taken in steps of first + 1. least: fingerprints end in their set's
+    size, and pairs of sizes too far apart for that Jaccard are skipped: sizes make cells by their logarithm.
+    Tiles of two cells meet in blocks: a key holds `block` tiles of each side, or more so that no tile is copied
+    over 32 times for a neighbouring cell. So the table of cells has a bound that does not depend on the data.
     """
     bits, first = 64 // parts, min(radius, 64) if first is None else first
+    step = first + 1 if parts == 1 else 1
     # A sub-word's count and those of its neighbours within the radius decide which cells meet.
     head = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")
     counts = [F.bit_count(F.shiftrightunsigned(head, bits * k).bitwiseAND((1 << bits) - 1 if bits < 64 else -1)) for k in range(parts)]
-    rows = fps.select("fp", *[c.alias(f"p{k}") for k, c in enumerate(counts)])
     cell = [f"p{k}" for k in range(parts)]
-    cells = rows.groupBy(*cell).agg(F.count("*").alias("held"))
-    salted = rows.join(F.broadcast(cells), cell).withColumn("part", F.pmod(F.xxhash64("fp"), F.ceil(F.col("held") / tile)).cast("int"))
-    tiles = keep(salted.groupBy(*cell, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("fp")), lambda x: F.hex(x)), "").alias("hex")).withColumn("block", F.unhex("hex")).drop("hex"), "tiles")
-    reach = [d for d in itertools.product(range(-first, first + 1), repeat=parts) if sum(map(abs, d)) <= first and d >= (0,) * parts] if parts > 1 else [(d,) for d in range(first + 1)]
-    left = tiles.select(*cell, F.col("part").alias("a_part"), F.col("block").alias("a_block"), F.pmod("part", F.lit(spread)).alias("salt"))
-    steps = F.explode(F.array(*[F.struct(*[F.lit(x).alias(f"d{k}") for k, x in enumerate(d)]) for d in reach]))
-    right = tiles.withColumn("d", steps).select(*[(F.col(f"p{k}") + F.col(f"d.d{k}")).cast("int").alias(f"p{k}") for k in range(parts)], F.expr(" AND ".join(f"d.d{k} = 0" for k in range(parts))).alias("same"), F.col("part").alias("b_part"), F.col("block").alias("b_block"), F.explode(F.array(*[F.lit(k) for k in range(spread)])).alias("salt"))
-    pairs = left.join(right, [*cell, "salt"]).filter("NOT same OR a_part <= b_part").select("a_block", "b_block", (F.col("same") & (F.col("a_part") == F.col("b_part"))).alias("self"))
+    rows = fps.select("fp", *[F.floor(c / step).cast("int").alias(n) for c, n in zip(counts, cell, strict=True)])
+    near = [d for d in itertools.product(range(-first, first + 1), repeat=parts) if sum(map(abs, d)) <= first] if step == 1 else [(-1,), (0,), (1,)]
+    if least is not None:
+        finer = 2
+        size = F.conv(F.hex(F.substring("fp", 8 * words + 1, 4)), 16, 10).cast("double")
+        rows = rows.withColumn("s", F.floor(F.log(F.greatest(size, F.lit(1.0))) * (finer / math.log(1 / least * (1 + 1e-9)))).cast("int"))
+        cell, near = [*cell, "s"], [(*d, e) for d in near for e in range(-finer, finer + 1)]
+    reach = [d for d in near if d >= (0,) * len(cell)]
+    cells = keep(rows.groupBy(*cell).agg(F.ceil(F.count("*") / tile).alias("tiles")), "cells").withColumn("wide", F.greatest(F.lit(block), F.ceil(F.col("tiles") / 32)))
+    salted = rows.join(F.broadcast(cells), cell).withColumn("part", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
+    blob = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list("fp")), lambda x: F.hex(x)), ""))
+    tiles = keep(salted.groupBy(*cell, "part").agg(blob.alias("blob"), F.floor(F.col("part") / F.first("wide")).cast("int").alias("run")), "tiles")
+    steps = F.explode(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(cell, d, strict=True)]) for d in reach])).alias("d")
+    shifted = [(F.col(c) + F.col(f"d.{c}")).cast("int").alias(c) for c in cell]
+    runs = F.ceil(F.col("tiles") / F.col("wide")).cast("int")
+    other = cells.select("*", steps).select(*shifted, runs.alias("others")).groupBy(*cell).agg(F.max("others").alias("others"))
+    sizes = keep(cells.select(*cell, runs.alias("runs")).join(other, cell), "cell-runs")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = tiles.join(F.broadcast(sizes), cell).select(*cell, F.col("run").alias("i"), upto("others").alias("j"), F.col("part").alias("a_part"), F.col("blob").alias("a_blob"))
+    same = F.expr(" AND ".join(f"d.{c} = 0" for c in cell))
+    right = tiles.select("*", steps).select(*shifted, same.alias("same"), F.col("run").alias("j"), F.col("part").alias("b_part"), F.col("blob").alias("b_blob"))
+    right = right.join(F.broadcast(sizes), cell).select("*", upto("runs").alias("i")).filter("NOT same OR i <= j")
+    pairs = left.join(right, [*cell, "i", "j"]).filter("NOT same OR a_part <= b_part").select("a_blob", "b_blob", (F.col("same") & (F.col("a_part") == F.col("b_part"))).alias("self"))
+    kind = np.dtype([("bits", ">u8", (words,)), ("size", ">u4", (0 if least is None else 1,))])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some: list[list[bytes]] = [[], []]
             for x, y, same in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                a, b = (np.frombuffer(z, ">u8").astype(np.uint64).reshape(-1, words) for z in (x, y))
-                w = 8 * words
+                a, b = (np.frombuffer(z, kind)["bits"].astype(np.uint64) for z in (x, y))
+                w = kind.itemsize
                 for out, blob, at in zip(some, (x, y), _forest(a, b, radius, first, same), strict=True):
                     out += [blob[w * k : w * k + w] for k in at.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in some], ["a", "b"])
@@ -155,13 +178,13 @@ def near_duplicates(prints: DataFrame, links: Callable[[DataFrame], DataFrame],
     links: from classes (fp, least: a class's least id) to links (a, b) between fingerprints. Rows with one fingerprint are one class, which only its least id and its fingerprint stand for. Null ids
     are below no other id: a class without any other has a null component_id.
     """
-    classes = keep(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
+    classes = keep(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "classes")
     joined = components(links(classes), "a", "b")
     roots = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = keep(roots, "roots")
-    ids = keep(roots.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
-    by_print = keep(roots.join(ids, "root").select("fp", "component_id"), "by-print")
-    return prints.join(by_print, "fp").select(id_col, "fp", "component_id")
+    ids = keep(roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "ids")
+    by_print = keep(heavy_join(roots, ids.drop("n"), "root", counts=ids).select("fp", "component_id"), "by-print")
+    return heavy_join(prints, by_print, "fp", counts=classes).select(id_col, "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, size: int = 3) -> DataFrame:
@@ -177,14 +200,14 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def verified_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", size: int = 5, block: int = 256, bitmap_bits: int = 1 << 25) -> DataFrame:
     """Links (a, b) between classes' fingerprints whose texts' shingle sets have a Jaccard of `least` or more.
 
-    candidates: links that join at least those pairs. Texts that they join meet in one task, or in pairs of
-    blocks if there are many; a task compares their shingles (as 64-bit hashes) and emits a forest.
+    candidates: links that join at least those pairs. Texts that they join meet (see blocks); a task compares their
+    shingles (as 64-bit hashes) and emits a forest.
     """
-    group = components(candidates, "a", "b").withColumnRenamed("node", "fp")
-    sizes = group.groupBy("component").agg(F.ceil(F.count("*") / block).alias("parts"))
-    member = classes.join(group, "fp").join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
-    member = keep(member.select("least", "fp", "component", "parts", "part"), "near-members")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(member.select(F.xxhash64("least").alias("at")), "at", bitmap_bits))
+    group = components(candidates, "a", "b").withColumnRenamed("node", "key")
+    member = keep(group.select(F.col("component").alias("grp"), "key"), "near-members")
+    sizes = keep(member.groupBy("grp").agg(F.count("*").alias("n")), "near-sizes")
+    asked = keep(classes.join(member.select(F.col("key").alias("fp")), "fp", "left_semi").select("fp", "least"), "near-asked")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(asked.select(F.xxhash64("least").alias("at")), "at", bitmap_bits))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = bits.value
@@ -197,35 +220,33 @@ def verified_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, l
 
     id_type = docs.schema[id_col].dataType.simpleString()
     marked = with_utf8(docs, F.col(id_col).alias("least"), text=text_col).select("least", F.xxhash64("least").alias("at"), "utf8")
-    texts = marked.mapInArrow(sets, f"least {id_type}, shingles binary")
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(F.least("part", p).alias("i"), F.greatest("part", p).alias("j")))
-    spread = member.join(texts, "least").select("component", F.explode(pairs).alias("x"), "fp", "shingles").select("component", "x.i", "x.j", "fp", "shingles")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, group in whole_groups(batches, ["component", "i", "j"], "shingles", 4 << 20):
-            held = batch.column("shingles")
-            size = pa.compute.binary_length(held).to_numpy().astype(np.int64) // 8
-            numbers = np.unique(np.frombuffer(b"".join(held.to_pylist()), np.uint64), return_inverse=True)[1]
-            a, b = forests(group, numbers, np.cumsum(size) - size, size, least)
-            fp = batch.column("fp")
-            yield pa.RecordBatch.from_arrays([fp.take(pa.array(a)), fp.take(pa.array(b))], ["a", "b"])
-        give_back()
+    # Rows that share an id are one document: any of its texts stands for it.
+    texts = marked.mapInArrow(sets, f"least {id_type}, shingles binary").join(asked, "least").groupBy("fp").agg(F.min("shingles").alias("shingles"))
+    texts = keep(texts.select(F.col("fp").alias("key"), "shingles"), "near-sets")
+
+    def compare(batch: pa.RecordBatch, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, first, of = np.unique(batch.column("key").to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+        held = batch.column("shingles").take(pa.array(first))
+        length = pa.compute.binary_length(held).to_numpy().astype(np.int64) // 8
+        numbers = np.unique(np.frombuffer(b"".join(held.to_pylist()), np.uint64), return_inverse=True)[1]
+        return forests(group, numbers, (np.cumsum(length) - length)[of], length[of], least)
 
-    return spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(verify, "a binary, b binary")
+    return linked(member, sizes, texts, "shingles", compare, 4 << 20, block)
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, words: int = 4, radius: int = 54, first: int = 22) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, words: int = 4, radius: int = 72, first: int = 22, block: int = 256) -> DataFrame:
     """id_col and component_id of every row: texts whose sets of `size`-word shingles have a Jaccard of `least`.
 
-    Tiled comparison of fingerprints of the sets finds candidates, exact Jaccard verifies them. 256 bits, of
-    which 54 may differ and 22 in the first word, hold over 99 % of pairs at 0.8: those differ in 39 bits, with
-    a spread of 6. Texts without words are alike. Rows that share an id are one document.
+    Tiled comparison of fingerprints of the sets finds candidates, exact Jaccard verifies them. Of 256 bits 72 may
+    differ, and 22 in the first word; pairs at 0.8 differ in 32 to 48 bits, with a spread of 6, so that over 99.8 %
+    of them are candidates (4 shingles of 5 are the worst case). Texts without words are alike. Rows that share an
+    id are one document.
     """
     prints = keep(fingerprints(docs, id_col, text_col, size, words=words, distinct=True), "prints")
 
     def links(classes: DataFrame) -> DataFrame:
-        near = near_links(classes.select("fp"), radius, words, first, parts=1, tile=8192, spread=2)
-        return verified_links(docs, classes, near, least, id_col, text_col, size)
+        near = near_links(classes.select("fp"), radius, words, first, parts=1, tile=4096, block=4, least=least)
+        return verified_links(docs, classes, near, least, id_col, text_col, size, block)
 
     return near_duplicates(prints, links, id_col)
 

@@ -157,7 +157,7 @@ def fuzzy(docs):
     for d, t in sorted(docs, key=lambda x: order(x[0])):
         for i, x in enumerate((t or "").encode().split(b"\n")):
             if x.strip():
-                first.setdefault(x.strip(), (order(d), i))
+                first[x.strip()] = min(first.get(x.strip(), (order(d), i)), (order(d), i))  # rows without an id share places
     lines = list(first)
     sets = [{s[i : i + 8] for i in range(max(1, len(s) - 7))} for s in (x.decode() for x in lines)]
     pairs = [(a, b) for a in range(len(lines)) for b in range(a) if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
