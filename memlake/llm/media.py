@@ -1,11 +1,12 @@
 """Media columns stored as content-defined chunks.
 
-A payload is cut where a rolling gear hash over the last 32 bytes has its top bits zero. A payload's stored form
-is its manifest, the ordered list of chunk digests and sizes; a chunk's bytes are stored once. Digests that occur
-more than once are found by a join-free count; a bitmap of them, of fixed size, tells a map task which payloads
-hold none, and those are stored without being shuffled. (A full bitmap sends all payloads the other way, which is
-slower and no less right.) For the others, Spark joins name one owner per digest, owners store the bytes, and
-reading joins chunk lists with the stored chunks and verifies the payload's digest.
+A payload is cut where a rolling gear hash over the last 32 bytes has its top bits zero. Its stored form is its
+manifest, the ordered list of chunk digests and sizes, and the chunks' bytes. Digests are counted by Spark. A chunk
+that no other payload has lies in its payload's row of the store; of a common one, Spark joins name an owner, which
+puts its bytes into the pool of common chunks, once. Reading joins chunk lists with the pool, puts the chunks
+together in the list's order and verifies the digests of chunks and payload. A bitmap of the common digests, of fixed
+size, tells a map task which payloads hold none: those are stored without being shuffled. (A full bitmap sends all
+payloads the other way, which is slower and no less right.)
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import keep, slices, with_utf8
+from .shared import heavy_join, keep, slices, with_utf8
 
 #: One 32-bit value per byte, from a seeded generator.
 GEAR = np.random.default_rng(10).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -102,7 +103,10 @@ def _list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _read_back(sha: bytes, listed: bytes, payload: bytes) -> list:
-    """A stored payload's values, after its digest and those of its chunks are verified."""
+    """A stored payload's values, after its digest and those of its chunks are verified.
+
+    media_bytes and media_sha256 are of the manifest followed by the chunks in its order.
+    """
     at = 0
     for digest, size in parts_of(listed):
         if hashlib.blake2b(payload[at : at + size], digest_size=16).digest() != digest:
@@ -110,7 +114,7 @@ def _read_back(sha: bytes, listed: bytes, payload: bytes) -> list:
         at += size
     if hashlib.sha256(payload).digest() != sha:
         raise ValueError("a stored payload does not match its digest")
-    return [sha, len(payload), zlib.crc32(payload[-32:]), len(listed), hashlib.sha256(listed).hexdigest(), features(payload)]
+    return [sha, len(payload), zlib.crc32(payload[-32:]), len(listed) + len(payload), hashlib.sha256(listed + payload).hexdigest(), features(payload)]
 
 
 READ = "sha binary, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -147,66 +151,66 @@ class MediaStore:
                 for p, e in zip(payloads, ends, strict=True):
                     listed = manifest(p, e)
                     at = [int.from_bytes(d[:4], "big") & (len(bits) * 8 - 1) for d, _ in parts_of(listed)]
-                    for col, x in zip(out, (hashlib.sha256(p).digest(), listed, squeeze(p), any(bits[k >> 3] >> (k & 7) & 1 for k in at)), strict=True):
+                    shares = any(bits[k >> 3] >> (k & 7) & 1 for k in at)
+                    chunks = None if shares else [p[i:j] for i, j in zip([0, *e], e, strict=False)]
+                    for col, x in zip(out, (hashlib.sha256(p).digest(), listed, chunks, squeeze(p) if shares else None), strict=True):
                         col.append(x)
-                yield pa.RecordBatch.from_arrays([*map(_binary, out[:3]), pa.array(out[3], pa.bool_())], ["sha", "manifest", "own", "shares"])
+                yield pa.RecordBatch.from_arrays([_binary(out[0]), _binary(out[1]), pa.array(out[2], pa.list_(pa.binary())), _binary(out[3])], ["sha", "manifest", "chunks", "whole"])
 
-        packed = keep(texts.select("utf8").mapInArrow(pack, "sha binary, manifest binary, own binary, shares boolean"), "media-packed")
-        self.alone = packed.filter("NOT shares").select("sha", "manifest", "own")
-        self._store_shared(packed.filter("shares"))
+        packed = keep(texts.select("utf8").mapInArrow(pack, "sha binary, manifest binary, chunks array<binary>, whole binary"), "media-packed")
+        self.alone = packed.filter("whole IS NULL").select("sha", "manifest", "chunks")
+        self._store_shared(packed.filter("whole IS NOT NULL"))
 
     def _store_shared(self, packed: DataFrame) -> None:
-        one = keep(packed.groupBy("sha").agg(F.first("manifest").alias("manifest"), F.first("own").alias("own")), "media-distinct")
+        one = keep(packed.groupBy("sha").agg(F.first("manifest").alias("manifest"), F.first("whole").alias("whole")), "media-distinct")
         body = F.expr("substring(hex(manifest), 33)")
         listed = F.transform(F.sequence(F.lit(0), F.expr("cast(length(manifest) - 16 as int) div 20 - 1")), lambda i: F.unhex(body.substr(i * 40 + 1, F.lit(32))))
         entries = keep(one.select("sha", F.posexplode(listed).alias("ord", "digest")), "media-entries")
-        owner = keep(entries.groupBy("digest").agg(F.min(F.struct("sha", "ord")).alias("owner"), (F.count("*") > 1).alias("common")), "media-owners")
-        roles = entries.join(owner, "digest").select("sha", F.struct("ord", (F.when(~F.col("common"), 0).when(F.col("owner") == F.struct("sha", "ord"), 1).otherwise(2)).alias("role")).alias("x"))
+        owner = keep(entries.groupBy("digest").agg(F.min(F.struct("sha", "ord")).alias("owner"), F.count("*").alias("n")), "media-owners")
+        # A digest's owner finds its own entry; an entry that isn't its digest's owner is one of several.
+        owns = owner.select("digest", "owner.sha", "owner.ord", F.when(F.col("n") > 1, 1).otherwise(0).alias("role"))
+        roles = entries.join(owns, ["digest", "sha", "ord"], "left").select("sha", F.struct("ord", F.coalesce("role", F.lit(2)).alias("role")).alias("x"))
         roles = roles.groupBy("sha").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["role"]).alias("roles"))
 
         def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             squeeze, loose = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
-            for batch in slices(batches, "own", 1 << 20):
+            for batch in slices(batches, "whole", 1 << 20):
                 out: list[list] = [[], [], [], [], []]
-                for sha, listed, own, role in zip(*(batch.column(k).to_pylist() for k in ("sha", "manifest", "own", "roles")), strict=True):
-                    payload, at, mine, common = loose(own), 0, [], []
+                for sha, listed, whole, role in zip(*(batch.column(k).to_pylist() for k in ("sha", "manifest", "whole", "roles")), strict=True):
+                    payload, at, mine, common = loose(whole), 0, [], []
                     for (digest, size), r in zip(parts_of(listed), role, strict=True):
                         if r == 0:
                             mine.append(payload[at : at + size])
                         elif r == 1:
                             common.append({"digest": digest, "bytes": squeeze(payload[at : at + size])})
                         at += size
-                    for col, x in zip(out, (sha, listed, squeeze(b"".join(mine)), role, common), strict=True):
+                    for col, x in zip(out, (sha, listed, mine, role, common), strict=True):
                         col.append(x)
-                kinds = [pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())]))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["sha", "manifest", "own", "roles", "common"])
+                kinds = [pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())]))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["sha", "manifest", "chunks", "roles", "common"])
 
-        self.sharing = keep(one.join(roles, "sha").mapInArrow(store, "sha binary, manifest binary, own binary, roles array<int>, common array<struct<digest:binary,bytes:binary>>"), "media-store")
-        self.entries = entries
+        self.sharing = keep(one.join(roles, "sha").mapInArrow(store, "sha binary, manifest binary, chunks array<binary>, roles array<int>, common array<struct<digest:binary,bytes:binary>>"), "media-store")
+        self.entries, self.owner = entries, owner
 
     def read(self) -> DataFrame:
         """Each stored payload, rebuilt from the stored bytes and verified: READ's columns."""
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            loose = zstandard.ZstdDecompressor().decompress
-            for batch in slices(batches, "own", 1 << 20):
-                yield _read_batch([_read_back(s, m, loose(o)) for s, m, o in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
+            for batch in batches:
+                yield _read_batch([_read_back(s, m, b"".join(c)) for s, m, c in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
 
         def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loose = zstandard.ZstdDecompressor().decompress
-            for batch in slices(batches, "own", 1 << 20):
+            for batch in batches:
                 rows = []
-                for sha, listed, own, role, got in zip(*(batch.column(k).to_pylist() for k in ("sha", "manifest", "own", "roles", "got")), strict=True):
-                    mine, at, common = loose(own), 0, {x["ord"]: x["bytes"] for x in got or ()}
-                    chunks = []
-                    for i, ((_, size), r) in enumerate(zip(parts_of(listed), role, strict=True)):
-                        chunks.append(loose(common[i]) if r else mine[at : at + size])
-                        at += 0 if r else size
-                    rows.append(_read_back(sha, listed, b"".join(chunks)))
+                for sha, listed, own, role, got in zip(*(batch.column(k).to_pylist() for k in ("sha", "manifest", "chunks", "roles", "got")), strict=True):
+                    mine, common = iter(own), {x["ord"]: x["bytes"] for x in got or ()}
+                    rows.append(_read_back(sha, listed, b"".join(loose(common[i]) if r else next(mine) for i, r in enumerate(role))))
                 yield _read_batch(rows)
 
         pool = keep(self.sharing.select(F.explode("common").alias("x")).select("x.digest", "x.bytes"), "media-pool")
-        got = self.entries.join(pool, "digest").groupBy("sha").agg(F.collect_list(F.struct("ord", "bytes")).alias("got"))
+        # Of chunks that many payloads share, 1,024 of 8 KiB at most are sent to all tasks; see heavy_join.
+        got = heavy_join(self.entries, pool, "digest", counts=self.owner).groupBy("sha").agg(F.collect_list(F.struct("ord", "bytes")).alias("got"))
         rebuilt = self.sharing.drop("common").join(got, "sha", "left").mapInArrow(joined, READ)
         return keep(self.alone.mapInArrow(whole, READ).unionByName(rebuilt), "media-read")
 
@@ -214,5 +218,5 @@ class MediaStore:
 def media_report(docs: DataFrame) -> DataFrame:
     """Contract columns: the stored media of every document, read back."""
     store = MediaStore(docs)
-    rows = store.rows.select(F.col("id").alias("doc_id"), "n_bytes", "sha").join(store.read(), "sha")
+    rows = heavy_join(store.rows.select(F.col("id").alias("doc_id"), "n_bytes", "sha"), store.read(), "sha")
     return rows.select("doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("sha")).alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature")
