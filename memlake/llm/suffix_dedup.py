@@ -90,7 +90,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
     piece = 1 << 23
     for batch in slices(batches, limit=1 << 20):
         texts = batch.column("utf8").to_pylist()
-        if len(texts) == 1 and len(texts[0]) > piece:
+        if len(texts) == 1 and len(texts[0]) > piece:  # slices leave no other row beside such a text
             yield from _long(batch, texts[0], piece)
             continue
         h, begin = word_hashes(texts)
@@ -227,20 +227,24 @@ class _Chunk:
         nil = pa.nulls(n, pa.int64())
         return pa.RecordBatch.from_arrays([b.column("id"), nil, nil, pa.array(np.full(n, side, np.int32)), *(b.column(k) for k in SUFFIX[1:]), pa.array(np.full(n, part, np.int32))], OUT)
 
-    def reach(self, forward: bool) -> int:
-        """How many rows from one end must meet the neighbouring rows: some, and one of another document."""
+    def reach(self, forward: bool, most: int = 1000) -> int:
+        """How many rows from one end must meet the neighbouring rows: some, and one of another document.
+
+        `most` bounds them where one document has a long run of rows: rows of it that match another document's
+        tie with all rows between, up to the chunk's end, and their windows are told there.
+        """
         turns = np.flatnonzero(self.change)
         n = len(self.change)
         if not len(turns):
-            return n
-        return min(n, max(NEAR, turns[0] + 1) if forward else max(NEAR, n - turns[-1] + 1))
+            return min(n, most)
+        return min(n, most, max(NEAR, turns[0] + 1) if forward else max(NEAR, n - turns[-1] + 1))
 
 
 OUT = ["id", "start", "end", "side", "pos", "n_right", "n_left", "right", "left", "part"]
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], edges: bool, most: int = 100_000) -> Iterator[pa.RecordBatch]:
-    """Matches of sorted suffixes (side 0) and, with `edges`, the partition's first (1) and last (2) rows and open windows (3)."""
+def _neighbours(batches: Iterator[pa.RecordBatch], edges: bool, most: int) -> Iterator[pa.RecordBatch]:
+    """In chunks of about `most` rows: matches of sorted suffixes (side 0) and, with `edges`, the partition's first (1) and last (2) rows and open windows (3)."""
     part = TaskContext.get().partitionId()
     held: list[pa.RecordBatch] = []
     first = True
@@ -281,7 +285,7 @@ def _shared_windows(windows: DataFrame) -> DataFrame:
     return windows.join(held.filter("low <> high OR (known > 0 AND known < n)").select("window"), "window").select("id", "start", "end")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = 1 << 26) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = 1 << 26, chunk: int = 100_000) -> DataFrame:
     """id_col, start, end (words, end exclusive), n_words: merged spans of passages that another document has too.
 
     A passage has 50 words or more, words being runs of other than ASCII white space. Null, empty and shorter
@@ -313,11 +317,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = f"id {id_type}, start long, end long, side int, pos long, n_right int, n_left int, right binary, left binary, part int"
     order = ["right", "id", "pos"]
     sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = keep(sorted_.mapInArrow(lambda b: _neighbours(b, True), out), "suffix-matches")
+    found = keep(sorted_.mapInArrow(lambda b: _neighbours(b, True, chunk), out), "suffix-matches")
     ends = found.filter("side IN (1, 2)")
     parts = ends.select("part").distinct().withColumn("nth", F.row_number().over(Window.orderBy("part")))  # a row a partition
     ends = ends.join(F.broadcast(parts), "part").withColumn("border", F.when(F.col("side") == 2, F.col("nth")).otherwise(F.col("nth") - 1))
-    again = ends.repartition("border").sortWithinPartitions("border", *order).select(*SUFFIX).mapInArrow(lambda b: _neighbours(b, False), out)
+    again = ends.repartition("border").sortWithinPartitions("border", *order).select(*SUFFIX).mapInArrow(lambda b: _neighbours(b, False, chunk), out)
     far = _shared_windows(found.filter("side = 3").select("id", "start", "end", F.col("pos").alias("window")))
     spans = found.filter("side = 0").unionByName(again).select("id", "start", "end").union(far).distinct()
     by_start = Window.partitionBy("id").orderBy("start", "end")
