@@ -54,13 +54,15 @@ class Machine:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, x))))
 
 
-def fit_machine(on: list[list[int]] | pa.ListArray, y: np.ndarray, feature: dict[int, int] | range, rank: int = 4, epochs: int = 30, step: float = 0.1, decay: float = 1e-4, seed: int = 5) -> Machine:
+def fit_machine(on: list[list[int]] | pa.ListArray, y: np.ndarray, feature: dict[int, int] | range, rank: int = 4, epochs: int | None = None, step: float = 0.1, decay: float = 1e-4, seed: int = 5) -> Machine:
     """Logistic loss by AdaGrad over mini-batches of sparse rows. Features that no row has stay at zero.
 
+    epochs: passes over the rows; by default so many that about 120,000 rows are visited, 12 to 30.
     A weight's steps are damped by ((z^2 + 1) / (z^2 + 25))^2 with z of its feature's presence by label. Factors
     move by steps that shrink with the number of features in a row, whose moves add up.
     """
     rng, n = np.random.default_rng(seed), max(1, len(feature))
+    epochs = epochs or min(30, max(12, 120_000 // max(1, len(y))))
     rate = min(0.98, max(0.02, float(y.mean()))) if len(y) else 0.05
     on = pa.array(on, pa.list_(pa.int32())) if isinstance(on, list) else on
     begin = on.offsets.to_numpy().astype(np.int64)
@@ -70,7 +72,7 @@ def fit_machine(on: list[list[int]] | pa.ListArray, y: np.ndarray, feature: dict
     seen = np.flatnonzero(total)
     at = np.zeros(n, np.int32)
     at[seen] = np.arange(len(seen))
-    toxic, total = np.bincount(flat, np.repeat(y, size), n)[seen], total[seen]
+    toxic, total = np.bincount(flat[np.repeat(y > 0, size)], minlength=n)[seen], total[seen]
     pos, neg = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
     share = total / max(1, len(y))
     z2 = (toxic / pos - (total - toxic) / neg) ** 2 / (share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
@@ -87,8 +89,9 @@ def fit_machine(on: list[list[int]] | pa.ListArray, y: np.ndarray, feature: dict
         full = np.flatnonzero(size[rows])
         batches.append((y[rows], used, np.searchsorted(used, cols).astype(np.int32), of[by], first, full, (np.cumsum(size[rows]) - size[rows])[full]))
 
-    bias, w, v = math.log(rate / (1 - rate)), np.zeros(len(seen)), rng.normal(0, 0.01, (len(seen), rank))
-    gw, gv, gb = np.full(len(seen), 1e-6), np.full((len(seen), rank), 1e-2), 1e-6
+    del on, flat, at
+    bias, w, v = math.log(rate / (1 - rate)), np.zeros(len(seen), np.float32), rng.normal(0, 0.01, (len(seen), rank)).astype(np.float32)
+    gw, gv, gb = np.full(len(seen), 1e-6, np.float32), np.full((len(seen), rank), 1e-2, np.float32), 1e-6
     for _ in range(epochs):
         for k in rng.permutation(len(batches)):
             real, used, place, of, first, full, starts = batches[k]
@@ -119,7 +122,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> Machine:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most_labels: int = 8_000) -> Machine:
     """Fit on labelled rows outside the held-out quarter: all of them, or the `most_labels` first by a hash of the id.
 
     Rows without a label, an id or a document are left out; of repeated labels of one id, toxic wins. Only the
@@ -140,8 +143,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     held = rows.mapInArrow(present, f"doc_id {id_type}, y int, on array<int>").orderBy("doc_id").toArrow()
+    y = np.array(held.column("y").to_pylist(), float)
     on = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(c.cast(pa.list_(pa.int32())) for c in held.column("on").chunks)])
-    return fit_machine(on, np.array(held.column("y").to_pylist(), float), feature)
+    del held
+    machine = fit_machine(on, y, feature)
+    del on
+    give_back()
+    return machine
 
 
 def _present(utf8: bytes, feature: dict[int, int] | range, cache: dict[str, tuple[int, ...]]) -> list[int]:
