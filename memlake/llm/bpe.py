@@ -182,7 +182,7 @@ class TextEncoder:
     `most_cached` each, so caches have a bound in bytes; longer ones are encoded anew in each batch.
     """
 
-    def __init__(self, path: str, most_cached: int = 60_000, longest_cached: int = 40):
+    def __init__(self, path: str, most_cached: int = 20_000, longest_cached: int = 40):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -192,6 +192,7 @@ class TextEncoder:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.spaced = {i: f"{t} ".encode() for t, i in [*spec["model"]["vocab"].items(), *self.special.items()]}
+        del spec, tok  # its model isn't needed
         self.byte = ["".join(w for w, _ in self.split(chr(b))) for b in range(128)]
         # A byte above 127 shows in the split of a character that holds it; all of them occur in these characters.
         for c in [*map(chr, range(0x80, 0x800)), *map(chr, range(0x800, 0xD800, 64)), *map(chr, range(0xE000, 0x110000, 4096))]:
@@ -224,8 +225,8 @@ class TextEncoder:
 
     def learn(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
         """Each piece's ids and their tokens, spaced. Words that aren't cached are encoded in one trie."""
-        self.pieces, self.known = self._turn(self.pieces, self.most), self._turn(self.known, 2 * self.most)
-        if len(self.words.fits) > 6 * self.most:
+        self.pieces, self.known = self._turn(self.pieces, self.most), self._turn(self.known, self.most)
+        if len(self.words.fits) > 8 * self.most:
             self.words.fits.clear()
         new, old = self.pieces
         find, had = new.get, old.get
@@ -279,17 +280,6 @@ class TextEncoder:
         return lined_up([x for x, _ in learned]), [x[:-1] for x in lined_up([x for _, x in learned])] if decoded else []
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
-
-
-def _encoder(path: str) -> TextEncoder:
-    """A Python worker's encoder: built once, as workers serve many partitions."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
-
-
 def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_digests: bool = False) -> DataFrame:
     """id_col, n_tokens, then ids (array<int>) or the digests of ids and of the decoded text.
 
@@ -298,10 +288,11 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(vocabulary)
+        enc = TextEncoder(vocabulary)
+        give_back()
         gc.disable()  # what is made here has no cycles, and scanning the caches for some takes long
         try:
-            for batch in slices(batches, limit=2 << 20):
+            for batch in slices(batches, limit=1 << 20):
                 ids, shown = enc.encode_batch(batch.column("utf8"), with_digests)
                 sizes = [len(x) // 4 for x in ids]
                 cols = [batch.column(0), pa.array(sizes, pa.int64())]
@@ -311,6 +302,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                     cols += [pa.array([hashlib.sha256(x).hexdigest() for x in y]) for y in (ids, shown)]
                 yield pa.RecordBatch.from_arrays(cols, names)
         finally:
+            del enc  # Python workers outlive a stage, and what they hold counts for their executor
             gc.enable()
             give_back()
 

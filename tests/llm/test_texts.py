@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -114,8 +115,27 @@ def test_ledger_scans_only_what_it_has_not_seen(spark, tmp_path):
     more = one.union(spark.createDataFrame([(4, "new")], "doc_id long, text string"))
     assert secret_scan.secret_report(more, ledger).filter("n_assign = 1").count() == 2
     assert held() == 3
-    secret_scan.secret_scan(more, ledger, version="2").count()
-    assert held() == 6
+    newer = tuple(dataclasses.replace(r, version=2) if r.kind == "assign" else r for r in secret_scan.RULES)
+    again = {r.doc_id: r.findings for r in secret_scan.secret_scan(more, ledger, rules=newer).collect()}
+    assert held() == 6 and [x.kind for x in again[1]] == ["assign"] and again[2] == []
+    scanned = [r.scanned for r in spark.read.schema(secret_scan.LEDGER).parquet(ledger).collect()]
+    assert sum(x == ["assign@2"] for x in scanned) == 3  # the other rules' versions were seen before
+    assert secret_scan.secret_scan(more, ledger).filter("size(findings) = 1").count() == 2 and held() == 6
+
+
+def test_running_sums(spark):
+    rng = random.Random(2)
+    rows = [([rng.randint(0, 9) for _ in range(n)],) for n in (1, 2, 3, 4, 5, 9, 10, 16, 17, 50, 1000)]
+    for r in spark.createDataFrame(rows, "x array<int>").select("x", secret_scan.running_sums(F.col("x")).alias("y")).collect():
+        assert r.y == [sum(r.x[:i]) for i in range(len(r.x))]
+
+
+def test_secrets_of_a_long_dump(spark):
+    """A text of 3 MB with 90,000 matches: places in time that is far from quadratic."""
+    text = "é".join(f"{i:016x} " * 2 + "AKIA" + "Q" * 14 for i in range(30_000))
+    r = secret_scan.secret_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = sorted([(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]{16,}", text)] + [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIAQ{14}", text)])
+    assert r.n_hex == 60_000 and r.n_access == 30_000 and r.spans == ",".join(x for _, _, x in want)
 
 
 @pytest.fixture(scope="module")
@@ -250,7 +270,7 @@ def test_shards(docs, odd, none):
 
 def test_shards_with_parts_and_runs(spark):
     table = spark.range(1000).select(F.col("id").alias("k"))
-    rows = sharding.shuffle_into_shards(table, ["k"], 4, rows_per_part=60).collect()
+    rows = sharding.shuffle_into_shards(table, ["k"], 4, rows_per_part=60, most_cells=40).collect()
     slots = defaultdict(list)
     for r in rows:
         slots[r.shard].append(r.slot)
@@ -259,6 +279,25 @@ def test_shards_with_parts_and_runs(spark):
     assert abs(np.corrcoef(place, np.arange(1000))[0, 1]) < 0.15
 
 
+def test_matrix_of_any_size():
+    """Far more rows than numpy's own sampler takes; the large sampler follows the same law as numpy's."""
+    sent = np.array([3 * 10**10, 0, 7 * 10**10, 10**11 + 5, 2 * 10**10])
+    places = np.full(16, sent.sum() // 16)
+    places[: sent.sum() % 16] += 1
+    m = sharding.communication_matrix(sent, places, 3)
+    assert (m.sum(1) == sent).all() and (m.sum(0) == places).all() and (m >= 0).all()
+    assert np.abs(m / np.outer(sent, places / sent.sum()).clip(1) - 1)[sent > 0].max() < 1e-3
+    rng = np.random.default_rng(1)
+    before, sharding._NUMPY_DRAWS = sharding._NUMPY_DRAWS, 0
+    try:
+        got = np.bincount([sharding.hypergeometric(rng, 30, 20, 12) for _ in range(20_000)], minlength=13)
+        assert [sharding.hypergeometric(rng, g, b, n) for g, b, n in ((5, 0, 3), (0, 5, 3), (4, 6, 0), (4, 6, 10))] == [3, 0, 0, 4]
+    finally:
+        sharding._NUMPY_DRAWS = before
+    want = np.bincount(rng.hypergeometric(30, 20, 12, 20_000), minlength=13)
+    assert np.abs(got - want).max() < 400
+
+
 def test_matrix_is_exact():
     sent, places = np.array([5, 0, 7, 8]), np.array([6, 6, 8])
     m = sharding.communication_matrix(sent, places, 1)
@@ -278,6 +317,8 @@ def test_media(docs, odd, none):
             want[r.doc_id, len(b), hashlib.sha256(p).digest()] += 1
             x = read[hashlib.sha256(p).digest()]
             assert x.payload_bytes == len(p) and x.tail_crc32 == zlib.crc32(p[-32:]) and x.feature == media.features(p)
+            form = media.manifest(p, media.chunk_ends([p])[0]) + p  # the list, then the chunks in its order
+            assert (x.media_bytes, x.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
         assert Counter((r.id, r.n_bytes, bytes(r.sha)) for r in store.rows.collect()) == want
         stored = [bytes(x.digest) for r in store.sharing.collect() for x in r.common]
         assert len(stored) == len(set(stored))
