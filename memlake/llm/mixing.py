@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.positions import numbered
 from .shared import WORD_SQL, keep
 
 
@@ -21,22 +22,27 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
-def source_targets(sources: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """sources (source, source_size) with target: `share` of all sizes, dealt by repeating weights up to `cap` times a size.
+def source_targets(sources: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), most_steps: int = 200) -> DataFrame:
+    """sources (source, source_size, ...) with target: `share` of all sizes, dealt by repeating weights up to `cap` times a size.
 
-    Sources come by code point, null last. What a full source can't take goes to the others by weight. With
-    sources by falling need, the level of the others is known as soon as the first of them isn't full.
+    Sources come by code point, null last. The level, what a weight of 1 gets, starts as if no source were full;
+    what full ones can't take raises it for the others, until no other source is full. Each step is a sum over
+    all sources.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
-    most = F.col("source_size") * F.lit(float(cap))
-    rows = sources.withColumn("weight", weight).withColumn("most", most).withColumn("ratio", F.col("most") / F.col("weight"))
-    whole = Window.partitionBy(F.lit(0))
-    before = Window.partitionBy(F.lit(0)).orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    rows = rows.withColumn("level", left / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    level = F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(whole)["level"]
-    return rows.withColumn("target", F.least(F.col("weight") * level, F.col("most"))).drop("weight", "most", "ratio", "level")
+    listed = numbered(sources, [F.col("source").asc_nulls_last()], "_place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_place") % len(weights) + 1).cast("int"))
+    rows = keep(listed.withColumn("_weight", weight).withColumn("_most", F.col("source_size") * F.lit(float(cap))).drop("_place"), "weights")
+    level = 0.0
+    for _ in range(most_steps):
+        full = F.col("_weight") * F.lit(level) >= F.col("_most")
+        left = F.sum("source_size") * F.lit(float(share)) - F.coalesce(F.sum(F.when(full, F.col("_most"))), F.lit(0.0))
+        step = rows.agg((left / F.sum(F.when(~full, F.col("_weight")))).alias("level")).first().level  # null: all are full, or there are none
+        if step is None or step <= level:
+            break
+        level = step
+    else:
+        raise RuntimeError(f"targets did not settle in {most_steps} steps")
+    return rows.withColumn("target", F.least(F.col("_weight") * F.lit(level), F.col("_most"))).drop("_weight", "_most")
 
 
 def tilts(cells: DataFrame, goals: DataFrame, small: bool, most_steps: int = 60, tolerance: float = 1e-11) -> DataFrame:
