@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from memlake.plans import analytics, feeds, graphs, messages, reports, rules, search, upkeep
+from memlake.plans import analytics, feeds, graphs, listings, messages, reports, rules, search, upkeep
 from memlake.sources import text
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-MODULES = (reports, analytics, search, feeds, rules, messages, upkeep, graphs)
+MODULES = (reports, analytics, search, feeds, rules, messages, upkeep, graphs, listings)
 
 
 @pytest.fixture(scope="module")
