@@ -18,7 +18,7 @@ from .shared import give_back, heavy_join, keep, slices
 
 #: From a batch's rows and group numbers to the positions of links, those of a group from its first row on, breadth first.
 Compare = Callable[[pa.RecordBatch, np.ndarray], tuple[np.ndarray, np.ndarray]]
-_BY = ["grp", "i", "j"]
+_BY = ["near", "grp", "i", "j"]
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -45,16 +45,17 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], column: str,
 def linked(member: DataFrame, sizes: DataFrame, payload: DataFrame, column: str, compare: Compare, limit: int, block: int = 256) -> DataFrame:
     """Links (a, b) between keys that join what the pairs of a group that `compare` finds alike join.
 
-    member: (grp, key), a written table; sizes: (grp, n) of all its groups; payload: (key, column), a written table.
+    member: (grp, key), a written table; sizes: (grp, n, near) of all its groups; payload: (key, column), a written
+    table. Groups with the same `near` lie side by side, so `compare` can share its work for keys that they share.
     """
     kind, key_kind = (dict(member.dtypes)[k] for k in ("grp", "key"))
     parts = F.ceil(F.col("n") / block)
-    sized = keep(heavy_join(member, sizes, "grp", counts=sizes).select("grp", "key", F.when(F.col("n") > block, parts).otherwise(0).alias("parts")), "sized").withColumn("i", F.when(F.col("parts") > 0, F.pmod(F.xxhash64("key"), "parts")).otherwise(0))
+    sized = keep(heavy_join(member, sizes, "grp", counts=sizes).select("near", "grp", "key", F.when(F.col("n") > block, parts).otherwise(0).alias("parts")), "sized").withColumn("i", F.when(F.col("parts") > 0, F.pmod(F.xxhash64("key"), "parts")).otherwise(0))
     large = sized.filter("parts > 0")
-    one = large.groupBy("grp").agg(F.min("key").alias("key"), F.first("parts").alias("parts"))
-    one = one.select("grp", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.lit(True).alias("one"))
+    one = large.groupBy("near", "grp").agg(F.min("key").alias("key"), F.first("parts").alias("parts"))
+    one = one.select("near", "grp", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.lit(True).alias("one"))
     nil = F.lit(-1).cast("long").alias("j")
-    first = keep(sized.select("grp", "key", "i", nil, F.lit(False).alias("one")).unionByName(one.select("grp", "key", "i", nil, "one")), "first-blocks")
+    first = keep(sized.select("near", "grp", "key", "i", nil, F.lit(False).alias("one")).unionByName(one.select("near", "grp", "key", "i", nil, "one")), "first-blocks")
 
     def meet(rows: DataFrame, again: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,14 +75,14 @@ def linked(member: DataFrame, sizes: DataFrame, payload: DataFrame, column: str,
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(rest)), pa.nulls(len(rest), keys.type), grp.take(pa.array(rest))], ["a", "b", "grp"])
             give_back()
 
-        held = heavy_join(rows, payload, "key").repartition(*_BY).sortWithinPartitions(*_BY, F.desc("one"), "key")
-        return held.select("grp", "i", "j", "one", "key", column).mapInArrow(run, f"a {key_kind}, b {key_kind}, grp {kind}")
+        held = heavy_join(rows, payload, "key").repartition("near", "i", "j").sortWithinPartitions(*_BY, F.desc("one"), "key")
+        return held.select("near", "grp", "i", "j", "one", "key", column).mapInArrow(run, f"a {key_kind}, b {key_kind}, grp {kind}")
 
     found = keep(meet(first, False), "first-links")
     rest = found.filter("b IS NULL").select("grp", F.col("a").alias("key")).distinct()
     left = keep(rest.groupBy("grp").agg(F.ceil(F.count("*") / block).alias("rest_parts")), "rest-sizes")
-    large_sizes = sizes.filter(F.col("n") > block).select("grp", parts.alias("parts"))
-    rest = rest.join(large_sizes.join(left, "grp"), "grp").select("grp", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.pmod(F.xxhash64(F.lit(1), "key"), "rest_parts").alias("j"))
-    all_of = heavy_join(large, left, "grp", counts=sizes).select("grp", "key", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest_parts") - 1)).alias("j"))
+    large_sizes = sizes.filter(F.col("n") > block).select("near", "grp", parts.alias("parts"))
+    rest = rest.join(large_sizes.join(left, "grp"), "grp").select("near", "grp", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.pmod(F.xxhash64(F.lit(1), "key"), "rest_parts").alias("j"))
+    all_of = heavy_join(large, left, "grp", counts=sizes).select("near", "grp", "key", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest_parts") - 1)).alias("j"))
     second = keep(rest.unionByName(all_of).distinct().withColumn("one", F.lit(False)), "second-blocks")
     return found.filter("b IS NOT NULL AND a <> b").select("a", "b").unionByName(meet(second, True).select("a", "b"))

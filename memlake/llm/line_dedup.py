@@ -196,8 +196,8 @@ def similar_lines(docs: DataFrame, signed: DataFrame, text_col: str = "text", le
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(bands[hit])], ["key", "band"])
 
     member = keep(signed.mapInArrow(shared_bands, "key long, band long").distinct().join(common, "band", "left_semi"), "line-members")
-    sets = member.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.shiftright(F.xxhash64("key", F.lit(1)), 20)).alias("s")).filter("n > 1")
-    bucket = keep(sets.groupBy("n", "x", "s").agg(F.min("band").alias("grp")).select("grp", "n"), "line-buckets")
+    sets = member.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("near"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.shiftright(F.xxhash64("key", F.lit(1)), 20)).alias("s")).filter("n > 1")
+    bucket = keep(sets.groupBy("n", "x", "s").agg(F.min("band").alias("grp"), F.min("near").alias("near")).select("grp", "n", "near"), "line-buckets")
     member = keep(heavy_join(member.select(F.col("band").alias("grp"), "key"), bucket.select("grp"), "grp", "left_semi", counts=bucket), "line-in-buckets")
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(member, "key", bitmap_bits))
 

@@ -205,7 +205,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, l
     """
     group = components(candidates, "a", "b").withColumnRenamed("node", "key")
     member = keep(group.select(F.col("component").alias("grp"), "key"), "near-members")
-    sizes = keep(member.groupBy("grp").agg(F.count("*").alias("n")), "near-sizes")
+    sizes = keep(member.groupBy("grp").agg(F.count("*").alias("n")).withColumn("near", F.col("grp")), "near-sizes")
     asked = keep(classes.join(member.select(F.col("key").alias("fp")), "fp", "left_semi").select("fp", "least"), "near-asked")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(asked.select(F.xxhash64("least").alias("at")), "at", bitmap_bits))
 
