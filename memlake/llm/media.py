@@ -30,6 +30,8 @@ GEAR = np.random.default_rng(10).integers(0, 1 << 32, 256, dtype=np.uint32)
 LEAST, MOST, TOP_BITS = 512, 8192, 10
 UNIT, PAD = 576, b"\xff"
 _HEAD = b"CDC1"
+#: Payloads are compressed harder than other tables: they are most of what the store writes.
+LEVEL = 9
 
 
 def pad(utf8: bytes) -> bytes:
@@ -145,7 +147,7 @@ class MediaStore:
         held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            squeeze, bits = zstandard.ZstdCompressor(level=3).compress, held.value
+            squeeze, bits = zstandard.ZstdCompressor(level=LEVEL).compress, held.value
             for _, payloads, ends in _payloads(batches):
                 out: list[list] = [[], [], [], []]
                 for p, e in zip(payloads, ends, strict=True):
@@ -157,7 +159,7 @@ class MediaStore:
                         col.append(x)
                 yield pa.RecordBatch.from_arrays([_binary(out[0]), _binary(out[1]), pa.array(out[2], pa.list_(pa.binary())), _binary(out[3])], ["sha", "manifest", "chunks", "whole"])
 
-        packed = keep(texts.select("utf8").mapInArrow(pack, "sha binary, manifest binary, chunks array<binary>, whole binary"), "media-packed")
+        packed = keep(texts.select("utf8").mapInArrow(pack, "sha binary, manifest binary, chunks array<binary>, whole binary"), "media-packed", LEVEL)
         self.alone = packed.filter("whole IS NULL").select("sha", "manifest", "chunks")
         self._store_shared(packed.filter("whole IS NOT NULL"))
 
@@ -173,7 +175,7 @@ class MediaStore:
         roles = roles.groupBy("sha").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["role"]).alias("roles"))
 
         def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            squeeze, loose = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+            squeeze, loose = zstandard.ZstdCompressor(level=LEVEL).compress, zstandard.ZstdDecompressor().decompress
             for batch in slices(batches, "whole", 1 << 20):
                 out: list[list] = [[], [], [], [], []]
                 for sha, listed, whole, role in zip(*(batch.column(k).to_pylist() for k in ("sha", "manifest", "whole", "roles")), strict=True):
@@ -189,7 +191,7 @@ class MediaStore:
                 kinds = [pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())]))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["sha", "manifest", "chunks", "roles", "common"])
 
-        self.sharing = keep(one.join(roles, "sha").mapInArrow(store, "sha binary, manifest binary, chunks array<binary>, roles array<int>, common array<struct<digest:binary,bytes:binary>>"), "media-store")
+        self.sharing = keep(one.join(roles, "sha").mapInArrow(store, "sha binary, manifest binary, chunks array<binary>, roles array<int>, common array<struct<digest:binary,bytes:binary>>"), "media-store", LEVEL)
         self.entries, self.owner = entries, owner
 
     def read(self) -> DataFrame:

@@ -21,6 +21,10 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
+#: The fresh folder of each local application without spark.checkpoint.dir, which can't be set in a running session.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a fresh one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,15 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="memlake-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="memlake-")
+    return _LOCAL[app]
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
+def keep(df: DataFrame, label: str, level: int = 3) -> DataFrame:
     """df written once to the shared folder and read again: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/memlake/{uuid.uuid4().hex}-{label}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
