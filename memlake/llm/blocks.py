@@ -50,6 +50,10 @@ def linked(member: DataFrame, sizes: DataFrame, payload: DataFrame, column: str,
     """
     kind, key_kind = (dict(member.dtypes)[k] for k in ("grp", "key"))
     parts = F.ceil(F.col("n") / block)
+    # What many groups have for `near` would be one hot key: its groups are dealt among as many as their rows need.
+    rows = sizes.groupBy("near").agg(F.sum("n").alias("rows"), F.count("*").alias("n"))
+    salt = F.pmod(F.xxhash64("grp"), F.ceil(F.col("rows") / (4 * block)))
+    sizes = keep(heavy_join(sizes, rows.select("near", "rows"), "near", counts=rows).select("grp", "n", F.struct("near", salt.alias("salt")).alias("near")), "group-sizes")
     sized = keep(heavy_join(member, sizes, "grp", counts=sizes).select("near", "grp", "key", F.when(F.col("n") > block, parts).otherwise(0).alias("parts")), "sized").withColumn("i", F.when(F.col("parts") > 0, F.pmod(F.xxhash64("key"), "parts")).otherwise(0))
     large = sized.filter("parts > 0")
     one = large.groupBy("near", "grp").agg(F.min("key").alias("key"), F.first("parts").alias("parts"))
@@ -59,7 +63,7 @@ def linked(member: DataFrame, sizes: DataFrame, payload: DataFrame, column: str,
 
     def meet(rows: DataFrame, again: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, group in whole_groups(batches, _BY, column, limit):
+            for batch, group in whole_groups(batches, _BY[1:], column, limit):
                 a, b = compare(batch, group)
                 keys, grp = batch.column("key"), batch.column("grp")
                 none = pa.nulls(len(a), grp.type)
@@ -76,7 +80,7 @@ def linked(member: DataFrame, sizes: DataFrame, payload: DataFrame, column: str,
             give_back()
 
         held = heavy_join(rows, payload, "key").repartition("near", "i", "j").sortWithinPartitions(*_BY, F.desc("one"), "key")
-        return held.select("near", "grp", "i", "j", "one", "key", column).mapInArrow(run, f"a {key_kind}, b {key_kind}, grp {kind}")
+        return held.select("grp", "i", "j", "one", "key", column).mapInArrow(run, f"a {key_kind}, b {key_kind}, grp {kind}")
 
     found = keep(meet(first, False), "first-links")
     rest = found.filter("b IS NULL").select("grp", F.col("a").alias("key")).distinct()
