@@ -10,6 +10,7 @@ from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
 from .line_dedup import deduped_lines
 from .media import media_report
+from .merkle import merkle_manifest, without_breaks
 from .mixing import mix_documents
 from .secret_scan import BASE, RULES, secret_report
 from .shared import documents
@@ -69,8 +70,13 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_report(documents(spark, sf_dir))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return merkle_manifest(docs, without_breaks(docs))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_mixing, op4_secret_scan, op5_toxicity, op6_bpe, op7_sharding, op8_line_dedup, op9_exact_dedup, op10_media)}
+    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_mixing, op4_secret_scan, op5_toxicity, op6_bpe, op7_sharding, op8_line_dedup, op9_exact_dedup, op10_media, op12_merkle)}
 
 
 def _secret_sql() -> str:
@@ -89,7 +95,37 @@ def _secret_sql() -> str:
         SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, blob FROM d LEFT JOIN c USING (doc_id)"""
 
 
+def _merkle_sql() -> str:
+    """op12 in DuckDB: levels by integer division of ranks, proofs as lists of what stands left and right, folded by list_reduce; crc32 bit by bit."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} || {field(text)})"
+    bits = "list_prepend(4294967295::BIGINT, flatten([[(ascii((doc_id::VARCHAR)[i]) >> b) & 1 for b in range(8)] for i in range(1, length(doc_id::VARCHAR) + 1)])::BIGINT[])"
+    even = f"list_reduce({bits}, lambda c, m: xor(c >> 1, CASE WHEN xor(c & 1, m) = 1 THEN 3988292384 ELSE 0 END)) % 2 = 1"  # the last step flips all bits
+    tree = lambda nodes, name: f"""{name} AS (
+            SELECT grp, 0::BIGINT AS level, rank, node, n FROM {nodes}
+            UNION ALL
+            SELECT grp, any_value(level) + 1, rank // 3, sha256(string_agg(node, '' ORDER BY rank)), any_value((n + 2) // 3) FROM {name} WHERE n > 1 GROUP BY grp, rank // 3)"""
+    side = lambda name, place: f"coalesce((SELECT string_agg(x.node, '' ORDER BY x.rank) FROM {name} AS x WHERE x.grp = t.grp AND x.level = t.level AND x.rank // 3 = t.rank // 3 AND x.rank {place} t.rank), '')"
+    steps = lambda name: f"SELECT grp, level, rank, [{side(name, '<')}, {side(name, '>')}] AS step FROM {name} AS t WHERE n > 1"
+    path = lambda leaves, name: f"SELECT l.grp, l.rank, list(s.step ORDER BY s.level) AS path FROM {leaves} AS l JOIN {name} AS s ON s.grp = l.grp AND s.rank = l.rank // (3 ** s.level)::BIGINT GROUP BY l.grp, l.rank"
+    return f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce('1' || source, '0') AS grp, {leaf('text')} AS node, CASE WHEN {even} THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS changed FROM documents),
+        l AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, node) - 1 AS rank, count(*) OVER (PARTITION BY grp) AS n FROM d),
+        {tree('l', 'nodes')},
+        roots AS (SELECT '' AS grp, grp AS source, node, row_number() OVER (ORDER BY grp) - 1 AS rank, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        {tree('roots', 'over')},
+        low AS ({steps('nodes')}), high AS ({steps('over')}),
+        low_path AS ({path('l', 'low')}), high_path AS ({path('roots', 'high')}),
+        p AS (
+            SELECT l.doc_id, l.node AS leaf, r.node AS subroot, (SELECT node FROM over WHERE n = 1) AS root, l.changed, list_concat(coalesce(a.path, []), coalesce(b.path, [])) AS path
+            FROM l JOIN roots AS r ON r.source = l.grp LEFT JOIN low_path AS a ON a.grp = l.grp AND a.rank = l.rank LEFT JOIN high_path AS b ON b.rank = r.rank),
+        f AS (SELECT doc_id, leaf, subroot, root, sha256(array_to_string(flatten(path), '')) AS proof_sha256, list_reduce(list_prepend([changed, ''], path), lambda acc, s: [sha256(s[1] || acc[1] || s[2]), ''])[1] AS folded_root FROM p)
+        SELECT *, folded_root = root AS verified FROM f"""
+
+
 ORACLE_SQL = {
+    "op12_merkle": _merkle_sql(),
     "op4_secret_scan": _secret_sql(),
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
