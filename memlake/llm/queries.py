@@ -12,6 +12,7 @@ from .line_dedup import deduped_lines
 from .media import media_report
 from .merkle import merkle_manifest, without_breaks
 from .mixing import mix_documents
+from .phrases import collocations
 from .secret_scan import BASE, RULES, secret_report
 from .shared import documents
 from .sharding import shard_documents
@@ -75,8 +76,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(docs, without_breaks(docs))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_mixing, op4_secret_scan, op5_toxicity, op6_bpe, op7_sharding, op8_line_dedup, op9_exact_dedup, op10_media, op12_merkle)}
+    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_mixing, op4_secret_scan, op5_toxicity, op6_bpe, op7_sharding, op8_line_dedup, op9_exact_dedup, op10_media, op12_merkle, op13_phrases)}
 
 
 def _secret_sql() -> str:
@@ -124,7 +129,25 @@ def _merkle_sql() -> str:
         SELECT *, folded_root = root AS verified FROM f"""
 
 
+_PHRASE_SQL = """
+    WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+    p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM t),
+    g AS (SELECT lang, unnest(flatten([[array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)] for k in range(1, 4)])) AS phrase FROM p),
+    f AS (SELECT lang, phrase, count(*) AS f FROM g GROUP BY ALL),
+    n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+    c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE f >= 10 AND contains(phrase, ' ')),
+    e AS (SELECT *, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, len(w))) AS k FROM c)),
+    cut AS (
+        SELECT e.lang, e.phrase, e.a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * e.a * e.a // (x.f::HUGEINT * y.f))::BIGINT AS score
+        FROM e JOIN f AS x ON x.lang = e.lang AND x.phrase = e.head JOIN f AS y ON y.lang = e.lang AND y.phrase = e.rest),
+    s AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    d AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE len(w) = 3) GROUP BY ALL)
+    SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, s.l, s.r, n.n, s.score
+    FROM s JOIN n USING (lang) LEFT JOIN d USING (lang, phrase) WHERE d.a IS NULL OR 100 * d.a < 50 * s.a
+    QUALIFY rank <= 2000"""
+
 ORACLE_SQL = {
+    "op13_phrases": _PHRASE_SQL,
     "op12_merkle": _merkle_sql(),
     "op4_secret_scan": _secret_sql(),
     "op9_exact_dedup": """
