@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
+from .html_text import extract_pages
 from .line_dedup import deduped_lines
 from .media import media_report
 from .merkle import merkle_manifest, without_breaks
@@ -71,6 +72,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_report(documents(spark, sf_dir))
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return merkle_manifest(docs, without_breaks(docs))
@@ -81,7 +86,7 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_mixing, op4_secret_scan, op5_toxicity, op6_bpe, op7_sharding, op8_line_dedup, op9_exact_dedup, op10_media, op12_merkle, op13_phrases)}
+    return {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_mixing, op4_secret_scan, op5_toxicity, op6_bpe, op7_sharding, op8_line_dedup, op9_exact_dedup, op10_media, op11_html, op12_merkle, op13_phrases)}
 
 
 def _secret_sql() -> str:
@@ -146,7 +151,16 @@ _PHRASE_SQL = """
     FROM s JOIN n USING (lang) LEFT JOIN d USING (lang, phrase) WHERE d.a IS NULL OR 100 * d.a < 50 * s.a
     QUALIFY rank <= 2000"""
 
+#: op11 for pages like the table's: one article of h1 and p elements with inline b and br, the page perhaps cut anywhere.
+_HTML_SQL = r"""
+    WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '<[^>]*$', '') AS t FROM pages),
+    b AS (SELECT page_id, url, [regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g') FOR x IN regexp_split_to_array(t, '</?(?:p|h1)>')] AS x FROM a),
+    c AS (SELECT page_id, url, [trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(y, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&nbsp;', ' '), '&amp(;|$)', '&', 'g'), '\s+', ' ', 'g')) FOR y IN x] AS x FROM b),
+    d AS (SELECT page_id, url, array_to_string([y FOR y IN x IF y <> ''], chr(10)) AS text FROM c)
+    SELECT page_id, url, text, length(text) AS n_chars FROM d"""
+
 ORACLE_SQL = {
+    "op11_html": _HTML_SQL,
     "op13_phrases": _PHRASE_SQL,
     "op12_merkle": _merkle_sql(),
     "op4_secret_scan": _secret_sql(),
