@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.positions import numbered
-from .shared import WORD_SQL, keep
+from .shared import WORD_SQL, keep, twin_numbers
 
 
 def _source_key(source: Column) -> Column:
@@ -77,7 +77,8 @@ def entropy_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source
 
     size_col: words of a row, not null. Null sources are one source, after all others. Rows without words take
     rate 1 and no words. Repeated rows are rounded like others. The source table is broadcast if it has at
-    most small_sources rows, else joined by shuffling. No rows: an empty result.
+    most small_sources rows, else joined by shuffling. Rows with one id and size that would fill a bucket are numbered
+    and dealt by their numbers. No rows: an empty result.
     """
     if cap != 2.0:
         raise ValueError("the base law has two copies")
@@ -90,11 +91,12 @@ def entropy_mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source
     plan = keep(goals.join(solved, "key", "left").select("key", "source_size", "target", "scale", "rows", F.coalesce("tilt", F.lit(0.0)).alias("tilt")), "plan")
     plan = plan.select(F.col("key").alias("_key"), F.struct("source_size", "target", "scale", "rows", "tilt").alias("_plan"))
     whole = df.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(size_col).cast("long").alias("_size"), _source_key(F.col(source_col)).alias("_key"))
-    rows = whole.join(F.broadcast(plan) if small else plan, "_key")
+    rows = twin_numbers(whole, ["_id", "_size", "_key"], max(2, bucket_rows // 4))
+    rows = rows.join(F.broadcast(plan) if small else plan, "_key")
     size = F.col("_size")
     rate = F.round(2 / (1 + F.exp(-F.col("_plan.tilt") * size / F.col("_plan.scale"))), 9)
     rows = rows.withColumn("_rate", F.least(rate, F.lit(2.0)))
-    drawn = F.xxhash64(F.lit(3), F.col("_id"), size)
+    drawn = F.xxhash64(F.lit(3), F.col("_id"), size, F.col("_twin"))
     rows = rows.withColumn("_bucket", F.pmod(drawn, F.ceil(F.col("_plan.rows") / bucket_rows)))
     line = Window.partitionBy("_key", "_bucket").orderBy(size.desc(), drawn, F.col("_id")).rowsBetween(Window.unboundedPreceding, 0)
     reach = F.round(F.sum("_rate").over(line), 6)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import keep, twin_numbers
 
 #: Populations from which on numpy does not draw.
 _NUMPY_DRAWS = 1_000_000_000
@@ -69,13 +69,14 @@ def shuffle_into_shards(df: DataFrame, keys: list[str], shards: int = 16, seed:
 
     Row counts of shards differ by one at most. `keys` name the columns that tell rows apart and decide a row's
     random keys: null keys are values like others, and rows alike in all keys are interchangeable, so a rerun
-    gives the same result. Columns of df stay; it must not have shard or slot. most_cells: the matrix's size at
+    gives the same result; where they would fill a part or a range, they are numbered, and the number is a key.
+    Columns of df stay; it must not have shard or slot. most_cells: the matrix's size at
     most, parts by shards, and that of the table of ranges. No rows: an empty result.
     """
-    cols, by = df.columns, [F.col(k) for k in keys]
-    total = df.count()
+    cols, by, total = df.columns, [F.col(k) for k in [*keys, "_twin"]], df.count()
     parts = max(1, min(most_cells // shards, -(-total // rows_per_part)))
     runs = max(1, min(most_cells // shards, -(-total // (shards * rows_per_part))))
+    df = twin_numbers(df, keys, max(2, rows_per_part // 8))
     dealt = df.withColumn("_part", F.pmod(_keyed(seed, *by), F.lit(parts)).cast("int"))
     sent = np.zeros(parts, np.int64)
     for r in dealt.groupBy("_part").count().toLocalIterator():  # most_cells / shards rows at most
@@ -95,7 +96,7 @@ def shuffle_into_shards(df: DataFrame, keys: list[str], shards: int = 16, seed:
     local = Window.partitionBy("_part").orderBy(_keyed(seed + 1, *by), *by)
     dealt = dealt.withColumn("_rank", F.row_number().over(local) - 1).withColumn("shard", shard("_part", "_rank"))
     place = F.shiftrightunsigned(_keyed(seed + 2, *by), 32)  # 32 random bits; ranges of them are runs
-    dealt = keep(dealt.withColumn("_run", F.shiftright(place * runs, 32).cast("int")).select(*cols, "shard", "_run"), "dealt")
+    dealt = keep(dealt.withColumn("_run", F.shiftright(place * runs, 32).cast("int")).select(*cols, "_twin", "shard", "_run"), "dealt")
     before = Window.partitionBy("shard").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)  # `runs` rows at most
     starts = dealt.groupBy("shard", "_run").agg(F.count("*").alias("n")).select("shard", "_run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     own = Window.partitionBy("shard", "_run").orderBy(_keyed(seed + 2, *by), *by)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute available
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of bytes other than ASCII white space.
@@ -60,6 +60,29 @@ def heavy_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return light.unionByName(hot)
 
 
+def twin_numbers(rows: DataFrame, keys: list[str], least: int, into: str = "_twin", most: int = 1024) -> DataFrame:
+    """rows with a number (long) that tells rows alike in all keys apart: 0, 1, ... where `least` or more are alike, else 0.
+
+    Only the `most` commonest combinations are numbered, so any other has rows / most rows at most. Their counts are
+    summed on the map side; each partition numbers its own, and begins where those before it ended. Which of the alike
+    rows gets which number is open, so a hash of the keys and the number gives the same rows in each run. rows should
+    be a written table.
+    """
+    key = F.xxhash64(*keys)
+    heavy = rows.groupBy(key.alias("_alike")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).orderBy(F.desc("_n"), "_alike").limit(most).select("_alike")
+    heavy = keep(heavy, "twins")
+    if heavy.isEmpty():
+        return rows.withColumn(into, F.lit(0).cast("long"))
+    marked = rows.withColumn("_alike", key)
+    hot = marked.join(F.broadcast(heavy), "_alike", "left_semi").withColumn("_from", F.spark_partition_id())
+    hot = keep(hot.withColumn("_at", F.row_number().over(Window.partitionBy("_alike", "_from").orderBy("_alike")) - 1), "twins-here")
+    before = Window.partitionBy("_alike").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = hot.groupBy("_alike", "_from").agg(F.count("*").alias("_n")).select("_alike", "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    hot = hot.join(starts, ["_alike", "_from"]).withColumn(into, (F.col("_start") + F.col("_at")).cast("long"))
+    light = marked.join(F.broadcast(heavy), "_alike", "left_anti").withColumn(into, F.lit(0).cast("long"))
+    return light.unionByName(hot.select(*light.columns)).drop("_alike")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
