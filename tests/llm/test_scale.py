@@ -163,3 +163,89 @@ def test_fit_learns_a_pair_of_neutral_terms(spark):
     machine = toxicity.fit_toxicity(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
     done = toxicity.score_toxicity(table.select("doc_id", "text"), machine, 0.5).join(table.select("doc_id", "toxic", "a", "b"), "doc_id").filter("held_out AND (a OR b)")
     assert done.filter(F.col("predicted") == F.col("toxic")).count() >= 0.9 * done.count()
+
+
+def test_rows_alike_are_dealt(spark, tmp_path):
+    """60,000 rows without an id and with one text: numbered apart, whatever partition they lie in, so they fill many buckets and parts."""
+    from memlake.llm import mixing, sharding
+    from memlake.llm.shared import twin_numbers
+
+    rows = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("s").alias("source")).unionByName(spark.range(500).select(F.col("id").alias("doc_id"), F.lit("four words are here").alias("text"), F.lit("t").alias("source")))
+    rows.repartition(7).write.parquet(f"{tmp_path}/a")
+    rows.repartition(3).write.parquet(f"{tmp_path}/b")
+    got = {}
+    for name in "ab":
+        table = spark.read.parquet(f"{tmp_path}/{name}")
+        numbers = twin_numbers(table, ["doc_id", "text"], 1000).filter("doc_id IS NULL").select("_twin").collect()
+        assert sorted(r[0] for r in numbers) == list(range(60_000))
+        mixed = mixing.mix_documents(table).collect()
+        assert abs(sum(r.taken for r in mixed if r["size"] == 3) - mixed[0].target) < 30 or {r["size"] for r in mixed} == {3, 4}
+        got[name, "mix"] = sorted((r.doc_id is None, r.doc_id or 0, r.taken) for r in mixed)
+        done = sharding.shard_documents(table).collect()
+        got[name, "shards"] = sorted((r.doc_id is None, r.doc_id or 0, r.shard, r.slot) for r in done)
+        sizes = [sum(r.shard == s for r in done) for s in range(16)]
+        assert max(sizes) - min(sizes) <= 1
+    assert got["a", "mix"] == got["b", "mix"] and got["a", "shards"] == got["b", "shards"]
+    dealt = twin_numbers(spark.read.parquet(f"{tmp_path}/a"), ["doc_id", "text"], 1000).groupBy(F.pmod(F.xxhash64("doc_id", "text", "_twin"), F.lit(12)).alias("p")).count().collect()
+    assert max(r["count"] for r in dealt) < 2 * 60_500 / 12
+
+
+def test_toxicity_takes_one_text_of_an_id(spark):
+    """20,000 documents of one labelled id reach the driver as one row, of bounded width."""
+    from memlake.llm import toxicity
+
+    docs = spark.range(20_000).select(F.lit(0).cast("long").alias("doc_id"), F.concat(F.lit("common words and "), F.col("id").cast("string"), F.lit(" x")).alias("text"))
+    long = spark.range(1).select(F.lit(4).cast("long").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda i: F.translate(i.cast("string"), "0123456789", "abcdefghij"))).alias("text"))
+    labels = spark.createDataFrame([(0, 1), (4, 0)], "doc_id long, toxic int").filter(~toxicity.held_out(F.col("doc_id")))
+    seen = {}
+    fit = toxicity.fit_machine
+
+    def spy(on, y, feature, **how):
+        seen.update(rows=len(y), width=max(map(len, on.to_pylist())))
+        return fit(on, y, feature, **how)
+
+    toxicity.fit_machine = spy
+    try:
+        toxicity.fit_toxicity(docs.unionByName(long), labels, most_terms=500)
+    finally:
+        toxicity.fit_machine = fit
+    assert seen["rows"] == labels.count() and seen["width"] <= 500
+
+
+def test_machine_equals_a_dense_one():
+    """Weights, factors and scores of a sparse fit equal those of the same steps on dense matrices."""
+    import math
+
+    from memlake.llm import toxicity
+
+    rng = np.random.default_rng(4)
+    x = (rng.random((200, 30)) < 0.2).astype(float)
+    x[7] = 0
+    y = (rng.random(200) < 0.3).astype(float)
+    on = [np.flatnonzero(r).tolist() for r in x]
+    m = toxicity.fit_machine(on, y, range(30), rank=3, epochs=4)
+    rng, n, rank, step, decay = np.random.default_rng(5), 30, 3, 0.1, 1e-4
+    rate = min(0.98, max(0.02, y.mean()))
+    share, pos = x.mean(0), y.sum()
+    z2 = (x[y > 0].sum(0) / pos - x[y == 0].sum(0) / (200 - pos)) ** 2 / (share * (1 - share) * (1 / pos + 1 / (200 - pos)) + 1e-12)
+    damp, turn = ((z2 + 1) / (z2 + toxicity.DAMPING)) ** 2, step * min(1.0, 16 / max(1.0, x.sum(1).mean()))
+    order = rng.permutation(200)
+    blocks = [order[i : i + 64] for i in range(0, 200, 64)]
+    bias, w, v = math.log(rate / (1 - rate)), np.zeros(n), rng.normal(0, 0.01, (n, rank))
+    gw, gv, gb = np.full(n, 1e-6), np.full((n, rank), 1e-2), 1e-6
+    value = lambda a: bias + a @ w + 0.5 * (((a @ v) ** 2).sum(1) - a @ (v * v).sum(1))
+    for _ in range(4):
+        for k in rng.permutation(len(blocks)):
+            a, real = x[blocks[k]], y[blocks[k]]
+            err = (1 / (1 + np.exp(-np.clip(value(a), -30, 30))) - real) / len(real)
+            here = a.sum(0) > 0
+            dw = a.T @ err + decay * w
+            dv = a.T @ (err[:, None] * (a @ v)) - (a.T @ err)[:, None] * v + decay * v
+            gb += err.sum() ** 2
+            bias -= step * err.sum() / math.sqrt(gb)
+            gw[here] += dw[here] ** 2
+            gv[here] += dv[here] ** 2
+            w[here] -= (damp * step * dw / np.sqrt(gw))[here]
+            v[here] -= (turn * dv / np.sqrt(gv))[here]
+    assert abs(m.bias - bias) < 1e-5 and np.abs(m.weight - w).max() < 1e-4 and np.abs(m.factor - v).max() < 1e-4
+    assert np.abs(np.array([m.score(r) for r in on]) - 1 / (1 + np.exp(-value(x)))).max() < 1e-4
