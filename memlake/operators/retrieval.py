@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute available
@@ -14,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.scalars import jaccard, query_terms, rrf
 from ..params import DEFAULTS, Params
 from ..sources.storage import written
+from .vectors import tiled_top_k
 
 
 def tokens(text: Column) -> Column:
@@ -57,46 +56,15 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     return top_k(sums, ["query_id"], [F.round("score", 9).desc(), F.col("id")], k)
 
 
-def _matrix(lists: pa.Array, wide: int) -> np.ndarray:
-    """Vectors of a batch as rows, without copying them one by one."""
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, wide)
-
-
-def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int | None, least: float = -1.0, id_col: str = "id", vector: str = "embedding", query_id: str = "query_id", query_block: int = 4096) -> DataFrame:
+def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int | None, least: float = -1.0, id_col: str = "id", vector: str = "embedding", query_id: str = "query_id") -> DataFrame:
     """(query_id, id, similarity, rank) of the k nearest unit vectors to each query, at least `least`.
 
-    Queries come in blocks of a bounded size; each Arrow batch of the corpus is multiplied with a block and
-    keeps its own k best per query, so a query's candidates are k per batch. Vectors of another length are skipped.
-    With k None all similarities come, without rank.
+    Exact, in tiles of rows and blocks of queries: a task gives a block's k best of a tile. Vectors of another length
+    than the queries' are skipped. With k None all rows of `least` or more come, without rank.
     """
-    packed = queries.filter(F.col(vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
-    packed = packed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-packed.count() // query_block)))))
-    blocks = packed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("query_id", "v"))).alias("q"))
-    out = f"query_id {queries.schema[query_id].dataType.simpleString()}, id {corpus.schema[id_col].dataType.simpleString()}, similarity double"
-    found = None
-    for row in blocks.toLocalIterator():  # one bounded block at a time
-        ids, q = [x["query_id"] for x in row["q"]], np.array([x["v"] for x in row["q"]], np.float64)
-        held = corpus.sparkSession.sparkContext.broadcast((ids, q))
-
-        def near(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, q = held.value
-            for batch in batches:
-                size = pa.compute.fill_null(pa.compute.list_value_length(batch.column("v")), -1)
-                batch = batch.filter(pa.compute.equal(size, q.shape[1]))
-                if not batch.num_rows:
-                    continue
-                sim = q @ _matrix(batch.column("v"), q.shape[1]).T
-                best = np.argsort(-sim, axis=1, kind="stable")[:, : min(k or sim.shape[1], sim.shape[1])]
-                i, j = np.repeat(np.arange(len(ids)), best.shape[1]), best.ravel()
-                good = sim[i, j] >= least
-                i, j = i[good], j[good]
-                yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(i)), batch.column("id").take(pa.array(j)), pa.array(sim[i, j])], ["query_id", "id", "similarity"])
-
-        part = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).mapInArrow(near, out)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = corpus.sparkSession.createDataFrame([], out)
-    return found if k is None else top_k(found, ["query_id"], [F.round("similarity", 9).desc(), F.col("id")], k)
+    rows = corpus.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
+    return tiled_top_k(rows, asked, k, least)
 
 
 def similarity_join(corpus: DataFrame, least: float, id_col: str = "id", vector: str = "embedding", by: tuple[str, ...] = (), tile: int = 4096) -> DataFrame:

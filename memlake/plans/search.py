@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import correcting, direction_mismatch, question_form
 from ..functions.scalars import arm, composite, compounds, import_target, scope_weight
 from ..functions.wordlists import DIRECTIONS, NEGATIONS, QUERY_STOPWORDS, TERM_STOPWORDS
-from ..operators import curation, gates, retrieval
+from ..operators import curation, gates, retrieval, vectors
 from ..operators.outcomes import document_frequency, engagement
 from ..params import Params
 from .inputs import RECORDS, records, table
@@ -91,11 +91,36 @@ def nearest_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {SIMS}, w AS (SELECT query_id // 300 AS grp, (query_id // 100) % 3 AS variant, id, sim FROM s),
     z AS (SELECT *, round((sim - avg(sim) OVER p) / greatest(stddev_pop(sim) OVER p, 1e-6), 9) AS z FROM w WINDOW p AS (PARTITION BY grp, variant)),
     b AS (SELECT grp, id, sim, row_number() OVER (PARTITION BY grp, id ORDER BY z DESC, variant) AS r FROM z)
-    SELECT grp AS query_id, id, round(sim, 6) AS similarity FROM b WHERE r = 1""")
+    SELECT grp AS query_id, id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY grp ORDER BY round(sim, 9) DESC, id) - 1 AS rank FROM b WHERE r = 1 QUALIFY rank < 10""")
 def multivariant_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Each three queries are variants of one; the variant with the best z-score decides."""
-    s = _sims(spark, d).select(F.expr("query_id div 300").alias("query_id"), F.expr("query_id div 100 % 3").alias("variant"), "id", F.col("sim").alias("similarity"))
-    return retrieval.variant_similarity(s).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+    """Each three queries are variants of one; the variant with the best z-score decides, the ten best rows come."""
+    v, q = _asked(spark, d)
+    q = q.select(F.expr("query_id div 300").alias("query_id"), F.expr("query_id div 100 % 3").alias("variant"), F.col("embedding").alias("v"))
+    return vectors.variant_top_k(v, q, 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def _two_thirds_then_the_rest(spark: SparkSession, d: str) -> tuple[vectors.VectorIndex, DataFrame]:
+    """An index of a third of the vectors to which the others are appended, and the queries."""
+    v, q = _asked(spark, d)
+    index = vectors.build_index(v.filter("id % 3 = 0"), 16)
+    index.append(v.filter("id % 3 <> 0"))
+    return index, q
+
+
+@query(f"WITH {SIMS} SELECT query_id, id, round(sim, 6) AS similarity, r - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) AS r FROM s) WHERE r <= 10")
+def ivf_all_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted-file index, two thirds of whose rows were appended; all cells probed, so exact."""
+    index, q = _two_thirds_then_the_rest(spark, d)
+    return index.top_k(q, 10, 16).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
+    """As many cells probed as a recall of 0.95 took on a sample; the recall of ten rows over all queries is 0.9 or more."""
+    index, q = _two_thirds_then_the_rest(spark, d)
+    v, _ = _asked(spark, d)
+    found = index.top_k(q, 10, index.probes_for(q, 10, 0.95))
+    return vectors.recall(found, retrieval.vector_top_k(v, q, 10)).select("queries", (F.col("recall") >= 0.9).alias("enough"))
 
 
 @query(f"WITH {SIMS} SELECT query_id, label, round(max(sim), 6) AS best FROM s WHERE id <> query_id GROUP BY ALL")

@@ -32,10 +32,11 @@ DOCS = "docs AS (SELECT doc_id AS id, lang, source, text, n_chars FROM documents
 NEAR = """sims AS (SELECT a.vec_id AS query_id, b.vec_id AS id, (1 + list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) / 2 AS similarity, b.label FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)"""
 
 
-def _near(spark: SparkSession, d: str) -> DataFrame:
+def _near(spark: SparkSession, d: str, least: float = 0.0) -> DataFrame:
+    """Rows with a similarity of about `least` or more; others don't leave the search."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     q = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
-    return retrieval.vector_top_k(v, q, None).filter("id <> query_id").join(v.select("id", "label"), "id").select("query_id", "id", ((1 + F.col("similarity")) / 2).alias("similarity"), "label")
+    return retrieval.vector_top_k(v, q, None, 2 * least - 1 - 1e-6).filter("id <> query_id").join(v.select("id", "label"), "id").select("query_id", "id", ((1 + F.col("similarity")) / 2).alias("similarity"), "label")
 
 
 @query("""WITH r AS (SELECT doc_id AS id, source AS project, doc_id % 50 AS session, doc_id AS updated_at, unnest(list_distinct(['src/' || (doc_id % 20) || '/' || (doc_id % 7) || '.py', 'pkg/' || (doc_id % 30) || '/main.py'])) AS path FROM documents),
@@ -315,13 +316,13 @@ def calibration_retrieval(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {NEAR}, b AS (SELECT query_id, arg_max(id, (round(similarity, 9), -id)) AS id, max(round(similarity, 9)) AS s FROM sims WHERE label = 3 GROUP BY 1) SELECT query_id, id, round(s, 6) AS similarity, s >= 0.62 AS fires FROM b WHERE s > 0.55")
 def trigger_match(spark: SparkSession, d: str) -> DataFrame:
     """The trigger that is nearest to a query, if it is near enough."""
-    return gates.best_trigger(_near(spark, d).filter("label = 3"), 0.62, 0.55).withColumn("similarity", F.round("similarity", 6))
+    return gates.best_trigger(_near(spark, d, 0.55).filter("label = 3"), 0.62, 0.55).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"WITH {NEAR} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) - 1 AS rank FROM sims WHERE label = 2 AND id % 7 <> 0 AND similarity >= 0.52 QUALIFY rank < 5")
 def correction_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """The corrections nearest to a first prompt, suppressed ones left out."""
-    found = _near(spark, d).filter("label = 2 AND id % 7 <> 0 AND similarity >= 0.52")
+    found = _near(spark, d, 0.52).filter("label = 2 AND id % 7 <> 0 AND similarity >= 0.52")
     return retrieval.top_k(found, ["query_id"], [F.round("similarity", 9).desc(), F.col("id")], 5).select("query_id", "id", "rank")
 
 
@@ -337,7 +338,7 @@ def topic_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {NEAR}, e AS (SELECT query_id, id, similarity FROM sims WHERE id < query_id AND id // 500 = query_id // 500) SELECT query_id, arg_max(id, (round(similarity, 9), -id)) AS id FROM e WHERE similarity >= 0.6 GROUP BY 1")
 def cache_hits(spark: SparkSession, d: str) -> DataFrame:
     """The earlier need of the same session that is near enough to answer a new one."""
-    earlier = _near(spark, d).filter("id < query_id AND id div 500 = query_id div 500 AND similarity >= 0.6")
+    earlier = _near(spark, d, 0.6).filter("id < query_id AND id div 500 = query_id div 500 AND similarity >= 0.6")
     return retrieval.top_k(earlier, ["query_id"], [F.round("similarity", 9).desc(), F.col("id")], 1).select("query_id", "id")
 
 
@@ -354,7 +355,7 @@ def cross_project(spark: SparkSession, d: str) -> DataFrame:
 def thin_results(spark: SparkSession, d: str) -> DataFrame:
     """Queries that found too little."""
     q = table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
-    return retrieval.thin(_near(spark, d).filter("similarity >= 0.63"), q)
+    return retrieval.thin(_near(spark, d, 0.63).filter("similarity >= 0.63"), q)
 
 
 @query("SELECT item_id, CASE WHEN len(list_filter(string_split_regex(q, '\\s+'), lambda w: w <> '')) < 10 THEN 'before ' || q ELSE q END AS query FROM (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'what of ' || item_id ELSE text END AS q FROM benchmark)")
