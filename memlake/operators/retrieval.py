@@ -26,33 +26,39 @@ def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int, rank: str
     return rows.withColumn(rank, (F.row_number().over(w) - 1).cast("long")).filter(F.col(rank) < k)
 
 
-def inverted_index(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, id, tf) and lengths (id, length)."""
-    cut = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-    postings = cut.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    return postings, cut.select("id", F.size("words").cast("long").alias("length"))
+def bm25_idf(n: Column, df: Column) -> Column:
+    """Inverse document frequency, floored at 1e-6."""
+    return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
 
 
-def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", text_col: str = "text", query_id: str = "query_id", query_col: str = "query", k1: float = 1.2, b: float = 0.75, meaningful: bool = False) -> DataFrame:
+def bm25_weight(idf: Column, tf: Column, length: Column, mean: Column, k1: float, b: float) -> Column:
+    """What a term adds to a document's score: rises with tf and falls with the length."""
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+
+
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", text_col: str = "text", query_id: str = "query_id", query_col: str = "query", k1: float = 1.2, b: float = 0.75, meaningful: bool = False, most_terms: int = 100_000) -> DataFrame:
     """(query_id, id, score, rank) of documents with any of the query's distinct terms.
 
-    Texts are cut into words once: of each document the asked terms are counted, and its other words in one row.
-    That table gives lengths, document frequencies and scores. meaningful: a query's terms are those of query_terms.
-    The inverse document frequency is floored at 1e-6; ties go to the lower id.
+    One scan: texts are cut into words, asked words stay (the asked terms are broadcast if they are most_terms at
+    most, else joined by shuffling), and only these are counted, with one row more a document for its length. A
+    document's words stay in one partition, so scores are summed before they are shuffled. meaningful: a query's
+    terms are those of query_terms. The inverse document frequency is floored at 1e-6; ties go to the lower id.
     """
     said = query_terms(F.col(query_col)) if meaningful else F.array_distinct(tokens(F.col(query_col)))
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(said).alias("term"))
-    terms = asked.select("term", F.lit(True).alias("asked")).distinct()
-    words = docs.select(F.col(id_col).alias("id"), F.explode_outer(tokens(F.col(text_col))).alias("term")).join(terms, "term", "left")
-    held = written(words.groupBy("id", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("term").alias("tf")), "postings")
-    lengths = held.groupBy("id").agg(F.sum("tf").alias("length"))
-    sizes = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    postings = held.filter("term IS NOT NULL")
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes))  # one row on the right
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = postings.join(lengths, "id").join(df.withColumn("idf", idf), "term").select("term", "id", weight.alias("weight"))
-    sums = asked.join(scored, "term").groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
+    asked = written(queries.select(F.col(query_id).alias("query_id"), F.explode(said).alias("term")), "asked-terms")
+    terms = asked.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))  # a document's own row
+    few = terms.count() <= most_terms
+    cut = docs.select(F.col(id_col).alias("id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("words"))
+    hits = cut.select("id", F.size("words").cast("long").alias("length"), F.explode(F.concat("words", F.array(F.lit("")))).alias("term"))
+    hits = hits.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    postings = written(hits.repartition("id").groupBy("id", "length", "term").agg(F.count("*").alias("tf")), "postings")
+    sizes = postings.filter("term = ''").agg(F.sum("tf").alias("n"), F.sum(F.col("length") * F.col("tf")).alias("total")).first()
+    n, total, postings = sizes.n or 0, sizes.total or 0, postings.filter("term <> ''")
+    df = postings.groupBy("term").agg(F.count("*").alias("df")).select("term", bm25_idf(F.lit(n), F.col("df")).alias("idf"))
+    weight = bm25_weight(F.col("idf"), F.col("tf"), F.col("length"), F.lit(max(total, 1) / max(n, 1)), k1, b)
+    scored = postings.join(F.broadcast(df) if few else df, "term").select("term", "id", weight.alias("weight"))
+    small = few and asked.count() <= 10 * most_terms
+    sums = scored.join(F.broadcast(asked) if small else asked, "term").groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
     return top_k(sums, ["query_id"], [F.round("score", 9).desc(), F.col("id")], k)
 
 

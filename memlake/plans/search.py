@@ -10,6 +10,7 @@ from ..functions.scalars import arm, composite, compounds, import_target, scope_
 from ..functions.wordlists import DIRECTIONS, NEGATIONS, QUERY_STOPWORDS, TERM_STOPWORDS
 from ..operators import curation, gates, retrieval, vectors
 from ..operators.outcomes import document_frequency, engagement
+from ..operators.text_index import text_index
 from ..params import Params
 from .inputs import RECORDS, records, table
 
@@ -64,6 +65,18 @@ def fts_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25_top_k(docs, _benchmark_queries(spark, d), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {BM25} SELECT query_id, id, round(score, 6) AS score, r - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM bm) WHERE r <= 10")
+def fts_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same from an index on disk: half of the documents with other texts first, then two updates, a merge and one more."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = text_index(spark)
+    index.update(docs.filter("id % 2 = 0").withColumn("text", F.concat_ws(" ", F.lit("earlier words"), F.reverse(F.split("text", " ")).getItem(0))).unionByName(spark.range(5).select((-1 - F.col("id")).alias("id"), F.lit("the and of a").alias("text"))))
+    index.update(docs.filter("id % 3 <> 0"))
+    index.merge()
+    index.update(docs, complete=True)
+    return index.top_k(_benchmark_queries(spark, d), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {SIMS} SELECT query_id, id, round(sim, 6) AS similarity, r - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) AS r FROM s) WHERE r <= 10")
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """R2, R4, J15, K1."""
