@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import direction_mismatch, has_content
 from ..params import DEFAULTS, Params
+from ..sources.storage import written
 
 # Names, patterns and ranks that results depend on.
 GENERIC_NAMES = ("__init__.py", "index.js", "index.ts", "main.py", "README.md", "package.json", "setup.py", "utils.py")
@@ -113,29 +114,105 @@ def throttled(entries: DataFrame, message: str = "message_id", most: int = 5) ->
     return entries.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
 
 
+def upsert_decision(content: Column, same_id: Column, same_content: Column, same_sim: Column, near_id: Column, near_content: Column, near_sim: Column, p: Params = DEFAULTS) -> Column:
+    """Struct (action, target, annotates) of an entry, from the first live row of its type and topic and from the nearest row.
+
+    With a row of the same type and topic: `variant` (a row of its own) where both have texts that differ and are less
+    similar than `variant`, a missing similarity being 0; else the text takes that row's place (`overwrite`), or stays
+    (`same`). Otherwise the nearest row: its text is replaced (`duplicate`) or the same; or the entry is inserted.
+    annotates: the target is marked as superseded; so is a near row that the entry turns against.
+    """
+    none = F.lit(None).cast("boolean")
+    told = lambda action, target, annotates: F.struct(F.lit(action).alias("action"), target.alias("target"), F.coalesce(annotates, F.lit(False)).alias("annotates"))
+    full = F.coalesce(same_content, F.lit("")) != ""
+    other = ~content.eqNullSafe(same_content)
+    sim = F.coalesce(near_sim, F.lit(-1.0))
+    against = (sim >= p.negation_floor) & F.coalesce(direction_mismatch(content, near_content), F.lit(False))
+    return (
+        F.when(~has_content(content), told("dropped", F.lit(None).cast("long"), none))
+        .when(same_id.isNotNull() & full & other & (F.coalesce(same_sim, F.lit(0.0)) < p.variant), told("variant", same_id, direction_mismatch(content, same_content)))
+        .when(same_id.isNotNull(), F.when(other, told("overwrite", same_id, full)).otherwise(told("same", same_id, none)))
+        .when(sim >= p.dedup, F.when(content.eqNullSafe(near_content), told("same", near_id, none)).otherwise(told("duplicate", near_id, none)))
+        .otherwise(F.when(against, told("insert", near_id, F.lit(True))).otherwise(told("insert", F.lit(None).cast("long"), none)))
+    )
+
+
 def insert_entries(stored: DataFrame, entries: DataFrame, near: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """What becomes of new entries (nth, message_id, type, topic, content): (nth, action, target).
+    """What becomes of new entries (nth, message_id, type, topic, content), each by itself: (nth, action, target, annotates).
 
     stored: (id, type, topic, content); near: (nth, id, similarity) of each entry to stored ones, its nearest and
-    those of its type and topic. After the throttle, entries without content are dropped. With a stored row of the
-    same type and topic, the newest of those: a variant if unlike it, else it is overwritten. Otherwise the nearest
-    row decides: a duplicate, annotated where the two turn against each other, or none and the entry is inserted.
+    those of its type and topic. Entries that the throttle drops have no row. For entries that see each other, see
+    upsert_batch.
     """
     kept = throttled(entries)
-    same = stored.groupBy("type", "topic").agg(F.max("id").alias("same_id"))
-    rows = kept.join(same, ["type", "topic"], "left")
+    same = stored.groupBy("type", "topic").agg(F.min_by(F.struct("id", "content"), "id").alias("_same"))
+    rows = kept.join(same, ["type", "topic"], "left").withColumn("same_id", F.col("_same.id"))
     pair = rows.join(near.withColumnsRenamed({"id": "same_id", "similarity": "same_sim"}), ["nth", "same_id"], "left")
     first = near.groupBy("nth").agg(F.max(F.struct("similarity", (-F.col("id")).alias("n"))).alias("x")).select("nth", F.col("x.similarity").alias("near_sim"), (-F.col("x.n")).alias("near_id"))
     texts = stored.select(F.col("id").alias("near_id"), F.col("content").alias("_old"))
     rows = pair.join(first, "nth", "left").join(texts, "near_id", "left")
-    turned = F.coalesce(direction_mismatch(F.col("content"), F.col("_old")), F.lit(False))
-    near_sim = F.coalesce("near_sim", F.lit(-1.0))
-    action = (
-        F.when(~has_content(F.col("content")), "dropped").when(F.col("same_id").isNotNull() & (F.coalesce("same_sim", F.lit(1.0)) < p.variant), "variant").when(F.col("same_id").isNotNull(), "overwrite")
-        .when(near_sim >= p.dedup, "duplicate").when((near_sim >= p.negation_floor) & turned, "annotate").otherwise("insert")
-    )
-    target = F.when(action.isin("variant", "overwrite"), F.col("same_id")).when(action.isin("duplicate", "annotate"), F.col("near_id"))
-    return rows.select("nth", action.alias("action"), target.alias("target"))
+    done = upsert_decision(F.col("content"), F.col("same_id"), F.col("_same.content"), F.col("same_sim"), F.col("near_id"), F.col("_old"), F.col("near_sim"), p)
+    return rows.select("nth", done.alias("d")).select("nth", "d.*")
+
+
+def upsert_batch(stored: DataFrame, entries: DataFrame, near: DataFrame, among: DataFrame, p: Params = DEFAULTS, most_rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Entries (nth, message_id, type, topic, content) put into stored (id, type, topic, content) as if one after another.
+
+    Gives (nth, action, target, annotates) of the entries that the throttle keeps, and the rows that are new or changed:
+    id, type, topic, content, superseded (by what text, of 200 characters at most). A new row's id is the largest id of
+    stored plus 1 plus nth, so ids rise with the entries. near: (nth, id, similarity) and among: (nth, other, similarity,
+    both ways) have all pairs of `negation_floor` or more; other pairs are less similar than a variant, so they need not be known.
+
+    Entries that share a type and topic, a similar pair or a stored row depend on each other, in their order. A round
+    takes every entry that is the first left in all it shares; it reads stored rows as they are by then. So there are
+    as many rounds as the longest chain of such entries; more than most_rounds are an error.
+    """
+    base = stored.agg(F.max("id")).first()[0] or 0
+    kept = throttled(entries).select("nth", "type", "topic", "content")
+    kept = written(kept.withColumn("_key", F.struct("type", "topic")), "entries")
+    first = written(stored.join(kept.select("type", "topic").distinct(), ["type", "topic"], "left_semi").groupBy("type", "topic").agg(F.min_by(F.struct("id", "content"), "id").alias("_same")), "same-topic")
+    near, among = written(near.select("nth", "id", "similarity"), "near"), written(among.select("nth", "other", "similarity").filter("nth <> other"), "among")
+    texts = written(stored.select("id", "content").join(near.select("id").distinct(), "id", "left_semi"), "near-texts")
+    share = lambda df, kind, *cols: df.select("nth", F.xxhash64(F.lit(kind), *cols).alias("shared"))
+    rows_of = near.select("nth", "id").unionByName(kept.join(first, ["type", "topic"]).select("nth", F.col("_same.id").alias("id")))
+    shared = share(kept, "key", "type", "topic").union(share(rows_of, "row", "id")).union(share(among, "pair", F.least("nth", "other"), F.greatest("nth", "other"))).union(share(kept, "own", "nth"))
+    shared = written(shared.join(kept.select("nth"), "nth", "left_semi").distinct(), "shared")
+    delta = written(stored.sparkSession.createDataFrame([], f"id long, type {stored.schema['type'].dataType.simpleString()}, topic {stored.schema['topic'].dataType.simpleString()}, content string, source long, superseded string"), "delta")
+    told = None
+    for _ in range(most_rounds):
+        if shared.isEmpty():
+            break
+        least = shared.groupBy("shared").agg(F.min("nth").alias("least"))
+        ready = shared.join(least, "shared").groupBy("nth").agg(F.bool_and(F.col("nth") == F.col("least")).alias("ready")).filter("ready").select("nth")
+        now = written(kept.join(ready, "nth", "left_semi"), "ready")
+        # The first row of the type and topic, as it is by now: a stored row may have changed, new rows have larger ids.
+        held = delta.select("type", "topic", F.struct("id", "content", "source").alias("_x")).groupBy("type", "topic").agg(F.min_by("_x", "_x.id").alias("_x"))
+        rows = now.join(first, ["type", "topic"], "left").join(held, ["type", "topic"], "left")
+        old = F.col("_same.id").isNotNull() & (F.col("_x.id").isNull() | (F.col("_same.id") < F.col("_x.id")))
+        rows = rows.withColumn("same_id", F.when(old, F.col("_same.id")).otherwise(F.col("_x.id"))).withColumn("same_content", F.when(old, F.col("_same.content")).otherwise(F.col("_x.content"))).withColumn("source", F.when(~old, F.col("_x.source")))
+        rows = rows.join(near.select("nth", F.col("id").alias("same_id"), F.col("similarity").alias("_by_row")), ["nth", "same_id"], "left").join(among.select("nth", F.col("other").alias("source"), F.col("similarity").alias("_by_entry")), ["nth", "source"], "left")
+        rows = rows.withColumn("same_sim", F.when(F.col("source").isNull(), F.col("_by_row")).otherwise(F.col("_by_entry")))
+        # The nearest row: stored ones that are as they were, and changed or new ones by the entry whose text they have.
+        as_was = near.join(now.select("nth"), "nth", "left_semi").join(delta.filter("source IS NOT NULL").select("id"), "id", "left_anti").join(texts, "id").select("nth", "id", "similarity", "content")
+        changed = among.join(now.select("nth"), "nth", "left_semi").join(delta.select(F.col("source").alias("other"), "id", "content"), "other").select("nth", "id", "similarity", "content")
+        best = as_was.unionByName(changed).groupBy("nth").agg(F.max(F.struct(F.round("similarity", 9).alias("s"), (-F.col("id")).alias("n"), "content")).alias("_b"))
+        rows = rows.join(best, "nth", "left")
+        done = upsert_decision(F.col("content"), F.col("same_id"), F.col("same_content"), F.col("same_sim"), -F.col("_b.n"), F.col("_b.content"), F.col("_b.s"), p)
+        step = written(rows.select("nth", "type", "topic", "content", done.alias("d")).select("nth", "type", "topic", "content", "d.*"), "round")
+        told = step.select("nth", "action", "target", "annotates") if told is None else told.unionByName(step.select("nth", "action", "target", "annotates"))
+        # What it leaves: new rows, new texts of rows, and marks.
+        new = step.filter("action IN ('variant', 'insert')").select((F.lit(base) + 1 + F.col("nth")).alias("id"), "type", "topic", "content", F.col("nth").alias("source"), F.lit(None).cast("string").alias("superseded"))
+        marks = step.filter("annotates").select(F.col("target").alias("id"), F.substring("content", 1, 200).alias("_mark"))
+        over = step.filter("action IN ('overwrite', 'duplicate')").select(F.col("target").alias("id"), F.col("content").alias("_text"), F.col("nth").alias("_nth"))
+        met = over.join(marks, "id", "full").join(delta, "id", "full").join(stored.select("id", F.struct("type", "topic", "content").alias("_old")).join(step.select(F.col("target").alias("id")).distinct(), "id", "left_semi"), "id", "left")
+        kind = lambda c: F.coalesce(F.col(c), F.col(f"_old.{c}")).alias(c)
+        met = met.select("id", kind("type"), kind("topic"), F.coalesce("_text", "content", "_old.content").alias("content"), F.coalesce("_nth", "source").alias("source"), F.coalesce("_mark", "superseded").alias("superseded"))
+        delta = written(met.unionByName(new), "delta")
+        shared = written(shared.join(step.select("nth"), "nth", "left_anti"), "shared")
+    else:
+        raise RuntimeError(f"a chain of entries is longer than {most_rounds}")
+    told = told if told is not None else stored.sparkSession.createDataFrame([], "nth long, action string, target long, annotates boolean")
+    return told, delta.drop("source")
 
 
 def served_most(records: DataFrame, served: DataFrame, offset: int, limit: int) -> DataFrame:

@@ -106,10 +106,11 @@ def write_throttle(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {NEAR}, st AS (SELECT vec_id AS id, label::VARCHAR AS type, vec_id % 40 AS topic FROM embeddings WHERE vec_id % 100 <> 0), en AS (SELECT vec_id AS nth, label::VARCHAR AS type, vec_id // 100 % 40 AS topic FROM embeddings WHERE vec_id % 100 = 0),
-    s AS (SELECT type, topic, max(id) AS same_id FROM st GROUP BY ALL), n AS (SELECT query_id AS nth, id, similarity FROM sims WHERE id % 100 <> 0), b AS (SELECT nth, arg_max(id, (similarity, -id)) AS near_id, max(similarity) AS near_sim FROM n GROUP BY 1),
-    j AS (SELECT en.nth, same_id, n.similarity AS same_sim, near_id, near_sim FROM en LEFT JOIN s USING (type, topic) LEFT JOIN n ON n.nth = en.nth AND n.id = same_id LEFT JOIN b ON b.nth = en.nth)
-    SELECT nth, CASE WHEN nth % 700 = 0 THEN 'dropped' WHEN same_id IS NOT NULL AND same_sim < 0.55 THEN 'variant' WHEN same_id IS NOT NULL THEN 'overwrite' WHEN near_sim >= 0.72 THEN 'duplicate' WHEN near_sim >= 0.6 AND near_id % 2 = 0 THEN 'annotate' ELSE 'insert' END AS action,
-        CASE WHEN nth % 700 = 0 THEN NULL WHEN same_id IS NOT NULL THEN same_id WHEN near_sim >= 0.72 OR (near_sim >= 0.6 AND near_id % 2 = 0) THEN near_id END AS target FROM j""")
+    s AS (SELECT type, topic, min(id) AS same_id FROM st GROUP BY ALL), n AS (SELECT query_id AS nth, id, similarity FROM sims WHERE id % 100 <> 0), b AS (SELECT nth, arg_max(id, (similarity, -id)) AS near_id, max(similarity) AS near_sim FROM n GROUP BY 1),
+    j AS (SELECT en.nth, same_id, coalesce(n.similarity, 0) AS same_sim, near_id, near_sim, same_id % 2 = 0 AS same_no, near_id % 2 = 0 AS near_no FROM en LEFT JOIN s USING (type, topic) LEFT JOIN n ON n.nth = en.nth AND n.id = same_id LEFT JOIN b ON b.nth = en.nth),
+    a AS (SELECT *, CASE WHEN nth % 700 = 0 THEN 'dropped' WHEN same_id IS NOT NULL AND same_sim < 0.55 THEN 'variant' WHEN same_id IS NOT NULL THEN 'overwrite' WHEN near_sim >= 0.72 THEN 'duplicate' ELSE 'insert' END AS action FROM j)
+    SELECT nth, action, CASE action WHEN 'variant' THEN same_id WHEN 'overwrite' THEN same_id WHEN 'duplicate' THEN near_id WHEN 'insert' THEN CASE WHEN near_sim >= 0.6 AND near_no THEN near_id END END AS target,
+        CASE action WHEN 'variant' THEN same_no WHEN 'overwrite' THEN true WHEN 'insert' THEN coalesce(near_sim >= 0.6 AND near_no, false) ELSE false END AS annotates FROM a""")
 def capture_upsert(spark: SparkSession, d: str) -> DataFrame:
     """What becomes of new entries, by what is stored under their topic or near them."""
     v, i = table(spark, d, "embeddings"), F.col("vec_id")

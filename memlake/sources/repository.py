@@ -64,9 +64,13 @@ def dependencies(files: DataFrame) -> DataFrame:
     return package.select("path", "x.*").unionByName(wheels)
 
 
-def line_notes(files: DataFrame, most_lines: int = 2000) -> DataFrame:
-    """S10e: (section, path, line, text) of source files: comments of 15 characters with a telling word, and marks of work to do."""
-    lines = files.filter(F.col("path").rlike(CODE)).select("path", F.posexplode(F.slice(F.split("content", "\n"), 1, most_lines)).alias("n", "raw")).withColumn("text", F.trim("raw"))
+def line_notes(files: DataFrame, most_lines: int | None = None) -> DataFrame:
+    """S10e: (section, path, line, text) of source files: comments of 15 characters with a telling word, and marks of work to do.
+
+    most_lines: lines of a file that are read, for trees whose files are read in part; all by default.
+    """
+    every = F.split("content", "\n")
+    lines = files.filter(F.col("path").rlike(CODE)).select("path", F.posexplode(every if most_lines is None else F.slice(every, 1, most_lines)).alias("n", "raw")).withColumn("text", F.trim("raw"))
     comment = F.col("text").rlike(r"^(#|//|/?\*+)\s*") & ~F.col("text").startswith("#!") & (F.length("text") >= 15) & F.col("text").rlike(SIGNALS)
     kinds = F.filter(F.array(F.when(comment, "comments"), F.when(F.col("text").rlike(MARKS), "todos")), lambda k: k.isNotNull())
     return lines.select(F.explode(kinds).alias("section"), "path", (F.col("n") + 1).alias("line"), "text")

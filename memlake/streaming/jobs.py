@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.merge import last_writer_wins
 from ..sources.storage import work_folder  # noqa: F401
@@ -30,13 +30,16 @@ def run_to_end(stream: DataFrame, write: Callable[[DataFrame, int], None], folde
 class KeyedTable:
     """A table in parts by a hash of its key, each batch rewriting the parts that its keys fall into.
 
-    A batch writes its parts under its number and a list of every part's place. The list with the highest number
-    holds, so a new process goes on where the last one ended; a batch that is tried again starts from the list
-    before it and writes the same again. What no list names any more is removed.
+    A batch writes its parts under its number and then a list of every part's place. The list with the highest number
+    holds, so a new process goes on where the last one ended. A batch that is tried again, even after its list was
+    written, starts from the list before it and writes the same again: what that list names is only removed by the
+    batch after. When the rows pass `part_rows` a part, a batch deals all of them into twice as many parts or more.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: StructType, keys: list[str], parts: int = 16):
-        self.spark, self.folder, self.schema, self.keys, self.parts = spark, folder.rstrip("/"), schema, keys, parts
+    LIST = "part int, batch long, parts int, rows long"
+
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType, keys: list[str], parts: int = 16, part_rows: int = 1_000_000):
+        self.spark, self.folder, self.schema, self.keys, self.parts, self.part_rows = spark, folder.rstrip("/"), schema, keys, parts, part_rows
         path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         self.files = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self.path = spark._jvm.org.apache.hadoop.fs.Path
@@ -46,13 +49,13 @@ class KeyedTable:
         names = [f.getPath().getName() for f in self.files.listStatus(at)] if self.files.exists(at) else []
         return sorted(int(n) for n in names if n.isdigit() and self.files.exists(self.path(f"{self.folder}/lists/{n}/_SUCCESS")))
 
-    def places(self, below: int | None = None) -> dict[int, int]:
-        """The batch that wrote each part, by the last list, or the last one below a number."""
+    def places(self, below: int | None = None) -> list[Row]:
+        """Each part's number, the batch that wrote it, the number of parts and its rows, by the last list, or the last one below a number."""
         known = [n for n in self._lists() if below is None or n < below]
-        return {r.part: r.batch for r in self.spark.read.schema("part int, batch long").json(f"{self.folder}/lists/{known[-1]}").collect()} if known else {}  # `parts` rows at most
+        return self.spark.read.schema(self.LIST).json(f"{self.folder}/lists/{known[-1]}").collect() if known else []  # a row a part
 
-    def _read(self, places: dict[int, int]) -> DataFrame:
-        paths = [f"{self.folder}/rows/{n}/_part={p}" for p, n in places.items()]
+    def _read(self, places: list[Row]) -> DataFrame:
+        paths = [f"{self.folder}/rows/{r.batch}/_part={r.part}" for r in places if r.rows]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
@@ -60,17 +63,26 @@ class KeyedTable:
 
     def put(self, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], number: int) -> None:
         """merge(old, batch) takes the place of the parts that batch's keys fall into; it keeps their keys."""
-        part = F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
-        batch = batch.persist()
-        touched = [r.part for r in batch.select(part.alias("part")).distinct().collect()]  # `parts` rows at most
         before = self.places(number)
-        old = self._read({p: n for p, n in before.items() if p in touched})
+        had, rows = (before[0].parts if before else self.parts), sum(r.rows for r in before)
+        parts = had
+        while rows > parts * self.part_rows:
+            parts *= 2
+        part = F.pmod(F.xxhash64(*self.keys), F.lit(parts)).cast("int")
+        batch = batch.persist()
+        touched = {r.part for r in batch.select(part.alias("part")).distinct().collect()} if parts == had else set(range(parts))  # a number a part
+        old = self._read([r for r in before if r.part in touched or parts != had])
         merge(old, batch).withColumn("_part", part).repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(f"{self.folder}/rows/{number}")
         batch.unpersist()
-        now = sorted({**before, **{p: number for p in touched}}.items())
-        self.spark.createDataFrame(now, "part int, batch long").coalesce(1).write.mode("overwrite").json(f"{self.folder}/lists/{number}")
-        for n in {*before.values()} - {n for _, n in now}:
-            self.files.delete(self.path(f"{self.folder}/rows/{n}"), True)
+        written = self.spark.read.schema(StructType([*self.schema, StructField("_part", IntegerType())])).parquet(f"{self.folder}/rows/{number}") if touched else None
+        counts = {r["_part"]: r["count"] for r in written.groupBy("_part").count().collect()} if touched else {}
+        now = [(p, number, parts, counts.get(p, 0)) for p in touched] + [(r.part, r.batch, parts, r.rows) for r in before if parts == had and r.part not in touched]
+        self.spark.createDataFrame(now, self.LIST).coalesce(1).write.mode("overwrite").json(f"{self.folder}/lists/{number}")
+        kept = {n for _, n, _, _ in now} | {r.batch for r in before}
+        at = self.path(f"{self.folder}/rows")
+        for name in [f.getPath().getName() for f in self.files.listStatus(at)] if self.files.exists(at) else []:
+            if name.isdigit() and int(name) not in kept and int(name) < number:
+                self.files.delete(self.path(f"{self.folder}/rows/{name}"), True)
         for n in self._lists()[:-2]:
             self.files.delete(self.path(f"{self.folder}/lists/{n}"), True)
 
@@ -170,9 +182,3 @@ def drain(queue: DataFrame, order: str, handle: Callable[[DataFrame], DataFrame]
     stuck = marked.filter(F.col(order) == F.col("_first")).withColumn("attempts", F.col("attempts") + 1).drop("_first")
     waiting = marked.filter(F.col(order) > F.col("_first")).drop("_first").unionByName(stuck.filter(F.col("attempts") < most))
     return done, waiting, stuck.filter(F.col("attempts") >= most)
-
-
-def dead_letters(queue: DataFrame, failed: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """(rows to try again, with one attempt more; rows given up) of a queue whose failed rows are known."""
-    tried = queue.join(failed.select("seq"), "seq", "left_semi").withColumn("attempts", F.col("attempts") + 1)
-    return tried.filter(F.col("attempts") < most), tried.filter(F.col("attempts") >= most)
