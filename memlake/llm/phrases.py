@@ -1,10 +1,11 @@
 """Phrases of two and three words, counted in a HAT-trie and scored by their weakest cut.
 
-Each task holds a shallow trie over ids of its own words: a hash container of whole phrases bursts, once it holds too
-many, into a node with one container for each first word, and such a container again by the second word. When a
-task's trie has too many entries, its largest subtrees leave it whole, each as a sorted run of (phrase, count) rows.
-A run's rows go to the partition of their prefix, where runs are merged in order and counts added. The prefix is the
-first word, or the first two where the first is so frequent that its phrases would fill a partition.
+Each task holds a shallow trie over ids of its own words. Its hash containers are hybrid at first, shared by the
+phrases of neighbouring first words; one that holds too many bursts between two of these, and a pure one, with a
+single first word, between two second words. When a task's trie has too many entries, its largest containers leave it
+whole, as a sorted run of (phrase, count) rows. A run's rows go to the partition of their prefix, where runs are merged
+in order and counts added. The prefix is the first word, or the first two where the first is so frequent that its
+phrases would fill a partition.
 
 Phrases are counted by length. A phrase that occurs `least` times is made of shorter ones that do, so bitmaps of
 fixed size keep others out of the next trie; a full bitmap lets everything through, and the counts decide.
@@ -49,7 +50,7 @@ def has_bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 class _Ids(dict):
-    """Ids of one language's words, given as they come: 0 ends a piece, -1 is nothing."""
+    """Ids of one language's words, given as they come: 0 ends a piece, or is a word that a bitmap rules out; -1 is nothing."""
 
     def __init__(self, lang: bytes, words: Words) -> None:
         super().__init__({b"": -1, b"\n": 0})
@@ -61,26 +62,29 @@ class _Ids(dict):
 
 
 class Words:
-    """The words of a task: id, language, bytes, hash, and whether a bitmap of frequent words lets them through. An id belongs to one language."""
+    """The words of a task: id, language, bytes, hash. An id belongs to one language. frequent: a bitmap of the words that get one."""
 
-    def __init__(self, frequent: np.ndarray | None = None) -> None:
+    def __init__(self, frequent: bytes | None = None) -> None:
         self.langs, self.words, self.hashes, self.size = [b""], [b""], [0], 0
         self.by_lang: dict[bytes, _Ids] = {}
-        self.frequent, self._hash, self._fits = frequent, np.zeros(1, np.uint64), np.zeros(1, bool)
+        self.frequent, self._hash = frequent, np.zeros(1, np.uint64)
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes by id, and whether an id may be part of a frequent phrase."""
+    def array(self) -> np.ndarray:
+        """Hashes by id."""
         if len(self._hash) < len(self.hashes):
-            new = np.array(self.hashes[len(self._hash) :], np.uint64)
-            self._hash = np.append(self._hash, new)
-            self._fits = np.append(self._fits, np.ones(len(new), bool) if self.frequent is None else has_bit(self.frequent, new))
-        return self._hash, self._fits
+            self._hash = np.append(self._hash, np.array(self.hashes[len(self._hash) :], np.uint64))
+        return self._hash
 
     def add(self, lang: bytes, word: bytes) -> int:
+        self.size += len(word) + 200
+        h = word_hash(lang, word)
+        if self.frequent is not None:
+            at = h & (8 * len(self.frequent) - 1)
+            if not self.frequent[at >> 3] >> (at & 7) & 1:
+                return 0
         self.langs.append(lang)
         self.words.append(word)
-        self.hashes.append(word_hash(lang, word))
-        self.size += len(word) + 200
+        self.hashes.append(h)
         return len(self.words) - 1
 
     def ids(self, lang: bytes, text: bytes) -> np.ndarray:
@@ -93,77 +97,80 @@ class Words:
         return out[out >= 0]
 
 
-class Node(dict):
-    """Children by word id."""
-
-
 class HatTrie:
-    """Counts of phrases, packed as _BITS bits a word: containers (dict: packed phrase to count) below nodes.
+    """Counts of phrases, packed as _BITS bits a word, in hash containers (dict: packed phrase to count).
 
-    burst: entries of a container above which it becomes a node, as long as words are left to tell its phrases
-    apart. most: entries of the trie above which `full` asks for a spill.
+    starts: the first place of each container, a prefix of one or two words: a sorted node whose neighbouring words
+    share a container until it bursts. burst: entries above which a container does. most: entries of the trie above
+    which it is `full`.
     """
 
-    def __init__(self, words: int, burst: int = 4096, most: int = 1_000_000) -> None:
-        self.words, self.burst, self.most = words, burst, most
-        self.root: dict = {}
-        self.size = 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """keys: distinct, in order."""
-        self.root = self._add(self.root, 0, keys, counts)
-
-    def _add(self, at: dict, depth: int, keys: np.ndarray, counts: np.ndarray) -> dict:
-        if isinstance(at, Node):
-            child = keys >> (_BITS * (self.words - 1 - depth))
-            cuts = np.flatnonzero(np.append(True, child[1:] != child[:-1])).tolist()
-            for word, a, b in zip(child[cuts].tolist(), cuts, cuts[1:] + [len(keys)]):
-                at[word] = self._add(at.get(word, {}), depth + 1, keys[a:b], counts[a:b])
-            return at
-        before, get = len(at), at.get
-        for k, n in zip(keys.tolist(), counts.tolist()):
-            at[k] = get(k, 0) + n
-        self.size += len(at) - before
-        if len(at) <= self.burst or depth >= self.words - 1:
-            return at
-        self.size -= len(at)
-        held = np.fromiter(at, np.int64, len(at))
-        order = np.argsort(held)
-        return self._add(Node(), depth, held[order], np.fromiter(at.values(), np.int64, len(at))[order])
+    def __init__(self, words: int, burst: int = 4096, most: int = 600_000) -> None:
+        self.words, self.burst, self.most, self.size = words, burst, most, 0
+        self.starts, self.containers = np.zeros(1, np.int64), [{}]
 
     @property
     def full(self) -> bool:
         return self.size > self.most
 
-    def spill(self, share: float = 0.5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Phrases and counts of the largest subtrees, which leave the trie, until `share` of its entries have left."""
-        if not isinstance(self.root, Node):
-            trees, self.root = [self.root], {}
-        else:
-            sizes = sorted(((entries(v), k) for k, v in self.root.items()), reverse=True)
-            trees, left = [], self.size * (1 - share)
-            now = self.size
-            for n, k in sizes:
-                if now <= left:
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """keys: distinct, in order."""
+        at = np.searchsorted(self.starts, keys, "right") - 1
+        cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1])).tolist()
+        large = []
+        for i, a, b in zip(at[cuts].tolist(), cuts, cuts[1:] + [len(keys)]):
+            held = self.containers[i]
+            before, get = len(held), held.get
+            for k, n in zip(keys[a:b].tolist(), counts[a:b].tolist()):
+                held[k] = get(k, 0) + n
+            self.size += len(held) - before
+            if len(held) > self.burst:
+                large.append(i)
+        if large:
+            parts = {i: self._parts(self.containers[i]) for i in large}
+            starts = [[x for x, _ in parts[i]] if i in parts else [x] for i, x in enumerate(self.starts.tolist())]
+            for i in parts:
+                starts[i][0] = int(self.starts[i])
+            self.containers = [c for i, held in enumerate(self.containers) for c in ([c for _, c in parts[i]] if i in parts else [held])]
+            self.starts = np.array([x for xs in starts for x in xs], np.int64)
+
+    def _parts(self, held: dict) -> list[tuple[int, dict]]:
+        """A container that bursts, as containers with their starts: cut between first words, or second ones where all have one first word."""
+        keys = np.sort(np.fromiter(held, np.int64, len(held)))
+        cuts, half = [0], max(1, self.burst // 2)
+        for at in range(half, len(keys), half):
+            for depth in range(1, self.words):  # the last start of a prefix before `at`, of the shortest that begins after the last cut
+                low = _BITS * (self.words - depth)
+                start = int(np.searchsorted(keys, keys[at] >> low << low))
+                if start > cuts[-1]:
+                    cuts.append(start)
                     break
-                trees.append(self.root.pop(k))
-                now -= n
-        for tree in trees:
-            for container in containers(tree):
-                self.size -= len(container)
-                yield np.fromiter(container, np.int64, len(container)), np.fromiter(container.values(), np.int64, len(container))
+        return [(int(keys[a]), {k: held[k] for k in keys[a:b].tolist()}) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
 
+    def spill(self, share: float = 0.5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Phrases and counts of the largest containers, which leave the trie whole, until `share` of its entries have left."""
+        left = self.size * (1 - share)
+        keys, counts = [], []
+        for i in sorted(range(len(self.containers)), key=lambda i: -len(self.containers[i])):
+            if self.size <= left:
+                break
+            held, self.containers[i] = self.containers[i], {}
+            self.size -= len(held)
+            keys.append(np.fromiter(held, np.int64, len(held)))
+            counts.append(np.fromiter(held.values(), np.int64, len(held)))
+        yield from zip(keys, counts)
 
-def containers(tree: dict) -> Iterator[dict]:
-    if isinstance(tree, Node):
-        for child in tree.values():
-            yield from containers(child)
-    else:
-        yield tree
 
+#: The words of this worker's last task, which its next one over the same bitmap goes on with.
+_WORDS: dict[tuple[int, int] | None, Words] = {}
 
-def entries(tree: dict) -> int:
-    return sum(map(len, containers(tree)))
+
+def _words(frequent: bytes | None) -> Words:
+    key = None if frequent is None else (len(frequent), hash(frequent))
+    if key not in _WORDS:
+        _WORDS.clear()
+        _WORDS[key] = Words(frequent)
+    return _WORDS[key]
 
 
 def _run(parts: list[tuple[np.ndarray, np.ndarray]], words: Words, length: int, hot: frozenset[int]) -> Iterator[pa.RecordBatch]:
@@ -196,13 +203,12 @@ def _run(parts: list[tuple[np.ndarray, np.ndarray]], words: Words, length: int,
 
 def _grams(ids: np.ndarray, length: int, words: Words, pairs: np.ndarray | None) -> np.ndarray:
     """Packed phrases of `length` words within pieces, without those that hold an infrequent word or pair."""
-    hashes, fits = words.arrays()
-    fit, n = fits[ids], max(0, len(ids) - length + 1)
+    fit, n = ids > 0, max(0, len(ids) - length + 1)
     ok = fit[:n].copy()
     for j in range(1, length):
         ok &= fit[j : n + j]
     if length == 3 and pairs is not None and n:
-        h = hashes[ids]
+        h = words.array()[ids]
         found = has_bit(pairs, pair_hash(h[:-1], h[1:]))
         ok &= found[:-1] & found[1:]
     start = np.flatnonzero(ok)
@@ -233,9 +239,16 @@ def _pieces(texts: list[bytes], limit: int = 1 << 21) -> Iterator[bytes]:
         yield b"\n".join(held)
 
 
-def phrase_runs(batches: Iterator[pa.RecordBatch], length: int, frequent: np.ndarray | None, pairs: np.ndarray | None, hot: frozenset[int], burst: int, most: int) -> Iterator[pa.RecordBatch]:
+def phrase_runs(batches: Iterator[pa.RecordBatch], length: int, frequent: bytes | None, pairs: np.ndarray | None, hot: frozenset[int], burst: int, most: int) -> Iterator[pa.RecordBatch]:
     """Sorted runs of a partition's phrases; for single words also each language's number of words, as the empty phrase."""
-    words, trie, total = Words(frequent), HatTrie(length, burst, most), {}
+    words, trie, total = _words(frequent), HatTrie(length, burst, most), {}
+    found: list[np.ndarray] = []
+
+    def count_found(limit: int) -> None:
+        if sum(map(len, found)) > limit:
+            trie.add(*np.unique(np.concatenate(found), return_counts=True))
+            found.clear()
+
     for batch in slices(batches):
         by_lang: dict[bytes, list[bytes]] = {}
         for lang, utf8 in zip(batch.column("lang").to_pylist(), batch.column("utf8").to_pylist()):
@@ -245,19 +258,23 @@ def phrase_runs(batches: Iterator[pa.RecordBatch], length: int, frequent: np.nda
                 ids = words.ids(lang, text)
                 if length == 1:
                     total[lang] = total.get(lang, 0) + int((ids > 0).sum())
-                found = _grams(ids, length, words, pairs)
-                if len(found):
-                    trie.add(*np.unique(found, return_counts=True))
+                found.append(_grams(ids, length, words, pairs))
+                count_found(most)
                 if trie.full:
                     yield from _run(list(trie.spill()), words, length, hot)
-                if len(words.words) > 1 << (_BITS - 1) or words.size > 256 << 20:
+                if len(words.words) > 1 << (_BITS - 1) or words.size > 128 << 20:
+                    count_found(0)
                     yield from _run(list(trie.spill(1.0)), words, length, hot)
-                    words, trie = Words(frequent), HatTrie(length, burst, most)
+                    _WORDS.clear()
+                    words, trie = _words(frequent), HatTrie(length, burst, most)
+    count_found(0)
     yield from _run(list(trie.spill(1.0)), words, length, hot)
     if total:
         langs = [str(k, "utf-8") for k in total]
         yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array([0] * len(langs), pa.int64()), pa.array([b""] * len(langs), pa.binary()), pa.array(list(total.values()), pa.int64())], schema=_RUN)
-    del words, trie
+    del trie
+    if length == WORDS:
+        _WORDS.clear()
     give_back()
 
 
@@ -296,7 +313,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), batch.column("n")], ["h", "n"])
 
 
-def phrase_counts(docs: DataFrame, least: int = 10, text_col: str = "text", lang_col: str = "lang", burst: int = 4096, most: int = 1_000_000, bitmap_bits: int = 1 << 25, hot_share: int = 1024) -> tuple[DataFrame, list[DataFrame]]:
+def phrase_counts(docs: DataFrame, least: int = 10, text_col: str = "text", lang_col: str = "lang", burst: int = 4096, most: int = 600_000, bitmap_bits: int = 1 << 25, hot_share: int = 1024) -> tuple[DataFrame, list[DataFrame]]:
     """Each language's number of words (lang, n), and for one, two and three words the phrases (lang, phrase, n) with n >= least.
 
     A-Z is lower-cased; white space other than space and tab, and .,;:!? end a piece; words are what spaces and tabs
@@ -321,7 +338,7 @@ def phrase_counts(docs: DataFrame, least: int = 10, text_col: str = "text", lang
             hashed = sums.mapInArrow(_hashed, "h long, n long")
             bits = bitmap_of(hashed, "h", bitmap_bits)
             if length == 1:
-                frequent = bits
+                frequent = bits.tobytes()
                 total = sizes.agg(F.sum("n")).first()[0] or 0
                 hot = frozenset(r.h % (1 << 64) for r in hashed.filter(F.col("n") * hot_share >= total).collect())
             else:

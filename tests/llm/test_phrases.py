@@ -70,20 +70,24 @@ def test_none(none):
 
 
 def test_trie_bursts_and_spills():
-    """Whatever bursts and spills, a phrase's counts add up; the largest subtree leaves first and whole."""
+    """Whatever bursts and spills, a phrase's counts add up; containers hold their own ranges of prefixes, and the largest leaves first and whole."""
     rng, trie, want, got = np.random.default_rng(1), phrases.HatTrie(3, burst=8, most=300), Counter(), Counter()
     for _ in range(60):
         ids = rng.zipf(1.6, (200, 3)).clip(1, 50)
         keys, counts = np.unique(ids[:, 0] << 42 | ids[:, 1] << 21 | ids[:, 2], return_counts=True)
         want.update(dict(zip(keys.tolist(), counts.tolist())))
         trie.add(keys, counts)
+        assert (np.diff(trie.starts) > 0).all() and trie.size == sum(map(len, trie.containers))
+        for low, high, held in zip(trie.starts.tolist(), [*trie.starts.tolist()[1:], 1 << 63], trie.containers):
+            assert all(low <= k < high for k in held)
+            prefixes = {k >> 21 for k in held}
+            assert len(held) <= 8 or max(Counter(k >> 21 for k in held).values()) > 2 or len(prefixes) == 1  # only a long prefix of two words makes one longer
         if trie.full:
-            sizes = {k: phrases.entries(v) for k, v in trie.root.items()}
+            largest = max(range(len(trie.containers)), key=lambda i: len(trie.containers[i]))
             for k, n in trie.spill():
                 got.update(dict(zip(k.tolist(), n.tolist())))
-            assert max(sizes, key=sizes.get) not in trie.root
-        assert trie.size == phrases.entries(trie.root)
-    assert isinstance(trie.root, phrases.Node)
+            assert not trie.containers[largest] and trie.size <= 300
+    assert len(trie.containers) > 20
     for k, n in trie.spill(1.0):
         got.update(dict(zip(k.tolist(), n.tolist())))
     assert got == want and trie.size == 0
