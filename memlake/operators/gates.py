@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.scalars import jaccard, rrf
+from ..functions.scalars import composite, jaccard, keyword_overlap, rrf, scope_weight
 from ..params import DEFAULTS, Params
 from .retrieval import top_k
 
@@ -146,6 +146,30 @@ def scopes(fused: DataFrame, threshold: Column, limit: int = DEFAULTS.scope_limi
     return top_k(rows, ["query_id", "scope"], [F.round("score", 9).desc(), F.col("id")], limit)
 
 
+def hybrid_search(semantic: DataFrame, lexical: DataFrame, queries: DataFrame, records: DataFrame, threshold: Column, priors: dict[str, float], limit: int = 10, kept: int = DEFAULTS.scope_limit, served: DataFrame | None = None, p: Params = DEFAULTS) -> DataFrame:
+    """(query_id, scope, id, rank, score, similarity, source) of what both searches found.
+
+    semantic: (query_id, id, similarity, rank); lexical: (query_id, id, rank). queries: (query_id, session, project, elsewhere,
+    words); records: (id, session, project, kind, source_ref, keywords). Each list's first rows (2 limit and 3 limit) lose
+    those of the query's own session, or project where it looks elsewhere, and are ranked anew. A row has the composite
+    score of its similarity (a fixed one where only words found it), its keywords and its scope; reciprocal ranks and
+    what wrote it add to that. Then scopes, `kept` rows of each.
+    """
+    ranked = lambda df, n: top_k(allowed(df.filter(F.col("rank") < n).withColumnRenamed("rank", "_was"), queries, records), ["query_id"], [F.col("_was"), F.col("id")], n).drop("_was")
+    left, right = ranked(semantic, 2 * limit), ranked(lexical, 3 * limit)
+    asked = queries.select("query_id", F.col("project").alias("_p"), F.col("words").alias("_w"))
+    held = records.select("id", F.col("project").alias("_of"), "kind", "keywords")
+
+    def scored(df: DataFrame, similarity: Column) -> DataFrame:
+        told = df.join(asked, "query_id").join(held, "id")
+        score = composite(similarity, F.lit(0.0), keyword_overlap(F.col("_w"), F.col("keywords")), F.lit(0.0), scope_weight(F.col("kind"), F.col("_of"), F.col("_p"), p), p)
+        return told.withColumn("score", score).select(*df.columns, "score")
+
+    fused = with_priors(fused_scores(scored(left, F.col("similarity")), scored(right, F.lit(p.fts_similarity)), p), records, priors)
+    fused = fused.join(asked.drop("_w"), "query_id").join(held.drop("keywords"), "id").withColumn("in_project", F.coalesce(F.col("_of") == F.col("_p"), F.lit(False)))
+    return scopes(fused, threshold, kept, served, p).select("query_id", "scope", "id", "rank", "score", "similarity", "source")
+
+
 def first_source(hits: list[DataFrame], limit: int) -> DataFrame:
     """(query_id, id, source, rank) of lists (query_id, id, rank) one after another; an id counts where it comes first."""
     rows = None

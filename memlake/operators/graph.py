@@ -21,10 +21,10 @@ def chain(sessions: DataFrame, start: DataFrame, up: bool = True, most: int = 10
     a, b = ("session_id", "parent_session_id") if up else ("parent_session_id", "session_id")
     return sessions.sparkSession.sql(
         f"""
-        WITH RECURSIVE walk(start, session_id, depth, met) MAX RECURSION LEVEL {most} AS (
+        WITH RECURSIVE walk(start, session_id, depth, met) MAX RECURSION LEVEL {most + 2} AS (
             SELECT session_id, session_id, 0, array(session_id) FROM {{start}}
             UNION ALL
-            SELECT w.start, s.{b}, w.depth + 1, array_append(w.met, s.{b}) FROM walk w JOIN {{sessions}} s ON s.{a} = w.session_id WHERE s.{b} IS NOT NULL AND NOT array_contains(w.met, s.{b}))
+            SELECT w.start, s.{b}, w.depth + 1, array_append(w.met, s.{b}) FROM walk w JOIN {{sessions}} s ON s.{a} = w.session_id WHERE w.depth < {most} AND s.{b} IS NOT NULL AND NOT array_contains(w.met, s.{b}))
         SELECT start, session_id, CAST(depth AS BIGINT) AS depth FROM walk""",
         start=start.select("session_id"),
         sessions=sessions,

@@ -51,8 +51,11 @@ def last_minutes(turns: DataFrame, key: str, ts: str, minutes: int) -> DataFrame
 def apply_verbs(records: DataFrame, verbs: DataFrame) -> DataFrame:
     """Records (id, content, project, archived_reason, deleted) after verbs (seq, id, verb, value), the last of each kind.
 
-    Verbs: add (an unknown id only), update, archive, label, delete. A deleted record takes no other verb.
+    Verbs: add (an unknown id only), update, archive, label, delete. A deleted record takes no other verb, whether it was
+    deleted before or by an earlier verb of the log.
     """
+    gone = verbs.filter("verb = 'delete'").groupBy("id").agg(F.min("seq").alias("_end"))
+    verbs = verbs.join(gone, "id", "left").filter(F.col("_end").isNull() | (F.col("seq") <= F.col("_end")))
     last = lambda verb: F.max_by("value", F.when(F.col("verb") == verb, F.col("seq")))
     has = lambda verb: F.max((F.col("verb") == verb).cast("int")) == 1
     said = verbs.groupBy("id").agg(*[last(v).alias(f"_{v}") for v in ("add", "update", "archive", "label")], has("add").alias("_new"), has("delete").alias("_gone"))

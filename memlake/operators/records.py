@@ -41,7 +41,7 @@ def file_matches(records: DataFrame, asked: DataFrame) -> DataFrame:
     return best.select("query_id", "id", "quality", (F.row_number().over(order) - 1).cast("long").alias("rank"))
 
 
-def about_records(text: Column, store: str = "memory") -> Column:
+def about_records(text: Column, store: str) -> Column:
     """Whether a text speaks of what is or isn't recorded, rather than of the work. store: what records are kept in."""
     return F.lower(text).rlike(
         rf"\bno (?:prior )?(?:memory|memories|record|entry|entries) (?:of|about|for|exist)|\b{store} (?:has no|contains no|has limited|lacks|knows nothing)|\b{store} contains a (?:profile|memory|record)"
@@ -50,9 +50,9 @@ def about_records(text: Column, store: str = "memory") -> Column:
     )
 
 
-def without_meta(records: DataFrame, text: str = "content", kind: str = "type") -> DataFrame:
-    """Records without those about records; corrections always stay."""
-    return records.filter((F.col(kind) == "correction") | ~about_records(F.col(text)))
+def without_meta(records: DataFrame, store: str, text: str = "content", kind: str = "type") -> DataFrame:
+    """Records without those about records and their store; corrections always stay."""
+    return records.filter((F.col(kind) == "correction") | ~about_records(F.col(text), store))
 
 
 def is_ephemeral(path: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import text
-from ..streaming import jobs
+from ..operators.history import versioned_table
+from ..sources import exports, text
+from ..streaming import jobs, queue
 from .inputs import table
 
 QUERIES, ORACLE = {}, {}
@@ -73,3 +74,40 @@ def paragraph_chunks(spark: SparkSession, d: str) -> DataFrame:
     """documents' lines packed into chunks of 2000 characters."""
     docs = table(spark, d, "documents").select("doc_id", F.posexplode(text.chunks(F.regexp_replace("text", "\n", "\n\n"), 2000)).alias("nth", "chunk"))
     return docs.select("doc_id", F.col("nth").cast("long").alias("nth"), F.length("chunk").cast("long").alias("size"), F.sha2("chunk", 256).alias("mark"))
+
+
+@query("SELECT doc_id, source AS query, sha256(text) AS mem, quality::BIGINT AS grade FROM documents JOIN labels USING (doc_id)")
+def exported_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled texts as an export, read back after its digests were checked."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", F.col("source").alias("query"), F.col("text").alias("mem"), F.col("quality").cast("long").alias("grade"))
+    path = f"{jobs.work_folder(spark)}-export"
+    exports.export_labels(rows, path, "query")
+    return exports.import_labels(spark, path, rows.schema).withColumn("mem", F.sha2("mem", 256))
+
+
+@query("""WITH d AS (SELECT doc_id, lang, text FROM documents), l AS (SELECT 1 AS t, doc_id, CASE WHEN doc_id % 4 = 0 THEN 'early ' || text ELSE text END AS text FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT 2, doc_id, text FROM d UNION ALL SELECT 3, doc_id, text FROM d WHERE lang <> 'de')
+    SELECT t::BIGINT AS t, count(*) AS n, bit_xor(('0x' || sha256(doc_id || text)[1:8])::BIGINT) AS x, 0::BIGINT AS rewritten FROM l GROUP BY 1
+    UNION ALL SELECT 4, count(*), NULL, NULL FROM (SELECT doc_id FROM d UNION ALL SELECT doc_id FROM d WHERE doc_id % 4 = 0)""")
+def table_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Three loads of documents by language, read as of each; the same load again rewrites nothing; and all versions."""
+    docs, i = table(spark, d, "documents").select("doc_id", "lang", "text"), F.col("doc_id")
+    early = docs.filter(i % 2 == 0).withColumn("text", F.when(i % 4 == 0, F.concat(F.lit("early "), "text")).otherwise(F.col("text")))
+    past = versioned_table(docs, ("doc_id",), "lang")
+    again = [[past.load(rows, t), past.load(rows, t)][1] for t, rows in ((1, early), (2, docs), (3, docs.filter("lang <> 'de'")))]
+    x = F.conv(F.substring(F.sha2(F.concat(i.cast("string"), "text"), 256), 1, 8), 16, 10).cast("long")
+    out = None
+    for t, n in enumerate(again, 1):
+        part = past.as_of(t).agg(F.lit(t).cast("long").alias("t"), F.count("*").alias("n"), F.bit_xor(x).alias("x"), F.lit(n).cast("long").alias("rewritten"))
+        out = part if out is None else out.unionByName(part)
+    return out.unionByName(past.rows().agg(F.lit(4).cast("long").alias("t"), F.count("*").alias("n"), F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("rewritten")))
+
+
+@query("SELECT event_id AS seq, event_type AS kind, user_id FROM events")
+def queue_drained(spark: SparkSession, d: str) -> DataFrame:
+    """Events as the files of a queue, drained in their order into a table."""
+    folder = jobs.work_folder(spark)
+    rows = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), F.to_json(F.struct("user_id", "value")).alias("payload"))
+    queue.enqueue_rows(rows, f"{folder}/queue")
+    none = lambda x: x.filter("get_json_object(payload, '$.user_id') IS NULL").select("seq")
+    done = queue.drain_stream(queue.queue_stream(spark, f"{folder}/queue"), none, folder)
+    return done.handled.read().select("seq", "kind", F.get_json_object("payload", "$.user_id").cast("long").alias("user_id"))

@@ -74,7 +74,7 @@ def record_verbs(spark: SparkSession, d: str) -> DataFrame:
     rows = docs.filter("doc_id % 4 <> 3").select(i.alias("id"), F.col("lang").alias("content"), F.col("source").alias("project"), F.when(i % 5 == 0, "old").alias("archived_reason"), (i % 7 == 0).alias("deleted"))
     say = lambda x: F.concat(F.lit(f"{x} "), i.cast("string"))
     verb = lambda n, name, value, when: F.when(when, F.struct(F.lit(n).alias("seq"), F.lit(name).alias("verb"), value.alias("value")))
-    said = F.array(verb(1, "add", say("added"), i % 4 == 3), verb(2, "update", say("first"), i % 3 == 0), verb(3, "update", say("second"), i % 3 == 0), verb(4, "label", F.lit("labelled"), i % 6 == 1), verb(5, "archive", F.lit("done"), i % 8 == 2), verb(6, "delete", F.lit(None).cast("string"), i % 9 == 4))
+    said = F.array(verb(1, "add", say("added"), i % 4 == 3), verb(2, "update", say("first"), i % 3 == 0), verb(3, "update", say("second"), i % 3 == 0), verb(4, "label", F.lit("labelled"), i % 6 == 1), verb(5, "archive", F.lit("done"), i % 8 == 2), verb(6, "delete", F.lit(None).cast("string"), i % 9 == 4), verb(7, "update", say("late"), i % 9 == 4), verb(8, "label", F.lit("late"), i % 9 == 4))
     verbs = docs.select(i.alias("id"), F.explode(F.filter(said, lambda x: x.isNotNull())).alias("x")).select("id", "x.*")
     return listing.apply_verbs(rows, verbs)
 

@@ -104,7 +104,7 @@ rule("assessed_pairs", "C2, C3: pairs of a session that no one assessed, where b
 rule("semantic_rescue", "O3: undecided or unengaged rows that a second score with a margin makes engaged.",
      "SELECT id, CASE WHEN engaged = 1 THEN 'lexical' WHEN score >= 0.55 AND score - greatest(engaged_score, 0) >= 0.05 THEN 'semantic' END AS method, CASE WHEN engaged = 1 OR (score >= 0.55 AND score - greatest(engaged_score, 0) >= 0.05) THEN 1 ELSE engaged END AS engaged FROM {deliveries}")
 rule("replace_edges", "M11: edges of rescanned files replaced, others kept.",
-     "WITH old AS (SELECT page_id % 40 AS file, page_id AS target FROM {pages} WHERE page_id % 2 = 0), new AS (SELECT page_id % 40 AS file, page_id AS target FROM {pages} WHERE page_id % 40 < 10) SELECT file, target FROM old WHERE file NOT IN (SELECT file FROM new) UNION ALL SELECT file, target FROM new")
+     "WITH old AS (SELECT page_id % 40 AS file, page_id AS target FROM {pages} WHERE page_id % 2 = 0), new AS (SELECT page_id % 40 AS file, page_id AS target FROM {pages} WHERE page_id % 40 < 10) SELECT file, target FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.file = old.file) UNION ALL SELECT file, target FROM new")
 rule("watchdog", "T10, A43: queue depth, oldest item and failures by kind.",
      "SELECT event_type, count(*) AS depth, min(event_id) AS oldest, count_if(value < 1) AS failed, count_if(value < 1) * 5 > count(*) AS stuck FROM {events} GROUP BY event_type")
 rule("best_trigger", "R14, R16: the best record for each session, and whether it reaches the threshold.",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import correcting, direction_mismatch, question_form
-from ..functions.scalars import arm, composite, compounds, import_target, scope_weight
+from ..functions.scalars import arm, composite, compounds, import_target, query_terms, scope_weight
 from ..functions.wordlists import DIRECTIONS, NEGATIONS, QUERY_STOPWORDS, TERM_STOPWORDS
 from ..operators import curation, gates, retrieval, vectors
 from ..operators.outcomes import document_frequency, engagement
@@ -174,6 +174,37 @@ def scope_split(spark: SparkSession, d: str) -> DataFrame:
     return gates.scopes(f, F.lit(0.3) + F.when(F.col("query_id") % 4 == 0, 0.05).otherwise(0.0), served=served).select("query_id", "scope", "id", "rank")
 
 
+HYBRID = f"""{SIMS}, {BM25.replace("asked AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(query), '([\\p{L}\\p{N}]+)', 1))) AS term", "asked AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(query), '(\\w+)', 1), lambda x: length(x) > 2 AND NOT list_contains(" + listed(QUERY_STOPWORDS) + ", x)))) AS term")},
+    r AS (SELECT doc_id AS id, doc_id // 7 AS session, source AS project, CASE WHEN lang = 'fr' THEN 'reference' ELSE 'fact' END AS kind, lang AS source_ref, list_distinct(string_split(regexp_replace(url_words, '[^a-z ]', '', 'g'), ' ')) AS keywords FROM (SELECT *, lower(array_to_string(string_split(text, ' ')[1:6], ' ')) AS url_words FROM documents)),
+    b AS (SELECT CASE WHEN count(*) < 5 THEN 0.0 WHEN avg(toxic) > 0.5 THEN 0.1 WHEN avg(toxic) > 0.3 THEN 0.05 ELSE 0.0 END::DOUBLE AS boost FROM labels),
+    qs AS (SELECT item_id AS query_id, coalesce(r.project, 'none') AS project, item_id * 10 // 7 AS session, item_id % 3 = 0 AS elsewhere, list_distinct(list_filter(regexp_extract_all(lower(text), '(\\w+)', 1), lambda x: length(x) > 2 AND NOT list_contains({listed(QUERY_STOPWORDS)}, x))) AS words FROM benchmark LEFT JOIN r ON r.id = item_id * 10),
+    sem0 AS (SELECT query_id // 100 AS query_id, id, sim, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) - 1 AS was FROM s QUALIFY was < 20),
+    lex0 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS was FROM bm QUALIFY was < 30),
+    sem AS (SELECT x.query_id, x.id, sim, row_number() OVER (PARTITION BY x.query_id ORDER BY was) - 1 AS rank FROM sem0 x JOIN qs USING (query_id) LEFT JOIN r ON r.id = x.id WHERE NOT (coalesce(r.session = qs.session, false) OR (elsewhere AND coalesce(r.project = qs.project, false)))),
+    lex AS (SELECT x.query_id, x.id, row_number() OVER (PARTITION BY x.query_id ORDER BY was) - 1 AS rank FROM lex0 x JOIN qs USING (query_id) LEFT JOIN r ON r.id = x.id WHERE NOT (coalesce(r.session = qs.session, false) OR (elsewhere AND coalesce(r.project = qs.project, false)))),
+    f0 AS (SELECT query_id, id, coalesce(sim, 0.35) AS similarity, CASE WHEN sem.rank IS NULL THEN 'fts' WHEN lex.rank IS NULL THEN 'semantic' ELSE 'both' END AS source, (coalesce(1.0::DOUBLE / (60 + sem.rank), 0) + coalesce(1.0::DOUBLE / (60 + lex.rank), 0)) * 0.2 / (2.0::DOUBLE / 61) AS rrf FROM sem FULL JOIN lex USING (query_id, id)),
+    f AS (SELECT f0.query_id, f0.id, similarity, f0.source, kind, r.project = qs.project AS in_project, 0.5 * similarity + CASE WHEN len(keywords) > 0 THEN 0.15 * len(list_filter(keywords, lambda k: len(list_filter(words, lambda w: contains(k, w) OR contains(w, k))) > 0)) / len(keywords) ELSE 0 END
+        + 0.05 * CASE WHEN r.project = qs.project THEN 1.0 ELSE 0.3 END + rrf + CASE source_ref WHEN 'de' THEN -0.03 WHEN 'es' THEN 0.02 ELSE 0 END AS score, 0.3 + boost AS tau FROM f0 JOIN qs USING (query_id) JOIN r ON r.id = f0.id, b),
+    m AS (SELECT *, in_project AND similarity >= tau AS mine FROM f), a AS (SELECT *, bool_or(mine) OVER (PARTITION BY query_id) AS any_mine FROM m),
+    g AS (SELECT *, CASE WHEN mine THEN 'project' WHEN ((similarity >= 0.6 AND NOT any_mine) OR similarity >= tau OR (source = 'fts' AND score >= 0.4 AND in_project)) AND NOT (kind = 'reference' AND similarity < 0.56) THEN 'global' END AS scope FROM a)"""
+
+
+@query(f"WITH {HYBRID} SELECT query_id, scope, id, row_number() OVER (PARTITION BY query_id, scope ORDER BY round(score, 9) DESC, id) - 1 AS rank, round(score, 6) AS score, source FROM g WHERE scope IS NOT NULL QUALIFY rank < 7")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Meaningful words of benchmark texts and a vector each against all documents: exclusions, ranks, priors, boosted threshold, scopes."""
+    docs, i = table(spark, d, "documents"), F.col("doc_id")
+    v, q = _asked(spark, d)
+    keywords = F.array_distinct(F.split(F.regexp_replace(F.lower(F.array_join(F.slice(F.split("text", " "), 1, 6), " ")), "[^a-z ]", ""), " "))
+    rows = docs.select(i.alias("id"), F.expr("doc_id div 7").alias("session"), F.col("source").alias("project"), F.when(F.col("lang") == "fr", "reference").otherwise("fact").alias("kind"), F.col("lang").alias("source_ref"), keywords.alias("keywords"))
+    asked = table(spark, d, "benchmark").join(rows.select((F.expr("id div 10")).alias("item_id"), "id", "project").filter("id % 10 = 0"), "item_id", "left")
+    asked = asked.select(F.col("item_id").alias("query_id"), F.expr("item_id * 10 div 7").alias("session"), F.coalesce("project", F.lit("none")).alias("project"), (F.col("item_id") % 3 == 0).alias("elsewhere"), query_terms(F.col("text")).alias("words"))
+    sem = retrieval.vector_top_k(v, q, 20).withColumn("query_id", F.expr("query_id div 100"))
+    lex = retrieval.bm25_top_k(docs.select(i.alias("id"), "text"), _benchmark_queries(spark, d), 30, meaningful=True)
+    boost = table(spark, d, "labels").select(F.when(F.col("toxic") == 1, "harmful").otherwise("good").alias("outcome")).agg(gates.adaptive_boost().alias("b")).first().b
+    found = gates.hybrid_search(sem, lex, asked, rows, F.lit(0.3 + boost), {"de": -0.03, "es": 0.02})
+    return found.select("query_id", "scope", "id", "rank", F.round("score", 6).alias("score"), "source")
+
+
 #: Rows of the retrieval chain: similarities from 0 to 1, topics, words and reranker scores of each vector.
 CHAIN = f"""{SIMS}, r AS (SELECT query_id, id, (1 + sim) / 2 AS similarity, 0.5 * (1 + sim) / 2 + 0.15 * (id % 5) / 5.0::DOUBLE AS score, label AS kind, id % 11 AS topic, id % 6 = 0 AS archived, [(id % 9)::VARCHAR, (id % 13)::VARCHAR] AS words,
     CASE WHEN query_id % 300 <> 0 THEN ((id * 37 + query_id) % 101) / 10.0::DOUBLE - 6 END AS ce FROM s WHERE id <> query_id)"""

@@ -59,7 +59,7 @@ def meta_filter(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     said = F.when(i % 4 == 1, F.concat(F.col("text"), F.lit(" There is no prior memory of this."))).when(i % 4 == 2, F.concat(F.lit("Should be captured "), F.col("text"))).otherwise(F.col("text"))
     rows = table(spark, d, "documents").select(i.alias("id"), said.alias("content"), F.when(i % 5 == 0, "correction").otherwise("fact").alias("type"))
-    return records.without_meta(rows).select("id")
+    return records.without_meta(rows, "memory").select("id")
 
 
 STALE = """p AS (SELECT doc_id AS id, source AS project, CASE doc_id % 4 WHEN 0 THEN ['/data/' || (doc_id % 12) || '.csv', '/data/' || (doc_id % 9) || '.csv'] WHEN 1 THEN ['lib/m' || (doc_id % 9) || '.py'] WHEN 2 THEN ['/tmp/x' || doc_id || '.log'] ELSE [] END AS paths FROM documents),

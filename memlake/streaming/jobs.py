@@ -58,8 +58,9 @@ class KeyedTable:
         paths = [f"{self.folder}/rows/{r.batch}/_part={r.part}" for r in places if r.rows]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def read(self) -> DataFrame:
-        return self._read(self.places())
+    def read(self, below: int | None = None) -> DataFrame:
+        """The rows, by the last list or by the last one below a batch number."""
+        return self._read(self.places(below))
 
     def put(self, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], number: int) -> None:
         """merge(old, batch) takes the place of the parts that batch's keys fall into; it keeps their keys."""
