@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_bucket, pseudo_random, saturated_confidence
 from ..operators import graph, merge, outcomes
+from ..operators.exchange import Changeset, Replica, exchange
 from ..operators.sessions import around, as_of_backward, next_rows, turn_context
 from ..params import Params
 from .inputs import DELIVERIES, EDGES, deliveries, edges, records, table
@@ -250,3 +251,25 @@ def liveness_status(spark: SparkSession, d: str) -> DataFrame:
     ts = F.when((kind != "signup") & ~((kind == "error") & (F.col("ts") > F.lit("2024-01-20").cast("timestamp"))), F.col("ts"))
     e = table(spark, d, "events").select(kind.alias("signal"), ts.alias("ts"))
     return outcomes.liveness(e, signals, F.lit("2024-01-31").cast("timestamp"), 48, "click").select("signal", "n", "status")
+
+
+@query("""WITH e AS (SELECT *, (event_id % 3)::VARCHAR AS node FROM events), l AS (SELECT user_id AS id, event_type AS v FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
+    g AS (SELECT user_id AS id, min(event_id) AS deleted_at FROM e WHERE event_type = 'error' GROUP BY 1), c AS (SELECT user_id AS id, count(*) AS n FROM e WHERE event_type = 'purchase' GROUP BY 1)
+    SELECT node, l.id, v, deleted_at, round(1 - 0.3 * pow(0.9, n), 9) AS confidence FROM l LEFT JOIN g USING (id) LEFT JOIN c USING (id), (VALUES ('0'), ('1'), ('2')) AS k(node)""")
+def exchanged_state(spark: SparkSession, d: str) -> DataFrame:
+    """Events written by three nodes; after exchanges in a ring all have one state."""
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("id"), F.col("event_type").alias("v"), F.col("event_id").alias("lamport"), (F.col("event_id") % 3).cast("string").alias("node"))
+    replicas = []
+    for n in "012":
+        own = e.filter(F.col("node") == n)
+        none = Replica(n, own.select("id", "v", "lamport", "node").limit(0), own.select("id", F.col("lamport").alias("deleted_at"), "lamport", "node").limit(0), own.select(F.col("event_id").alias("log_uuid"), "id", F.lit("+").alias("direction"), F.lit(None).cast("string").alias("reason"), "lamport", "node").limit(0), own.select("node", "lamport").limit(0))
+        gone = own.filter("v = 'error'").select("id", F.col("lamport").alias("deleted_at"), "lamport", "node")
+        votes = own.filter("v = 'purchase'").select(F.col("event_id").alias("log_uuid"), "id", F.lit("+").alias("direction"), F.lit(None).cast("string").alias("reason"), "lamport", "node")
+        replicas.append(none.apply(Changeset(own.select("id", "v", "lamport", "node"), gone, votes, own.groupBy("node").agg(F.max("lamport").alias("lamport")))))
+    for a, b in ((0, 1), (1, 2), (2, 0), (0, 1)):
+        replicas[a], replicas[b] = exchange(replicas[a], replicas[b])
+    out = None
+    for r in replicas:
+        part = r.state().select(F.lit(r.name).alias("node"), "id", "v", "deleted_at", F.round("confidence", 9).alias("confidence"))
+        out = part if out is None else out.unionByName(part)
+    return out
