@@ -62,7 +62,7 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     return top_k(sums, ["query_id"], [F.round("score", 9).desc(), F.col("id")], k)
 
 
-def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int | None, least: float = -1.0, id_col: str = "id", vector: str = "embedding", query_id: str = "query_id") -> DataFrame:
+def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int | None, least: float = -1.0, id_col: str = "id", vector: str = "embedding", query_id: str = "query_id", query_block: int = 1024) -> DataFrame:
     """(query_id, id, similarity, rank) of the k nearest unit vectors to each query, at least `least`.
 
     Exact, in tiles of rows and blocks of queries: a task gives a block's k best of a tile. Vectors of another length
@@ -70,7 +70,7 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int | None, least: fl
     """
     rows = corpus.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
     asked = queries.filter(F.col(vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
-    return tiled_top_k(rows, asked, k, least)
+    return tiled_top_k(rows, asked, k, least, block=query_block)
 
 
 def similarity_join(corpus: DataFrame, least: float, id_col: str = "id", vector: str = "embedding", by: tuple[str, ...] = (), tile: int = 4096) -> DataFrame:
