@@ -174,7 +174,7 @@ def _words(frequent: bytes | None) -> Words:
 
 
 def _run(parts: list[tuple[np.ndarray, np.ndarray]], words: Words, length: int, hot: frozenset[int]) -> Iterator[pa.RecordBatch]:
-    """The spilled subtrees as one run in order of language and phrase."""
+    """The spilled subtrees as one run in order of phrase and language."""
     if not parts:
         return
     keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -185,7 +185,7 @@ def _run(parts: list[tuple[np.ndarray, np.ndarray]], words: Words, length: int,
     back = back.reshape(length, -1)
     text = pa.array([words.words[i] for i in used], pa.binary())
     langs = pa.array([str(words.langs[i], "utf-8") for i in used], pa.string())
-    order = pc.sort_indices(pa.table({"lang": langs, "word": text}), sort_keys=[("lang", "ascending"), ("word", "ascending")]).to_numpy()
+    order = pc.sort_indices(pa.table({"lang": langs, "word": text}), sort_keys=[("word", "ascending"), ("lang", "ascending")]).to_numpy()
     rank = np.empty(len(used), np.int64)
     rank[order] = np.arange(len(used))
     at = np.lexsort([rank[back[j]] for j in reversed(range(length))])
@@ -207,11 +207,11 @@ def _grams(ids: np.ndarray, length: int, words: Words, pairs: np.ndarray | None)
     ok = fit[:n].copy()
     for j in range(1, length):
         ok &= fit[j : n + j]
-    if length == 3 and pairs is not None and n:
-        h = words.array()[ids]
-        found = has_bit(pairs, pair_hash(h[:-1], h[1:]))
-        ok &= found[:-1] & found[1:]
     start = np.flatnonzero(ok)
+    if length == 3 and pairs is not None and len(start):
+        h = words.array()
+        one, two, three = (h[ids[start + j]] for j in range(3))
+        start = start[has_bit(pairs, pair_hash(one, two)) & has_bit(pairs, pair_hash(two, three))]
     out = ids[start]
     for j in range(1, length):
         out = out << _BITS | ids[start + j]
@@ -329,7 +329,7 @@ def phrase_counts(docs: DataFrame, least: int = 10, text_col: str = "text", lang
     for length in range(1, WORDS + 1):
         held = spark.sparkContext.broadcast((frequent, pairs, hot))
         runs = rows.mapInArrow(lambda b, k=length, held=held: phrase_runs(b, k, *held.value, burst, most), "lang string, prefix long, phrase binary, n long")
-        sums = runs.repartition("prefix").sortWithinPartitions("lang", "phrase").mapInArrow(lambda b: merged(b, least), "lang string, phrase binary, n long")
+        sums = runs.repartition("prefix").sortWithinPartitions("phrase", "lang").mapInArrow(lambda b: merged(b, least), "lang string, phrase binary, n long")
         sums = keep(sums, f"phrases-{length}")
         if length == 1:
             sizes, sums = sums.filter("octet_length(phrase) = 0").select("lang", "n"), sums.filter("octet_length(phrase) > 0")
