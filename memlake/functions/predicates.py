@@ -38,8 +38,8 @@ def has_content(text: Column, least: int = 10) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words between blanks."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+    """Lower-cased words between blanks; a vertical tab is none."""
+    return F.filter(F.split(F.lower(text), r"[\t\n\f\r ]+"), lambda x: x != "")
 
 
 def direction_mismatch(a: Column, b: Column) -> Column:

@@ -25,6 +25,7 @@ def test_predicates(spark):
     assert one(spark, P.direction_mismatch(F.col("a"), F.col("b")), a="it does not work", b="it works")
     assert not one(spark, P.direction_mismatch(F.col("a"), F.col("b")), a="no longer used here", b="used here")
     assert not one(spark, P.direction_mismatch(F.col("a"), F.col("b")), a="never do it", b="Never do that")
+    assert one(spark, P.question_form(F.col("a")), a="do\u00edas a b") and not one(spark, P.question_form(F.col("a")), a="dois a b") and not one(spark, P.question_form(F.col("a")), a="how a\x0bb")
     assert one(spark, P.question_form(F.col("a")), a="how do I x") and not one(spark, P.question_form(F.col("a")), a="what sets")
     assert not one(spark, P.has_content(F.col("a")), a="short") and not one(spark, P.has_content(F.col("a")), a="There is no prior context to use")
     assert one(spark, P.has_content(F.col("a")), a="long enough text")
