@@ -310,7 +310,7 @@ def engagement_windows(spark: SparkSession, d: str) -> DataFrame:
 def calibration_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Rules for a prompt; question forms' vectors count before the row's, pinned rows come first."""
     i = F.col("id")
-    best = _near(spark, d).withColumn("similarity", F.greatest("similarity", F.when(i % 4 == 0, F.lit(0.9)))).select("query_id", "id", "similarity", ((i * 7) % 10 / 10.0).alias("shared"), F.lit(0.7).alias("confidence"), (i % 10 == 0).alias("pinned"), (i % 3).alias("priority"))
+    best = _near(spark, d).withColumn("similarity", F.when(i % 4 == 0, 0.9).otherwise(F.col("similarity"))).select("query_id", "id", "similarity", ((i * 7) % 10 / 10.0).alias("shared"), F.lit(0.7).alias("confidence"), (i % 10 == 0).alias("pinned"), (i % 3).alias("priority"))
     return gates.calibration(best, floor=0.6).withColumn("score", F.round("score", 6))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memlake.operators import curation, gates, graph, outcomes, positions, records, retrieval
 from memlake.params import Params
+from memlake.plans import upkeep
 from memlake.sources import capture, repository
 from memlake.streaming import jobs
 
@@ -50,6 +51,13 @@ def test_chain_of_gates(spark):
     assert similar(spark, [x for x in old if x[4]], rerank=False) == []  # none without an active one
 
 
+def test_question_forms_count_before_the_row(spark, tmp_path):
+    """A row's own similarity of 1 doesn't replace that of its question forms, 0.9."""
+    spark.createDataFrame([(i, [1.0, 0.0], 1) for i in (0, 4, 5)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.id: r.score for r in upkeep.calibration_retrieval(spark, str(tmp_path)).collect()}
+    assert got == {4: round(0.55 * 0.9 + 0.2 * 0.8 + 0.105, 6), 5: round(0.55 + 0.2 * 0.5 + 0.105, 6)}
+
+
 def test_reranking_and_its_status(spark):
     rows = [(1, 0.8, 0.5, None, False, -5.0), (2, 0.8, 0.4, None, False, 2.0), (3, 0.8, 0.3, None, False, 0.0)]
     # 1 is below the floor; 2 and 3 are scaled to 1 and 0
