@@ -332,7 +332,7 @@ def topic_candidates(spark: SparkSession, d: str) -> DataFrame:
     """All rows whose topic vector is near; rows without one are left out."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).alias("embedding"))
     q = table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = retrieval.vector_top_k(v, q, None, least=0.2).filter("id <> query_id")
+    found = retrieval.vector_top_k(v, q, None, 2 * 0.6 - 1 - 1e-6).filter("id <> query_id").withColumn("similarity", (1 + F.col("similarity")) / 2).filter("similarity >= 0.6")
     return retrieval.top_k(found, ["query_id"], [F.round("similarity", 9).desc(), F.col("id")], 1 << 30).select("query_id", "id", "rank")
 
 

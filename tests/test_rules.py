@@ -58,6 +58,15 @@ def test_question_forms_count_before_the_row(spark, tmp_path):
     assert got == {4: round(0.55 * 0.9 + 0.2 * 0.8 + 0.105, 6), 5: round(0.55 + 0.2 * 0.5 + 0.105, 6)}
 
 
+def test_topics_tie_at_nine_digits_from_0_to_1(spark, tmp_path):
+    """Similarities that differ by 1.6e-9 are one from 0 to 1, so the lower id comes first; 0.6 itself is enough."""
+    far = [0.5 + 8e-10, 0.5 - 8e-10, 0.2, 0.19]
+    rows = [(0, [1.0, 0.0], 1), *[(2 * i, [x, (1 - x * x) ** 0.5], 1) for i, x in zip((2, 1, 3, 4), far, strict=True)]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = upkeep.topic_candidates(spark, str(tmp_path)).orderBy("rank").collect()
+    assert [round((1 + x) / 2, 9) for x in far[:2]] == [0.75, 0.75] and [r.id for r in got] == [2, 4, 6]
+
+
 def test_reranking_and_its_status(spark):
     rows = [(1, 0.8, 0.5, None, False, -5.0), (2, 0.8, 0.4, None, False, 2.0), (3, 0.8, 0.3, None, False, 0.0)]
     # 1 is below the floor; 2 and 3 are scaled to 1 and 0
