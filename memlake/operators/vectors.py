@@ -236,12 +236,13 @@ def moments(corpus: DataFrame, vector: str = "embedding", fan: int = 1024) -> tu
     return n, x[1] / n, x[2:] / n
 
 
-def variant_top_k(corpus: DataFrame, variants: DataFrame, k: int, id_col: str = "id", vector: str = "embedding", **tiles: int) -> DataFrame:
+def variant_top_k(corpus: DataFrame, variants: DataFrame, k: int | None, id_col: str = "id", vector: str = "embedding", **tiles: int) -> DataFrame:
     """(query_id, id, similarity, rank) of each query's k best rows, by the raw similarity of the variant with the best z-score.
 
     variants: (query_id, variant, v). A variant's z-scores need the mean and spread (population, 1e-6 at least) of its
     similarities with all rows: q . mean and q' S q - (q . mean)^2 with the corpus' second moments S, so no similarity
-    but a tile's k best leaves a task. Of equal z-scores the first variant counts.
+    but a tile's k best leaves a task. Of equal z-scores the first variant counts. For k None all rows come, without
+    rank, one for each query and row.
     """
     n, mean, second = moments(corpus, vector)
     held = corpus.sparkSession.sparkContext.broadcast((mean, second))  # dimension by dimension
@@ -258,7 +259,8 @@ def variant_top_k(corpus: DataFrame, variants: DataFrame, k: int, id_col: str =
         return i, j, raw[i, j]
 
     rows = unit_vectors(corpus, vector, len(mean)).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
-    return _first(in_tiles(rows, unit_vectors(variants, "v", len(mean)), compare, **tiles), k)
+    found = in_tiles(rows, unit_vectors(variants, "v", len(mean)), compare, **tiles)
+    return found if k is None else _first(found, k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

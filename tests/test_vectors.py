@@ -93,4 +93,6 @@ def test_moments_and_variants(spark, corpus, m):
         z = np.round((sim - sim.mean(1, keepdims=True)) / np.maximum(sim.std(1, keepdims=True), 1e-6), 9)
         raw = sim[np.argmax(z, axis=0), np.arange(400)]
         assert got[q] == [i for _, i in sorted((-round(s, 9), i) for i, s in enumerate(raw))[:9]]
+        every = {r.id: r.similarity for r in vectors.variant_top_k(corpus, variants.filter(f"query_id = {q}"), None, tile=90, block=4).collect()} if q in (0, 6) else None
+        assert every is None or (len(every) == 400 and np.allclose([every[i] for i in range(400)], raw))
     assert vectors.variant_top_k(corpus.limit(0), variants, 3).count() == 0
