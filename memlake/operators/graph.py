@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
+
 # Call targets that say nothing of a code base.
 GENERIC_TARGETS = tuple(
     """execute get set len close print append join format split strip fetchone fetchall fetchmany str int float dict list tuple open
@@ -16,19 +18,20 @@ def chain(sessions: DataFrame, start: DataFrame, up: bool = True, most: int = 10
     """(start, session_id, depth) reached over parents (or children) from each start, one join a step.
 
     sessions: (session_id, parent_session_id). A path carries the sessions it met and ends where it would meet one
-    again; `most` steps are taken at most.
+    again; `most` steps are taken at most. Each step's rows are written, so no limit on a recursion's rows holds.
     """
     a, b = ("session_id", "parent_session_id") if up else ("parent_session_id", "session_id")
-    return sessions.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(start, session_id, depth, met) MAX RECURSION LEVEL {most + 2} AS (
-            SELECT session_id, session_id, 0, array(session_id) FROM {{start}}
-            UNION ALL
-            SELECT w.start, s.{b}, w.depth + 1, array_append(w.met, s.{b}) FROM walk w JOIN {{sessions}} s ON s.{a} = w.session_id WHERE w.depth < {most} AND s.{b} IS NOT NULL AND NOT array_contains(w.met, s.{b}))
-        SELECT start, session_id, CAST(depth AS BIGINT) AS depth FROM walk""",
-        start=start.select("session_id"),
-        sessions=sessions,
-    )
+    kind = start.schema["session_id"].dataType
+    links = sessions.filter(F.col(b).isNotNull()).select(F.col(a).cast(kind).alias("session_id"), F.col(b).cast(kind).alias("_next"))
+    now = written(start.select(F.col("session_id").alias("start"), "session_id", F.lit(0).cast("long").alias("depth"), F.array("session_id").alias("_met")), "chain")
+    found = now
+    for _ in range(most):
+        onward = now.join(links, "session_id").filter(~F.array_contains("_met", F.col("_next")))
+        now = written(onward.select("start", F.col("_next").alias("session_id"), (F.col("depth") + 1).alias("depth"), F.array_append("_met", F.col("_next")).alias("_met")), "chain")
+        if now.isEmpty():
+            break
+        found = found.unionByName(now)
+    return found.drop("_met")
 
 
 def last_part(name: Column) -> Column:

@@ -182,5 +182,16 @@ def test_graph(spark):
     assert {(r.symbol, r.name) for r in graph.resolve(names, asked).collect()} == {("run", "pkg.mod.run"), ("pkg.mod.run", "pkg.mod.run")}
 
 
+def test_a_chain_has_no_limit_of_rows(spark):
+    """Chains of more rows than the engine's recursive queries may give."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
+    try:
+        s = spark.range(1, 41).select(F.col("id").alias("session_id"), F.expr("CASE WHEN id > 1 THEN id - 1 END").alias("parent_session_id"))
+        got = graph.chain(s, s.filter("session_id IN (10, 40)"), most=35)
+        assert got.count() == 10 + 36 and got.filter("start = 40").agg(F.min("session_id")).first()[0] == 5
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
 def test_parameters_can_be_replaced():
     assert Params(dedup=0.5).dedup == 0.5 and Params().dedup == 0.95
