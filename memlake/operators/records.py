@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import direction_mismatch, has_content
 from ..params import DEFAULTS, Params
 from ..sources.storage import written
+from .alike import alike, to_each
 
 # Names, patterns and ranks that results depend on.
 GENERIC_NAMES = ("__init__.py", "index.js", "index.ts", "main.py", "README.md", "package.json", "setup.py", "utils.py")
@@ -29,8 +30,11 @@ def file_matches(records: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, id, quality, rank) of records that name a file: 2 by its path, 1 by its name in the same project.
 
     records: (id, project, session, updated_at, files); asked: (query_id, path, project, session). Names that every
-    project has match by path alone, and a session's own records are left out. Two equi-joins, not a theta join.
+    project has match by path alone, and a session's own records are left out. Two equi-joins, not a theta join, for
+    each file, project and session once, then given to all queries with these.
     """
+    everyone = alike(asked, "query_id", F.struct("path", "project", "session"))
+    asked = everyone.select("key").distinct().select(F.col("key").alias("query_id"), F.inline("key"))
     each = records.select("id", F.col("project").alias("_p"), F.col("session").alias("_s"), "updated_at", F.explode(F.array_distinct("files")).alias("path"))
     exact = asked.join(each, "path").select("query_id", "id", "session", "_s", "updated_at", F.lit(2).alias("quality"))
     named = asked.withColumn("name", base_name(F.col("path"))).filter(~F.col("name").isin(*GENERIC_NAMES)).drop("path")
@@ -38,7 +42,8 @@ def file_matches(records: DataFrame, asked: DataFrame) -> DataFrame:
     other = exact.unionByName(near).filter(~F.coalesce(F.col("session") == F.col("_s"), F.lit(False)))
     best = other.groupBy("query_id", "id").agg(F.max("quality").alias("quality"), F.first("updated_at").alias("updated_at"))
     order = Window.partitionBy("query_id").orderBy(F.desc("quality"), F.desc("updated_at"), "id")
-    return best.select("query_id", "id", "quality", (F.row_number().over(order) - 1).cast("long").alias("rank"))
+    ranked = best.select(F.col("query_id").alias("key"), "id", "quality", (F.row_number().over(order) - 1).cast("long").alias("rank"))
+    return to_each(ranked, everyone, "key").select("query_id", "id", "quality", "rank")
 
 
 def about_records(text: Column, store: str) -> Column:
