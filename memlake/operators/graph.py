@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import written
+from .alike import alike, to_each
 
 # Call targets that say nothing of a code base.
 GENERIC_TARGETS = tuple(
@@ -158,8 +159,13 @@ def file_context(nodes: DataFrame, edges: DataFrame, risks: DataFrame, most: int
 def knowledge(records: DataFrame, found: DataFrame, symbols: DataFrame, most: int = 5) -> DataFrame:
     """(symbol, id, source): records that name a symbol's file, then the text search's first ones that they lack.
 
-    records: (id, files); found: (symbol, id, rank) of the text search; symbols: (symbol, file).
+    records: (id, files); found: (symbol, id, rank) of the text search; symbols: (symbol, file). Symbols of the same
+    file get its records without a join of their own.
     """
-    by_file = symbols.join(records.select("id", F.explode("files").alias("file")), "file").select("symbol", "id", F.lit("file").alias("source")).distinct()
+    named = records.select("id", F.explode(F.array_distinct("files")).alias("file"))
+    everyone = alike(symbols, "symbol", F.col("file"))
+    of_files = everyone.select("key").distinct().select("key", F.explode("key").alias("file")).join(named, "file").select("key", "id").distinct()
+    by_file = to_each(of_files, everyone, "key").select("symbol", "id", F.lit("file").alias("source"))
     by_text = found.filter(F.col("rank") < most).select("symbol", "id", F.lit("text").alias("source"))
-    return by_file.unionByName(by_text.join(by_file.select("symbol", "id"), ["symbol", "id"], "left_anti"))
+    known = by_text.join(symbols.select("symbol", "file"), "symbol").join(named, ["id", "file"], "left_semi").select("symbol", "id").distinct()
+    return by_file.unionByName(by_text.join(known, ["symbol", "id"], "left_anti"))
