@@ -29,3 +29,17 @@ def test_sets_of_a_group_in_many_tiles(spark):
     for how in ({"tile": 7}, {"tile_words": 50}):
         found = retrieval.similar_sets(df, 0.5, by=("g",), **how)
         assert {(r.a, r.b): r.jaccard for r in found.collect()} == want and found.count() == len(want)
+
+
+def test_keywords_in_many_tiles(spark):
+    """The first k by shared keywords, age and id, whatever tile they are in; a query doesn't find itself."""
+    rng = random.Random(7)
+    rows = [(i, rng.choice([None, 1, 2]), sorted({str(rng.randrange(15)) for _ in range(6)})) for i in range(80)]
+    df = spark.createDataFrame([*rows, (90, 1, None), (91, 1, [])], "id long, updated_at long, keywords array<string>")
+    asked = df.filter("id % 10 = 0").selectExpr("id AS query_id", "keywords")
+    want = []
+    for q, _, words in rows[::10]:
+        shared = [(-len({*words} & {*w}), at or 0, i) for i, at, w in rows if i != q]
+        want += [(q, i, -n, r) for r, (n, _, i) in enumerate(sorted(x for x in shared if -x[0] >= max(2, 0.25 * len(words)))[:5])]
+    for how in ({}, {"tile": (3, 7)}, {"tile_words": 40}):
+        assert sorted(map(tuple, retrieval.keyword_matches(asked, df, 5, others=True, **how).collect())) == sorted(want)
