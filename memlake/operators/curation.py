@@ -22,41 +22,40 @@ def star_clusters(edges: DataFrame, least: int = DEFAULTS.cluster_least, most: i
     """Greedy clusters (seed, id) from similarity edges (a, b), a < b. Not transitive.
 
     In id order a node that no seed has taken becomes a seed and takes its free later neighbours, `most` rows at
-    most. A node can do so at once if no undecided node before it could take it or one of its neighbours: if it is
-    the least undecided neighbour of all its later ones and has none before it. A round decides all such nodes;
-    what is left after some, `small` edges at most, is walked in one task.
+    most. A node with no undecided node before it among its neighbours is a seed, and takes a later one at once if
+    that has none before the seed and is among as many undecided ones as the seed has room for. A round decides all
+    such pairs; what is left after some, `small` edges at most, is walked in one task.
     """
     kind = edges.schema["a"].dataType.simpleString()
-    left, done = written(edges.select("a", "b").distinct(), "edges"), None
+    left, found = written(edges.select("a", "b").distinct().withColumn("room", F.lit(most - 1).cast("long")), "edges"), None
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[int]] = {}
         for a, b in zip(part["a"], part["b"], strict=True):
             near.setdefault(a, []).append(b)
-        taken, out = set(), []
-        for seed in sorted({*part["a"], *part["b"]}):
-            if seed in taken:
-                continue
-            got = [seed, *[x for x in sorted(near.get(seed, ())) if x not in taken][: most - 1]]
-            taken.update(got)
-            out += [(seed, x) for x in got]
+        room, taken, out = dict(zip(part["a"], part["room"], strict=True)), set(), []
+        for seed in sorted(near):
+            if seed not in taken:
+                got = [x for x in sorted(near[seed]) if x not in taken][: room[seed]]
+                taken.update(got)
+                out += [(seed, x) for x in got]
         return pd.DataFrame(out, columns=["seed", "id"])
 
     for _ in range(rounds):
         if left.count() <= small:
             rest = left.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(walk, f"seed {kind}, id {kind}")
-            found = rest if done is None else done.unionByName(rest)
-            n = F.count("*").over(Window.partitionBy("seed"))
-            return found.withColumn("_n", n).filter(F.col("_n") >= least).drop("_n")
+            found = written(rest if found is None else found.unionByName(rest), "stars")
+            found = found.unionByName(found.select("seed", F.col("seed").alias("id")).distinct())
+            return found.withColumn("_n", F.count("*").over(Window.partitionBy("seed"))).filter(F.col("_n") >= least).drop("_n")
         first = left.groupBy("b").agg(F.min("a").alias("first"))
-        ready = left.join(first, "b").groupBy("a").agg(F.bool_and(F.col("first") == F.col("a")).alias("ready")).filter("ready")
-        ready = ready.join(left.select(F.col("b").alias("a")), "a", "left_anti").select("a")
         nth = F.row_number().over(Window.partitionBy("a").orderBy("b"))
-        taken = left.join(ready, "a", "left_semi").withColumn("nth", nth).filter(F.col("nth") < most).select(F.col("a").alias("seed"), F.col("b").alias("id"))
-        now = written(taken.unionByName(ready.select(F.col("a").alias("seed"), F.col("a").alias("id"))), "stars")
-        gone = now.select("id").distinct()
-        left = written(left.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"), "edges")
-        done = now if done is None else done.unionByName(now)
+        seeds = left.join(first.select(F.col("b").alias("a")), "a", "left_anti").withColumn("nth", nth).filter(F.col("nth") <= F.col("room"))
+        now = written(seeds.join(first, "b").filter(F.col("first") == F.col("a")).select(F.col("a").alias("seed"), F.col("b").alias("id")), "stars")
+        free = left.join(now.select(F.col("id").alias("a")), "a", "left_anti").join(now.select(F.col("id").alias("b")), "b", "left_anti")
+        used = now.groupBy(F.col("seed").alias("a")).agg(F.count("*").alias("used"))
+        free = free.join(used, "a", "left").select("a", "b", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"))
+        left = written(free.filter("room > 0"), "edges")
+        found = now if found is None else found.unionByName(now)
     raise RuntimeError("stars did not settle")
 
 

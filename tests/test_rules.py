@@ -143,6 +143,15 @@ def test_stars_in_rounds_equal_the_walk(spark, seed):
         assert {(r.seed, r.id) for r in curation.star_clusters(df, most=4, small=small).collect()} == greedy(edges, 4)
 
 
+def test_star_clusters_settle_in_few_rounds(spark):
+    """Rounds decide single pairs; a seed need not wait for what others may take."""
+    edges = sorted({(i, j) for i in range(12) for j in range(i + 1, min(i + 4, 12))})
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {(r.seed, r.id) for r in curation.star_clusters(df, most=4, small=0, rounds=4).collect()} == greedy(set(edges), 4)
+    hubs = spark.createDataFrame([(0, 9), (1, 9), *[(0, i) for i in range(2, 5)], *[(1, i) for i in range(5, 8)]], "a long, b long")
+    assert {(r.seed, r.id) for r in curation.star_clusters(hubs, most=4, small=0, rounds=2).collect()} == {(0, i) for i in (0, 2, 3, 4)} | {(1, i) for i in (1, 5, 6, 7)}
+
+
 def test_joins_in_groups_and_of_sets(spark):
     rows = spark.createDataFrame([(i, i % 2, [1.0, 0.0] if i < 6 else [0.0, 1.0]) for i in range(12)], "id long, g long, embedding array<double>")
     got = {(r.a, r.b) for r in retrieval.similarity_join(rows, 0.5, by=("g",), tile=2).collect()}
