@@ -41,64 +41,105 @@ def _pairs(sim: np.ndarray, k: int | None, least: float) -> tuple[np.ndarray, np
     return np.nonzero((np.round(sim, 9) >= np.round(kth, 9)[:, None]) & (sim >= least))
 
 
+def _numbers(own: pa.Table, column: str) -> np.ndarray:
+    return own.column(column).combine_chunks().cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
 def _first(found: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     order = Window.partitionBy(*by).orderBy(F.round("similarity", 9).desc(), F.col("id"))
     return found.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).filter(F.col("rank") < k)
 
 
-def in_tiles(corpus: DataFrame, queries: DataFrame, compare: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], tile: int = 8192, block: int = 1024, slice_rows: int = 256) -> DataFrame:
-    """(query_id, id, similarity) that compare gives for any number of queries and rows.
+def in_tiles(corpus: DataFrame, queries: DataFrame, compare: Callable[[np.ndarray, np.ndarray, np.ndarray, pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], carry: tuple[str, ...] = (), tile: int = 8192, block: int = 1024, slice_rows: int = 256) -> DataFrame:
+    """(query_id, id, similarity) that compare gives for any number of queries and rows, and the rows' columns `carry`.
 
     corpus: (id, v) and queries: (query_id, v), and maybe both a `cell` within which they meet; queries may have several
     rows, told apart by `variant`. Rows are dealt into tiles and queries into blocks, by hashes of their ids and the
-    sizes of their cells, so a hot cell is many tiles; a task takes one block with one tile. compare(q, first, m): the
-    block's vectors, the places where a query's rows begin, the tile's vectors; gives places in first, in m, and values.
+    sizes of their cells, so a hot cell is many tiles; a task takes one block with one tile, and gives what it finds slice
+    by slice. compare(q, first, m, own, floor): the block's vectors, the places where a query's rows begin, the tile's vectors
+    and its other columns, the queries' own `least` (-inf where they have none); gives places in first, in m, and values.
     """
     cell = lambda df: (F.col("cell") if "cell" in df.columns else F.lit(0)).alias("cell")
-    rows = corpus.select(cell(corpus), "id", "v")
-    asked = queries.select(cell(queries), "query_id", (F.col("variant") if "variant" in queries.columns else F.lit(0)).cast("long").alias("variant"), "v")
+    rows = corpus.select(cell(corpus), "id", "v", *carry)
+    of = lambda c, other: F.col(c) if c in queries.columns else F.lit(other)
+    asked = queries.select(cell(queries), "query_id", of("variant", 0).cast("long").alias("variant"), of("least", float("-inf")).cast("double").alias("_least"), "v")
     tiles = rows.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("tiles"))
     plan = tiles.join(asked.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("blocks")), "cell")
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
-    left = rows.join(plan, "cell").select("cell", F.pmod(F.xxhash64("id"), "tiles").alias("i"), every("blocks").alias("j"), "id", none(asked, "query_id"), none(asked, "variant"), "v")
-    right = asked.join(plan, "cell").select("cell", every("tiles").alias("i"), F.pmod(F.xxhash64("query_id"), "blocks").alias("j"), none(rows, "id"), "query_id", "variant", "v")
+    left = rows.join(plan, "cell").select("cell", F.pmod(F.xxhash64("id"), "tiles").alias("i"), every("blocks").alias("j"), "id", none(asked, "query_id"), none(asked, "variant"), none(asked, "_least"), "v", *carry)
+    right = asked.join(plan, "cell").select("cell", every("tiles").alias("i"), F.pmod(F.xxhash64("query_id"), "blocks").alias("j"), none(rows, "id"), "query_id", "variant", "_least", "v", *[none(rows, c) for c in carry])
     kinds = [queries.schema["query_id"].dataType, corpus.schema["id"].dataType]
-    schema = pa.schema([("query_id", to_arrow_type(kinds[0])), ("id", to_arrow_type(kinds[1])), ("similarity", pa.float64())])
+    kept = [corpus.schema[c].dataType for c in carry]
+    schema = pa.schema([("query_id", to_arrow_type(kinds[0])), ("id", to_arrow_type(kinds[1])), ("similarity", pa.float64()), *[(c, to_arrow_type(x)) for c, x in zip(carry, kept, strict=True)]])
 
-    def meet(part: pa.Table) -> pa.Table:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(list(batches))
         is_row = pc.is_valid(part.column("variant"))
         own, ask = part.filter(pc.invert(is_row)), part.filter(is_row).sort_by([("query_id", "ascending"), ("variant", "ascending")])
         if not own.num_rows or not ask.num_rows:
-            return schema.empty_table()
+            return
         wide = len(ask.column("v")[0])
-        own = own.filter(pc.equal(pc.list_value_length(own.column("v")), wide))
+        own = own.filter(pc.equal(pc.list_value_length(own.column("v")), wide)).combine_chunks()
+        if not own.num_rows:
+            return
         q, names, ids = matrix(ask.column("v"), wide), ask.column("query_id").combine_chunks(), own.column("id").combine_chunks()
         first = np.flatnonzero(np.append(True, pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)))
-        m = matrix(own.column("v"), wide)
-        out = [schema.empty_table()]
+        m, floor, others = matrix(own.column("v"), wide), _numbers(ask, "_least"), own.select(list(carry))
         for a in range(0, len(first), slice_rows):
             begin = first[a : a + slice_rows]
             end = first[a + slice_rows] if a + slice_rows < len(first) else len(q)
-            i, j, s = compare(q[begin[0] : end], begin - begin[0], m)
-            out.append(pa.table([names.take(pa.array(begin[i])), ids.take(pa.array(j)), pa.array(s)], schema=schema))
-        return pa.concat_tables(out)
+            i, j, s = compare(q[begin[0] : end], begin - begin[0], m, own, floor[begin])
+            for at in range(0, len(i), 1 << 18):
+                x, y, z = (n[at : at + (1 << 18)] for n in (begin[i], j, s))
+                told = [others.column(c).combine_chunks().take(pa.array(y)) for c in carry]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(x)), ids.take(pa.array(y)), pa.array(z), *told], schema=schema)
+
+    shape = "".join(f", `{c}` {x.simpleString()}" for c, x in zip(carry, kept, strict=True))
+    return left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(meet, f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, similarity double{shape}")
 
-    return left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(meet, f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, similarity double")
 
+def tiled_top_k(corpus: DataFrame, queries: DataFrame, k: int | None, least: float = -1.0, carry: tuple[str, ...] = (), **tiles: int) -> DataFrame:
+    """(query_id, id, similarity, rank): each query's k best rows with a similarity of `least` or more; all of them, without rank, for k None.
 
-def tiled_top_k(corpus: DataFrame, queries: DataFrame, k: int | None, least: float = -1.0, **tiles: int) -> DataFrame:
-    """(query_id, id, similarity, rank): each query's k best rows with a similarity of `least` or more; all of them, without rank, for k None."""
+    queries may have a column `least` of their own.
+    """
 
-    def compare(q: np.ndarray, first: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def compare(q: np.ndarray, first: np.ndarray, m: np.ndarray, own: pa.Table, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sim = q @ m.T
-        i, j = _pairs(sim, k, least)
+        low = np.maximum(floor, least)[:, None]
+        i, j = _pairs(sim, k, low)
         return i, j, sim[i, j]
 
-    found = in_tiles(corpus, queries, compare, **tiles)
+    found = in_tiles(corpus, queries, compare, carry, **tiles)
     return found if k is None else _first(found, k)
 
 
+def tiles_best(corpus: DataFrame, queries: DataFrame, k: int, least: float = -1.0, carry: tuple[str, ...] = (), weight: float = 1.0, bonus: str | None = None, group: str | None = None, **tiles: int) -> DataFrame:
+    """(query_id, id, similarity) of rows among which each query's k best are, by weight * similarity + bonus, of `least` similarity or more.
+
+    bonus and group: carried columns; with a group, the k best of each of the query's groups are among them. A tile's k
+    best leave a task, with those less than 1e-9 below, so a query has some k rows a tile. The exact order is the caller's.
+    """
+
+    def compare(q: np.ndarray, first: np.ndarray, m: np.ndarray, own: pa.Table, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sim = q @ m.T
+        value = weight * sim + (0.0 if bonus is None else _numbers(own, bonus)[None, :])
+        value = np.where(sim >= np.maximum(floor, least)[:, None], value, -np.inf)
+        member = np.zeros(len(m), np.int64) if group is None else own.column(group).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        order = np.argsort(member, kind="stable")
+        found = []
+        for at in np.split(order, np.flatnonzero(np.diff(member[order])) + 1):
+            some = value[:, at]
+            kth = np.partition(some, -k, axis=1)[:, -k, None] if k < len(at) else -np.inf
+            i, j = np.nonzero((some >= kth - 1e-9) & (some > -np.inf))
+            found.append((i, at[j]))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        return i, j, sim[i, j]
+
+    return in_tiles(corpus, queries, compare, carry, **tiles)
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     """An inverted file of vectors by cell, in a folder: `cells` has rows (id, v) by cell, `centroids` the cells' centres.
@@ -247,7 +288,7 @@ def variant_top_k(corpus: DataFrame, variants: DataFrame, k: int | None, id_col:
     n, mean, second = moments(corpus, vector)
     held = corpus.sparkSession.sparkContext.broadcast((mean, second))  # dimension by dimension
 
-    def compare(q: np.ndarray, first: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def compare(q: np.ndarray, first: np.ndarray, m: np.ndarray, own: pa.Table, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mean, second = held.value
         mid = q @ mean
         spread = np.maximum(np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", q, second, q) - mid**2, 0)), 1e-6)
