@@ -57,12 +57,18 @@ def unlike(ranked: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return ranked.join(folded.select("query_id", F.explode("kept.id").alias("id")), ["query_id", "id"], "left_semi")
 
 
+def places(limit: int = 5, p: Params = DEFAULTS) -> tuple[int, int]:
+    """How many of a query's active rows by score, and of its archived rows by similarity, find_similar can use at most."""
+    return 10 * limit, max(p.rerank_archived, limit, 2)
+
+
 def find_similar(rows: DataFrame, threshold: float = 0.15, limit: int = 5, rerank: bool = True, enabled: bool = True, p: Params = DEFAULTS) -> DataFrame:
     """(query_id, id, archived, place, score, similarity, gate_status) of what is served.
 
     rows: (query_id, id, similarity, score, kind, topic, words, archived, ce_score); ce_score is null where the
     reranker gave no score. Archived rows of a query that has active ones are served after those, by similarity,
-    or as the reranker leaves them. gate_status says whether the reranker ran, and if not, why.
+    or as the reranker leaves them. gate_status says whether the reranker ran, and if not, why. Rows beyond `places`
+    change nothing, so a search may leave them out.
     """
     active = unlike(entry_gates(rows.filter(~F.col("archived")), threshold, limit, p), p)
     active = active.withColumn("rank", (F.row_number().over(ordered(F.desc("score"))) - 1).cast("long"))
