@@ -36,7 +36,7 @@ def _near(spark: SparkSession, d: str, least: float = 0.0) -> DataFrame:
     """Rows with a similarity of about `least` or more; others don't leave the search."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     q = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
-    return retrieval.vector_top_k(v, q, None, 2 * least - 1 - 1e-6).filter("id <> query_id").join(v.select("id", "label"), "id").select("query_id", "id", ((1 + F.col("similarity")) / 2).alias("similarity"), "label")
+    return retrieval.vector_top_k(v, q, None, 2 * least - 1 - 1e-6, carry=("label",)).filter("id <> query_id").select("query_id", "id", ((1 + F.col("similarity")) / 2).alias("similarity"), "label")
 
 
 @query("""WITH r AS (SELECT doc_id AS id, source AS project, doc_id % 50 AS session, doc_id AS updated_at, unnest(list_distinct(['src/' || (doc_id % 20) || '/' || (doc_id % 7) || '.py', 'pkg/' || (doc_id % 30) || '/main.py'])) AS path FROM documents),
@@ -118,7 +118,13 @@ def capture_upsert(spark: SparkSession, d: str) -> DataFrame:
     stored = v.filter(~new).select(i.alias("id"), F.col("label").cast("string").alias("type"), (i % 40).alias("topic"), F.when(i % 2 == 0, "we never keep this here").otherwise("we keep this here").alias("content"))
     text = F.when(i % 700 == 0, "short").otherwise("we keep this here now")
     entries = v.filter(new).select(i.alias("nth"), i.alias("message_id"), F.col("label").cast("string").alias("type"), (F.expr("vec_id div 100") % 40).alias("topic"), text.alias("content"))
-    near = _near(spark, d).filter("id % 100 <> 0").select(F.col("query_id").alias("nth"), "id", "similarity")
+    sim = lambda x: F.round((1 + x) / 2, 12).alias("similarity")  # noqa: E731  two ways to sum a product differ by less
+    nearest = retrieval.vector_candidates(v.filter(~new).select(i.alias("id"), "embedding"), v.filter(new).select(i.alias("query_id"), "embedding"), 1, -2.0, weight=0.5).select(F.col("query_id").alias("nth"), "id", sim(F.col("similarity")))
+    nearest = retrieval.top_k(nearest, ["nth"], [F.desc("similarity"), F.col("id")], 1).drop("rank")
+    same = entries.join(stored.groupBy("type", "topic").agg(F.min("id").alias("id")), ["type", "topic"]).select("nth", "id")
+    both = same.join(v.select(i.alias("nth"), F.col("embedding").alias("a")), "nth").join(v.select(i.alias("id"), F.col("embedding").alias("b")), "id").filter("size(a) = size(b)")
+    product = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda t, x: t + x)
+    near = nearest.unionByName(both.select("nth", "id", sim(product))).groupBy("nth", "id").agg(F.max("similarity").alias("similarity"))
     return records.insert_entries(stored, entries, near, Params(variant=0.55, dedup=0.72, negation_floor=0.6))
 
 
