@@ -351,11 +351,17 @@ def cache_hits(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {NEAR}, k AS (SELECT query_id, id, 0 AS source, row_number() OVER (PARTITION BY query_id ORDER BY id) - 1 AS r FROM sims WHERE (id + query_id) % 97 = 0), h AS (SELECT query_id, id, 1 AS source, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, id) - 1 AS r FROM sims WHERE label <> 1 AND similarity >= 0.6), u AS (SELECT query_id, id, min((source, r)) AS x FROM (SELECT * FROM k UNION ALL SELECT * FROM h) GROUP BY ALL) SELECT query_id, id, x[1] AS source, row_number() OVER (PARTITION BY query_id ORDER BY x, id) - 1 AS rank FROM u QUALIFY rank < 3".replace("min((source, r)) AS x", "min({'s': source, 'r': r}) AS x").replace("x[1]", "x.s"))
 def cross_project(spark: SparkSession, d: str) -> DataFrame:
-    """What other projects know: keyword hits first, then near rows, three in all."""
-    n = _near(spark, d)
-    by_words = retrieval.top_k(n.filter("(id + query_id) % 97 = 0"), ["query_id"], [F.col("id")], 1 << 30)
-    hybrid = retrieval.top_k(n.filter("label <> 1 AND similarity >= 0.6"), ["query_id"], [F.round("similarity", 9).desc(), F.col("id")], 1 << 30)
-    return gates.first_source([by_words, hybrid], 3)
+    """What other projects know: keyword hits first, then near rows, three in all, so three of each list suffice."""
+    most = 3
+    v = table(spark, d, "embeddings").filter("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), "embedding", "label")
+    q = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
+    key = lambda x: F.pmod(x, F.lit(97)).alias("key")  # noqa: E731  a keyword hit: (id + query_id) % 97 = 0
+    hits = retrieval.top_k(v.select("id", key(-F.col("id"))), ["key"], [F.col("id")], most + 1).drop("rank")  # one more: the query's own
+    hits = q.select("query_id", key(F.col("query_id"))).join(hits, "key").filter("id <> query_id").select("query_id", "id")
+    by_words = retrieval.top_k(hits, ["query_id"], [F.col("id")], most)
+    near = retrieval.vector_candidates(v.filter("label <> 1"), q, most + 1, 2 * 0.6 - 1 - 1e-6, weight=0.5).filter("id <> query_id").withColumn("similarity", (1 + F.col("similarity")) / 2)
+    hybrid = retrieval.top_k(near.filter("similarity >= 0.6"), ["query_id"], [F.round("similarity", 9).desc(), F.col("id")], most)
+    return gates.first_source([by_words, hybrid], most)
 
 
 @query(f"WITH {NEAR}, f AS (SELECT query_id, count(*) AS n, max(similarity) AS top FROM sims WHERE similarity >= 0.63 GROUP BY 1), q AS (SELECT DISTINCT vec_id AS query_id FROM embeddings WHERE vec_id % 100 = 0) SELECT query_id, coalesce(n, 0) < 3 OR coalesce(top, 0) < 0.45 AS thin FROM q LEFT JOIN f USING (query_id)")
