@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import work_folder, written
@@ -25,6 +27,7 @@ class VersionedTable:
     keys: tuple[str, ...]
     section: str
     schema: str = field(repr=False, default="")
+    part_chars: int = 32 << 20  #: characters of values that a partition, and so a file, of a large section has, or so
 
     def _lists(self) -> list[int]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -66,35 +69,50 @@ class VersionedTable:
         """Takes rows as all there is at a time (or all there is of `sections`, rows of the section column); gives the number of sections rewritten.
 
         Rows of the table that are missing are closed; of rows with one key the largest counts. Times must rise.
+        rows is read three times and not written in between, so it should be a table that stays the same. Sections
+        are compared by sums; only rows of those that differ are shuffled, once, old and new ones of a key to one
+        partition, where they are compared in full and from where they are written.
         """
         cols = [c for c in rows.columns]
         number = (self._lists() or [0])[-1] + 1
         value = F.struct(*[c for c in cols if c not in self.keys])
-        new = rows.groupBy(*self.keys).agg(F.max(value).alias("new"))
-        new = written(new.withColumn("place", F.xxhash64(F.col(f"new.{self.section}") if self.section not in self.keys else F.col(self.section))), "incoming")
+        new = self._single(rows).withColumn("place", self._place())
         stored = self._stored().drop("load")
         if sections is not None:
             stored = stored.join(sections.select(F.xxhash64(F.col(self.section).cast(rows.schema[self.section].dataType)).alias("place")).distinct(), "place", "left_semi")
-        mark = lambda c: F.xxhash64(F.to_json(c, {"ignoreNullFields": "false"}), *self.keys)
-        sums = lambda m, kind: [F.count("*").alias(f"n_{kind}"), F.bit_xor(m).alias(f"x_{kind}"), F.sum(F.shiftright(m, 24)).alias(f"s_{kind}")]
-        old_sections = stored.filter("valid_to IS NULL").groupBy("place").agg(*sums(mark(value), "old"))
-        new_sections = new.groupBy("place").agg(*sums(mark(F.col("new")), "new"))
-        differs = old_sections.join(new_sections, "place", "full").filter("NOT (n_old <=> n_new AND x_old <=> x_new AND s_old <=> s_new)").select("place")
+        shown = lambda df: df.select("place", *self.keys, F.to_json(value, {"ignoreNullFields": "false"}).alias("_json")).select("place", F.length("_json").alias("_long"), F.xxhash64("_json", *self.keys).alias("_mark"))
+        sums = lambda df, kind: shown(df).groupBy("place").agg(F.count("*").alias(f"n_{kind}"), F.bit_xor("_mark").alias(f"x_{kind}"), F.sum(F.shiftright("_mark", 24)).alias(f"s_{kind}"), F.sum("_long").alias(f"long_{kind}"))
+        both = sums(stored.filter("valid_to IS NULL"), "old").join(sums(new, "new"), "place", "full")
+        parts = F.ceil((F.coalesce("long_old", F.lit(0)) + F.coalesce("long_new", F.lit(0)) + 1) / self.part_chars).alias("_parts")
+        differs = both.filter("NOT (n_old <=> n_new AND x_old <=> x_new AND s_old <=> s_new)").select("place", parts)
         differs = written(differs, "changed-sections")
         if differs.isEmpty():
             return 0
-        past = stored.join(differs, "place", "left_semi")
-        ended, held = past.filter("valid_to IS NOT NULL"), past.filter("valid_to IS NULL").withColumn("old", value)
-        met = held.select("place", *self.keys, "old", "valid_from").join(new.join(differs, "place", "left_semi"), ["place", *self.keys], "full")
-        same = F.col("old").eqNullSafe(F.col("new"))
-        closed = met.filter(F.col("old").isNotNull() & ~same).select("place", *self.keys, "old.*", "valid_from", F.lit(time).cast("long").alias("valid_to"))
-        opened = met.filter(F.col("new").isNotNull()).select("place", *self.keys, "new.*", F.when(same, F.col("valid_from")).otherwise(F.lit(time)).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"))
-        out = ended.unionByName(closed).unionByName(opened)
-        out.hint("rebalance", "place").write.mode("overwrite").partitionBy("place").parquet(f"{self.folder}/rows/{number}")
+        none = F.lit(None).cast("long")
+        old = stored.select("*", F.lit(False).alias("_new"), F.col("valid_to").isNotNull().alias("_past"))
+        every = old.unionByName(new.select("*", none.alias("valid_from"), none.alias("valid_to"), F.lit(True).alias("_new"), F.lit(False).alias("_past")))
+        dealt = every.join(differs, "place").withColumn("_part", F.pmod(F.xxhash64(*self.keys), "_parts")).drop("_parts").repartition("place", "_part")
+        key = Window.partitionBy("place", "_part", *self.keys, "_past").orderBy("_new")  # what holds, then what is new: two rows at most
+        other = F.when(F.col("_new"), F.lag(value).over(key)).otherwise(F.lead(value).over(key))
+        met = dealt.withColumn("_same", ~F.col("_past") & other.isNotNull() & other.eqNullSafe(value)).filter("NOT (_new AND _same)")
+        began = F.when(F.col("_new"), F.lit(time)).otherwise(F.col("valid_from")).cast("long").alias("valid_from")
+        ended = F.when(F.col("_past"), F.col("valid_to")).when(~F.col("_new") & ~F.col("_same"), F.lit(time)).cast("long").alias("valid_to")
+        met.select("place", *cols, began, ended).write.mode("overwrite").partitionBy("place").parquet(f"{self.folder}/rows/{number}")
+        differs = differs.select("place")
         places = self.places().join(differs, "place", "left_anti").unionByName(differs.withColumn("load", F.lit(number).cast("long")))
         written(places, "places").write.mode("overwrite").json(f"{self.folder}/lists/{number}")
         return differs.count()
 
+    def _single(self, rows: DataFrame) -> DataFrame:
+        """rows, of those with one key the largest; only keys that have several rows are grouped with their values."""
+        twice = written(rows.groupBy(*self.keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(self.keys)]), "repeated-keys")
+        if twice.isEmpty():
+            return rows
+        alike = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(self.keys)])
+        value = F.struct(*[c for c in rows.columns if c not in self.keys])
+        largest = rows.join(twice, alike, "left_semi").groupBy(*self.keys).agg(F.max(value).alias("_max")).select(*self.keys, "_max.*")
+        return written(rows.join(twice, alike, "left_anti").unionByName(largest), "incoming")
+
 
 def versioned_table(like: DataFrame, keys: tuple[str, ...], section: str, folder: str | None = None) -> VersionedTable:
     """A table for rows like these, in a folder that may be new."""
