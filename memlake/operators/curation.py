@@ -59,22 +59,27 @@ def star_clusters(edges: DataFrame, least: int = DEFAULTS.cluster_least, most: i
     raise RuntimeError("stars did not settle")
 
 
-def contradiction_pairs(rows: DataFrame, least: float = DEFAULTS.contradiction, most: int = DEFAULTS.contradiction_pairs, assessed: DataFrame | None = None) -> DataFrame:
+def contradiction_pairs(rows: DataFrame, least: float = DEFAULTS.contradiction, most: int = DEFAULTS.contradiction_pairs, assessed: DataFrame | Column | None = None) -> DataFrame:
     """Pairs (a, b, similarity, same_topic) worth a check, those of one kind and topic first, then by similarity.
 
-    rows: (id, kind, topic, embedding). Both tiers are similarity joins in tiles. Pairs of other topics fill what
-    the first tier leaves of `most`, by every n-th over the range of similarities.
+    rows: (id, kind, topic, embedding). assessed: pairs (a, b) to leave out, or a condition on a and b that holds for
+    them. Both tiers are similarity joins in tiles. Pairs of other topics fill what the first tier leaves of `most`, by
+    every n-th over the range of similarities; where it leaves nothing, they aren't looked for.
     """
-    first = similarity_join(rows, least, by=("kind", "topic"))
-    pairs = similarity_join(rows, least).join(first.select("a", "b", F.lit(True).alias("same_topic")), ["a", "b"], "left")
-    if assessed is not None:
-        pairs = pairs.join(assessed.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = written(pairs.withColumn("same_topic", F.coalesce("same_topic", F.lit(False))), "pairs")
     order = [F.round("similarity", 9).desc(), F.col("a"), F.col("b")]
-    same = pairs.filter("same_topic").orderBy(*order).limit(most)
+
+    def open_(pairs: DataFrame) -> DataFrame:
+        if isinstance(assessed, Column):
+            return pairs.filter(~F.coalesce(assessed, F.lit(False)))
+        return pairs if assessed is None else pairs.join(assessed.select("a", "b"), ["a", "b"], "left_anti")
+
+    same = open_(similarity_join(rows, least, by=("kind", "topic"))).withColumn("same_topic", F.lit(True))
+    same = written(same.orderBy(*order).limit(most), "pairs")
     room = most - same.count()
-    other = every_nth(pairs.filter("NOT same_topic"), order, room) if room else pairs.limit(0)
-    return same.unionByName(other).orderBy(F.desc("same_topic"), *order)
+    if room:
+        other = open_(similarity_join(rows, least, apart=("kind", "topic"))).withColumn("same_topic", F.lit(False))
+        same = same.unionByName(every_nth(other, order, room))
+    return same.orderBy(F.desc("same_topic"), *order)
 
 
 def unassessed(clusters: DataFrame, assessed: DataFrame) -> DataFrame:
