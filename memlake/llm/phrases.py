@@ -92,8 +92,12 @@ class Words:
         held = self.by_lang.get(lang)
         if held is None:
             held = self.by_lang[lang] = _Ids(lang, self)
-        parts = text.replace(b"\n", b" \n ").split(b" ")
-        out = np.fromiter(map(held.__getitem__, parts), np.int64, len(parts))
+        text = text.replace(b"\n", b" \n ") + b" "
+        ends = np.append(0, np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(text)]).dictionary_encode()
+        distinct = parts.dictionary.buffers()[2].to_pybytes().split(b" ")[: len(parts.dictionary)]  # each ends with its space
+        known = np.fromiter(map(held.__getitem__, distinct), np.int64, len(distinct))
+        out = known[parts.indices.to_numpy()]
         return out[out >= 0]
 
 
